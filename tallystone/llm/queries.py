@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import decontam, langid, line_dedup, token_orc
+from tallystone.llm import ann, decontam, fixity, langid, line_dedup, mixing, phrase_dedup, token_orc
 from tallystone.llm.common import crc_mod
 
 
@@ -24,12 +24,26 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2)
     learned = langid.prototypes(docs.where(~F.col("held_out")))
     return langid.predict(docs, learned, ["doc_id", "held_out"])
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("item_ids", ","), 256)
@@ -40,11 +54,25 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op10_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit of a replica of all pages: one page in 97 has a byte changed, one file in 8 has lost its last record."""
+    good = fixity.records(table(spark, sf_dir, "pages"))
+    harmed = F.concat(F.substring("record", 1, 20), F.lit("?").cast("binary"), F.expr("substring(record, 22)"))
+    last = good.groupBy("file").agg(F.max("ordinal").alias("last"))
+    bad = good.withColumn("record", F.when(F.col("page_id") % 97 == 5, harmed).otherwise(F.col("record")))
+    bad = bad.join(last, "file").where((F.col("file") % 8 != 3) | (F.col("ordinal") != F.col("last")))
+    return fixity.audit(fixity.leaves(good), fixity.leaves(bad))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_phrase_dedup": op3_phrase_dedup,
+    "op4_source_mixing": op4_source_mixing,
     "op5_language_id": op5_language_id,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_decontamination": op7_decontamination,
     "op9_token_orc": op9_token_orc,
+    "op10_fixity_audit": op10_fixity_audit,
 }
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -78,4 +106,29 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN ids ON d.doc_id = ids.doc_id
 """
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op7_decontamination": OP7_SQL}
+OP6_SQL = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+          FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs) WHERE rank <= 10
+"""
+
+OP10_SQL = """
+WITH made AS (SELECT coalesce(page_id // 512, -1) AS file, page_id, coalesce(url, '') AS url,
+                     'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body FROM pages),
+recs AS (SELECT file, page_id, row_number() OVER (PARTITION BY file ORDER BY page_id) - 1 AS ordinal,
+                'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:sha256:'
+                || sha256(coalesce(page_id::VARCHAR, '') || chr(10) || url) || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+                || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM made),
+placed AS (SELECT *, strlen(rec) AS length, sum(strlen(rec)) OVER (PARTITION BY file ORDER BY ordinal) - strlen(rec) AS low, max(ordinal) OVER (PARTITION BY file) AS last FROM recs),
+both_ AS (SELECT *, sha256(ordinal || '|' || low || '|' || length || '|' || sha256(rec)) AS first_hash,
+                 CASE WHEN file % 8 = 3 AND ordinal = last THEN NULL
+                      ELSE sha256(ordinal || '|' || low || '|' || length || '|' || sha256(CASE WHEN page_id % 97 = 5 THEN substr(rec, 1, 20) || '?' || substr(rec, 22) ELSE rec END)) END AS second_hash FROM placed)
+SELECT file, ordinal, low::BIGINT AS low, (low + length)::BIGINT AS high, first_hash, second_hash,
+       CASE WHEN second_hash IS NULL THEN 'MISSING' ELSE 'CHANGED' END AS status
+FROM both_ WHERE first_hash IS DISTINCT FROM second_hash
+"""
+
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op6_nearest_neighbours": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_fixity_audit": OP10_SQL}
