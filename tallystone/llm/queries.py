@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import ann, decontam, fixity, langid, line_dedup, mixing, phrase_dedup, token_orc
+from tallystone.llm import ann, decontam, fixity, langid, line_dedup, mixing, near_dup, phrase_dedup, token_orc
 from tallystone.llm.common import crc_mod
 
 
@@ -24,6 +24,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = phrase_dedup.dedup_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -66,6 +70,7 @@ def op10_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_phrase_dedup": op3_phrase_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op5_language_id": op5_language_id,
