@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import ann, decontam, fixity, langid, line_dedup, mixing, near_dup, phrase_dedup, token_orc
+from tallystone.llm import ann, decontam, fixity, hmm, langid, line_dedup, mixing, near_dup, phrase_dedup, token_orc
 from tallystone.llm.common import crc_mod
 
 
@@ -54,6 +54,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) == 0)
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_decontamination": op7_decontamination,
+    "op8_language_model": op8_language_model,
     "op9_token_orc": op9_token_orc,
     "op10_fixity_audit": op10_fixity_audit,
 }
