@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tallystone.plans import claim_queries
+from tallystone.plans.claim_queries import flagship
 
+_MODULES = [claim_queries]
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
