@@ -5,9 +5,9 @@ part is sorted; part files have row indexes (min, max per row group) and a Bloom
 a lookup by id reads only the stripes that can hold it. ORC splits at stripes, so one part is
 read by many tasks.
 
-Encoding goes by distinct chunks: a text is cut where a space or line feed follows a character that is
-certainly no white space. No pre-token of this byte-level BPE spans such a cut, so the ids of the text are those of
-its chunks in order, and each distinct chunk of a batch goes through the tokenizer once.
+Encoding goes by distinct chunks: a text is cut before white space that follows something that is surely none, and
+before punctuation that follows a letter. No pre-token of this byte-level BPE spans such a cut, so the ids of a text
+are those of its chunks in order, and each distinct chunk of a slice goes through the tokenizer once.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +27,25 @@ from pyspark.sql import functions as F
 from tallystone.llm.common import new_path, partitions, slices
 
 ENCODED = "doc_id long, part int, part_row long, part_start long, n_tokens long, tokens array<int>"
-#: Ids of chunks that a worker remembers; beyond that it forgets all.
-CACHED_CHUNKS = 400_000
+#: Bytes of distinct chunks that the tokenizer gets as one string.
+RUN_BYTES = 1 << 16
 
+_CODE = np.arange(256)
+_LETTER = ((_CODE | 32) >= 97) & ((_CODE | 32) <= 122) & (_CODE < 128)
+_PUNCTUATION = (_CODE > 32) & (_CODE < 127) & ~_LETTER & ~((_CODE >= 48) & (_CODE <= 57))
+_LATIN = (_CODE >= 0x80) & (_CODE < 0xC0) & (_CODE != 0x97) & (_CODE != 0xB7)  # after 0xC3: letters
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Where UTF-8 bytes may be cut: at a space or line feed after printable ASCII or a Latin-1 letter."""
-    if len(data) < 3:
-        return np.zeros(0, np.int64)
-    here = (data == 0x20) | (data == 0x0A)
-    before = np.zeros(len(data), bool)
-    before[1:] = (data[:-1] > 0x20) & (data[:-1] < 0x7F)
-    before[2:] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80)
-    return np.flatnonzero(here & before)
+
+def cuts(data: np.ndarray, special: bool) -> np.ndarray:
+    """Flags of the bytes of UTF-8 before which it may be cut. special: the text holds special tokens, so only white space cuts."""
+    letter = _LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+    solid = letter | ((data > 0x20) & (data < 0x7F))
+    out = np.zeros(len(data), bool)
+    out[1:] = ((data[1:] == 0x20) | (data[1:] == 0x0A)) & solid[:-1]
+    if not special:
+        out[1:] |= _PUNCTUATION[data[1:]] & letter[:-1]
+    return out
 
 
 class Encoder:
@@ -49,37 +56,76 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def chunks(self, distinct: list[str]) -> list[np.ndarray]:
-        new = [c for c in distinct if c not in self.known]
-        if len(self.known) + len(new) > CACHED_CHUNKS:
-            self.known, new = {}, distinct
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.asarray(e.ids, np.int32)
-        return [self.known[c] for c in distinct]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content.encode() for t in added.values()]
+        size = self.tokenizer.get_vocab_size()
+        # byte-level BPE writes each byte as one character
+        self.width = np.array([len(added[i].content.encode()) if i in added else len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def chunks(self, distinct: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, one chunk after the other, and where each chunk's begin."""
+        at = np.frombuffer(distinct.buffers()[1], np.int32, len(distinct) + 1, distinct.offset * 4).astype(np.int64)
+        data = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)
+        low, high = data[at[:-1]], data[np.maximum(at[1:] - 1, 0)]
+        before = data[np.maximum(at[1:] - 2, 0)]
+        # chunks that start with white space and end solid can follow each other in one string: the cuts are boundaries there, too
+        joins = ((low == 0x20) | (low == 0x0A)) & (at[1:] - at[:-1] > 1) & (((high > 0x20) & (high < 0x7F)) | ((before == 0xC3) & (high >= 0x80) & (at[1:] - at[:-1] > 2)))
+        easy, hard = np.flatnonzero(joins), np.flatnonzero(~joins)
+        parts, lengths = [], np.zeros(len(distinct), np.int64)
+        if len(easy):
+            words = distinct.take(pa.array(easy))
+            ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1).astype(np.int64)
+            raw = words.buffers()[2].to_pybytes()
+            runs = np.unique(np.searchsorted(ends, np.append(np.arange(0, ends[-1], RUN_BYTES), ends[-1])))
+            ids = np.concatenate(self._ids([raw[ends[a] : ends[b]].decode() for a, b in zip(runs[:-1], runs[1:], strict=True)]))
+            reach = np.searchsorted(np.cumsum(self.width[ids]), ends[1:], side="left") + 1
+            lengths[easy] = np.diff(np.concatenate(([0], reach)))
+            parts.append(ids)
+        if len(hard):
+            own = self._ids(distinct.take(pa.array(hard)).to_pylist())
+            lengths[hard] = [len(x) for x in own]
+            parts += own
+        # ids stand as they were made: easy chunks, then hard ones
+        order = np.concatenate([easy, hard])
+        starts = np.empty(len(distinct), np.int64)
+        starts[order] = np.concatenate(([0], np.cumsum(lengths[order])[:-1])) if len(order) else []
+        return np.concatenate([*parts, np.zeros(0, np.int32)]), np.stack([starts, lengths])
 
     def __call__(self, texts: pa.Array, end_id: int | None) -> pa.ListArray:
         """The ids of each text, with end_id behind them; a null text has no ids of its own."""
-        texts = pa.array(pc.fill_null(texts, "").to_pylist(), pa.string()) if texts.offset else pc.fill_null(texts, "")
+        texts = pc.fill_null(texts, "")
         ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-        ends = ends - ends[0]
-        bounds = np.unique(np.concatenate([cuts(data), ends])).astype(np.int32)
-        pieces = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())).dictionary_encode()
-        codes = np.asarray(pieces.indices).astype(np.int64)
-        ids = self.chunks(pieces.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat, at = np.concatenate([*ids, np.zeros(0, np.int32)]), np.concatenate(([0], np.cumsum(lengths)))
-        out_at = np.concatenate(([0], np.cumsum(lengths[codes])))
-        gather = np.arange(out_at[-1]) + np.repeat(at[codes] - out_at[:-1], lengths[codes])
-        tokens, offsets = flat[gather], out_at[np.searchsorted(bounds, ends)]
+        ends, raw = ends - ends[0], data.tobytes()
+        flags = np.zeros(len(data) + 1, bool)
+        flags[:-1] = cuts(data, any(x in raw for x in self.special))
+        flags[ends] = True
+        bounds = np.flatnonzero(flags).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(raw)).dictionary_encode()
+        codes = np.asarray(pieces.indices)
+        flat, (starts, lengths) = self.chunks(pieces.dictionary)
+        lengths = lengths[codes]
+        out_at = np.concatenate(([0], np.cumsum(lengths)))
+        offsets = out_at[np.searchsorted(bounds, ends)]
+        step = np.ones(out_at[-1], np.int32)
+        full = np.flatnonzero(lengths)
+        begin = starts[codes[full]]
+        step[out_at[full]] = begin
+        step[out_at[full[1:]]] -= begin[:-1] + lengths[full[:-1]] - 1
+        tokens = flat[np.cumsum(step, dtype=np.int32)]
         if end_id is not None:
             tokens = np.insert(tokens, offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))
+
+
+@lru_cache(1)
+def encoder_of(tokenizer_path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(tokenizer_path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, parts: int | None = None, stripe_bytes: int = 16 << 20, fpp: float = 0.01) -> None:
@@ -90,9 +136,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, row, start = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        encoder, part, row, start = encoder_of(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 16 << 20):
                 tokens = encoder(batch.column("text"), end_id)
                 n = np.diff(np.asarray(tokens.offsets)).astype(np.int64)
                 begin = start + np.concatenate(([0], np.cumsum(n)[:-1]))
