@@ -22,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import owners, partitions, rolling, slices, split_words, word_hashes, words_column
+from tallystone.llm.common import owners, partitions, rolling, slices, split_words, word_hashes, words_column, written
 
 #: Occurrences of one anchor in one slice of a task that stay in the anchor's common group.
 COMMON = 48
 ANCHOR = "anchor long, part long, hot boolean, doc_id long, first int, n_words int, at int"
+#: The end of a run over all windows of a text.
+WHOLE = (1 << 31) - 1
 RUNS = "doc_id long, first int, last int, w1 long, w2 long"
 
 
@@ -96,9 +98,21 @@ def _letters(codes: np.ndarray) -> str:
 
 
 def _locate(window: int):
-    def shard(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
         import ahocorasick
 
+        # equal passages count once here: all but the first are repeats from end to end
+        doc, first = np.asarray(batch.column("doc_id")), np.asarray(batch.column("first"))
+        same = np.asarray(batch.column("passage").dictionary_encode().indices)
+        order = np.lexsort((first, doc, same))
+        head = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1])))
+        lead = np.repeat(order[head], np.diff(np.concatenate((head, [len(order)]))))
+        again = order[(doc[order] != doc[lead]) | (first[order] != first[lead])]
+        ends = first + np.asarray(batch.column("n_words")) - window
+        nothing = np.zeros(len(again), np.int64)
+        rows = [(doc[again], first[again], ends[again], nothing, nothing)]
+        batch = batch.take(pa.array(np.sort(order[head])))
+
         flat, offsets = split_words(batch.column("passage"))
         coded = flat.dictionary_encode()
         codes, owner = np.asarray(coded.indices).astype(np.int64), owners(offsets)
@@ -130,7 +144,6 @@ def _locate(window: int):
             late[at[order[later]]] = True
         own = owner[starts]
         where_doc, where = doc[own], first[own] + starts - offsets[own]
-        rows = []
         gone = np.flatnonzero(late)
         if len(gone):
             d, p = where_doc[gone], where[gone]
@@ -142,8 +155,6 @@ def _locate(window: int):
         if len(open_):
             at = starts[open_]
             rows.append((where_doc[open_], where[open_], where[open_] - 1, w1[at].astype(np.int64) | 1, w2[at].astype(np.int64)))
-        if not rows:
-            return None
         d, a, b, h1, h2 = (np.concatenate(x) for x in zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(h1), pa.array(h2)], ["doc_id", "first", "last", "w1", "w2"])
 
@@ -159,34 +170,53 @@ def _locate(window: int):
             cut = np.flatnonzero((anchor != anchor[-1]) | (part != part[-1]))
             cut = int(cut[-1]) + 1 if len(cut) else 0
             rest = batch.slice(cut)
-            if cut and (out := shard(batch.slice(0, cut))) is not None:
-                yield out
-        if rest is not None and (out := shard(rest)) is not None:
-            yield out
+            if cut:
+                yield shard(batch.slice(0, cut))
+        if rest is not None:
+            yield shard(rest)
 
     return stream
 
 
+#: Stands for a null id, as the smallest.
+NO_ID = -(1 << 63)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) dealt by doc_id. All steps read this one exchange, so texts are shuffled once."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(copy): ids of documents whose whole text (compared by 96 bits of hash and the length) a smaller id also has."""
+    prints = _keyed(docs.where("text is not null")).select("doc_id", F.xxhash64("text").alias("p1"), F.hash(F.lit(3), "text").alias("p2"), F.length("text").alias("n"))
+    groups = prints.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    groups = written(groups, "phrase-copies")
+    return prints.join(groups, ["p1", "p2", "n"]).where("doc_id > least").select(F.col("doc_id").alias("copy")).distinct()
+
+
 def repeats(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     """Runs (doc_id, first, last) of window starts whose word sequence also starts earlier. Runs may touch or repeat.
 
     Earlier: in a smaller doc_id, or in the same document before. Rows that share an id and a position are one
     occurrence. A null id counts as the smallest. A null or short text has no windows.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    texts = docs.select(ids.alias("doc_id"), "text")
-    anchors = texts.where("text is not null").mapInArrow(_anchors(window, gram), ANCHOR)
+    return _repeats(_keyed(docs), None, window, gram)
+
+
+def _repeats(texts: DataFrame, known: DataFrame | None, window: int, gram: int) -> DataFrame:
+    n = partitions(texts.sparkSession)
+    read = texts.join(known, F.col("doc_id") == F.col("copy"), "left_anti") if known is not None else texts
+    anchors = read.mapInArrow(_anchors(window, gram), ANCHOR)
     anchors = anchors.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "first")
     recurring = anchors.mapInArrow(_recurring, ANCHOR)
     wanted = recurring.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "part", "hot", "first", "n_words")).alias("anchors"))
     words = words_column(F.col("text"))
     split = texts.join(wanted, "doc_id").select("doc_id", "anchors", words.alias("words"))
-    passage = F.transform("anchors", lambda a: F.struct(a["anchor"], a["part"], a["hot"], a["first"], F.array_join(F.slice("words", a["first"] + 1, a["n_words"]), " ").alias("passage")))
+    passage = F.transform("anchors", lambda a: F.struct(a["anchor"], a["part"], a["hot"], a["first"], a["n_words"], F.array_join(F.slice("words", a["first"] + 1, a["n_words"]), " ").alias("passage")))
     passages = split.select("doc_id", F.explode(passage).alias("p")).select("doc_id", "p.*")
     shards = passages.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "first")
-    located = shards.select("anchor", "part", "hot", "doc_id", "first", "passage").mapInArrow(_locate(window), RUNS)
+    located = shards.select("anchor", "part", "hot", "doc_id", "first", "n_words", "passage").mapInArrow(_locate(window), RUNS)
     # one row for a run to remove; one for a phrase that has to meet others of its anchor (those have hashes)
     phrase = Window.partitionBy("w1", "w2", F.when(F.col("w1") == 0, F.col("doc_id")), F.when(F.col("w1") == 0, F.col("first"))).orderBy("doc_id", "first")
     lead = F.struct("doc_id", "first")
@@ -205,9 +235,13 @@ def _cut(window: int):
                 begin = np.repeat(offsets[:-1], n_runs)
                 inner = slice(int(at[0]), int(at[-1]))
                 first, last = (np.asarray(of.field(k))[inner] for k in (0, 1))
+                # a run never reaches beyond the last window of its text; texts without windows have no runs
+                most = np.repeat(np.diff(offsets) - window, n_runs)
+                last = np.minimum(last, most)
+                real = last >= first
                 edge = np.zeros(len(flat) + 1, np.int64)
-                np.add.at(edge, begin + first, 1)
-                np.add.at(edge, begin + last + window, -1)
+                np.add.at(edge, (begin + first)[real], 1)
+                np.add.at(edge, (begin + last + window)[real], -1)
                 keep = np.cumsum(edge)[:-1] == 0
                 kept = np.concatenate(([0], np.cumsum(keep)))[offsets]
                 left = flat.filter(pa.array(keep)).to_pylist()
@@ -221,13 +255,14 @@ def _cut(window: int):
 def dedup_passages(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     """(doc_id, n_words, n_removed long, kept_text) of every row of docs: kept words joined by one space.
 
-    A word goes if a window of `window` words over it also starts earlier; windows are those of the input.
+    A word goes if a window of `window` words over it also starts earlier; windows are those of the input. Copies of
+    whole documents lose all their windows at once, and the automata see each text once.
     """
-    runs = repeats(docs, window, gram).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    runs = runs.withColumnRenamed("doc_id", "__id")
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    docs = docs.select("doc_id", "text")
-    joined = docs.join(runs, ids == F.col("__id"), "left")
+    texts, known = _keyed(docs), written(copies(docs), "phrase-known")
+    runs = _repeats(texts, known, window, gram).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    all_of_it = known.select(F.col("copy").alias("doc_id"), F.array(F.struct(F.lit(0).alias("first"), F.lit(WHOLE).alias("last"))).alias("runs"))
+    runs = runs.unionByName(all_of_it).withColumnRenamed("doc_id", "__id")
     none = F.array().cast("array<struct<first:int,last:int>>")
-    joined = joined.select(F.col("doc_id").cast("long"), "text", F.coalesce("runs", none).alias("runs"))
+    joined = texts.join(runs, F.col("doc_id") == F.col("__id"), "left")
+    joined = joined.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("runs", none).alias("runs"))
     return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
