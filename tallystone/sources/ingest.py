@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallystone.functions.canon import canonical, digest, first_code, short_id, slug, utc_text
 
@@ -150,7 +149,7 @@ def messages(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 # Fixed value: the fields of the three export shapes that are checked.
-EXPORT_SCHEMA = T.StructType.fromDDL("event_id string, event_type string, created_at string, payload string, pages array<struct<citations: array<struct<reference: string>>>>, references array<struct<reference: string>>, context struct<sources: array<string>>, export_version string")
+EXPORT_SCHEMA = "event_id string, event_type string, created_at string, payload string, pages array<struct<citations: array<struct<reference: string>>>>, references array<struct<reference: string>>, context struct<sources: array<string>>, export_version string"
 
 
 def validate_exports(exports: DataFrame, version: str = "1") -> DataFrame:
