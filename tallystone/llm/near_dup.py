@@ -8,8 +8,7 @@ k ln k + 3k darts in all, so a signature costs no more for short documents than
 
 Bands of coordinates meet in joins. Per bucket one member, the centre, is compared with the others, by exact
 similarity of the shingle sets. Buckets that then lie within one class are done, as are centres; after `turns` such
-steps what is left is compared block against block by signatures in tasks that return only promising pairs of different
-classes. So no bucket is capped and no group is expanded into all its pairs. Copies with equal sets are one
+steps what is left is compared block against block, in tasks that return only links between classes not yet joined. So no bucket is capped and no group is expanded into all its pairs. Copies with equal sets are one
 representative from the start.
 """
 
@@ -129,18 +128,29 @@ def _bands(rows: int):
     return explode
 
 
-def _across(least: float):
-    """Pairs of one block, or of two blocks of a bucket, that lie in different classes and agree in enough coordinates."""
+def _across(least: float, threshold: float):
+    """Links between classes within one block, or between two blocks, of a bucket.
+
+    Signatures tell which pairs can be similar, the shingle sets which are. Classes that a link has joined are one from
+    there on, so at most as many links come out as there are members.
+    """
 
     def across(key: tuple, block: pa.Table) -> pa.Table:
-        rep, root, side = (np.asarray(block.column(c)) for c in ("rep", "root", "block"))
-        darts = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for c in block.column("darts").chunks for x in c])
-        pairs = [np.zeros((0, 2), np.int64)]
+        rep, side = np.asarray(block.column("rep")), np.asarray(block.column("block"))
+        root = np.unique(np.asarray(block.column("root")), return_inverse=True)[1]
+        darts = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in block.column("darts")])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("elements")]
+        single, pairs = side.min() == side.max(), []
         for x in range(len(rep)):
-            others = np.flatnonzero((rep > rep[x]) & (root != root[x]) & ((side != side[x]) | (side.min() == side.max())))
-            near = others[(darts[others] == darts[x]).mean(axis=1) >= least] if len(others) else others
-            pairs.append(np.stack([np.full(len(near), rep[x]), rep[near]], axis=1))
-        pairs = np.concatenate(pairs)
+            others = np.flatnonzero((rep > rep[x]) & (root != root[x]) & ((side != side[x]) | single))
+            for y in others[(darts[others] == darts[x]).mean(axis=1) >= least] if len(others) else ():
+                if root[y] == root[x]:
+                    continue
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if common >= threshold * (len(sets[x]) + len(sets[y]) - common) - 1e-9:
+                    pairs.append((rep[x], rep[y]))
+                    root[root == root[y]] = root[x]
+        pairs = np.array(pairs, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return across
@@ -227,10 +237,10 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: in
         k = bands * rows
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
         dealt = open_.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(99)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(distinct, "rep")
+        dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(distinct, "rep").join(sets.select("rep", "elements"), "rep")
         least = threshold - 6 * (threshold * (1 - threshold) / k) ** 0.5
-        pairs = dealt.select("band", "key", "i", "j", "rep", "root", "block", "darts").groupBy("band", "key", "i", "j").applyInArrow(_across(least), "a long, b long").distinct()
-        links = links.union(written(_similar(pairs, sets, threshold), "near-links"))
+        found = dealt.select("band", "key", "i", "j", "rep", "root", "block", "darts", "elements").groupBy("band", "key", "i", "j").applyInArrow(_across(least, threshold), "a long, b long").distinct()
+        links = links.union(written(found, "near-links"))
         roots = components(links)
     member = signed.join(reps.where("n > 0"), ["p1", "p2", "n"]).select("doc_id", "rep", "n").distinct()
     if roots is not None:
