@@ -39,37 +39,39 @@ def normalize_events(payloads: DataFrame) -> DataFrame:
     return p.select("session_id", F.coalesce(get("event_id"), short_id("trace_event_", F.col("payload"))).alias("event_id"), F.coalesce(get("sequence").try_cast("long"), place).alias("sequence"), F.lit("TOOL").alias("event_type"), F.col("at").alias("occurred_at"), F.coalesce(get("summary"), F.concat_ws(" ", F.lit("PostToolUse"), "tool")).alias("summary"), F.when(F.col("at").isNull(), "HOOK_TIMESTAMP_MISSING").alias("code"))
 
 
-def _append(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    count, closed = state.get if state.exists else (0, False)
-    for batch in batches:
-        batch = batch.sort_values(["sequence", "event_id"], kind="stable")
-        codes = []
-        for sequence, kind in zip(batch["sequence"], batch["event_type"], strict=True):
-            if closed:
-                codes.append("SESSION_CLOSED")
-            elif sequence != count + 1:
-                codes.append("SEQUENCE_MISMATCH")
-            else:
-                count, closed = count + 1, kind == "FINAL"
-                codes.append(None)
-        yield pd.DataFrame({"session_id": batch["session_id"], "event_id": batch["event_id"], "sequence": batch["sequence"], "event_type": batch["event_type"], "code": codes})
-    state.update((count, closed))
-    state.setTimeoutDuration(_append.ttl_ms)
-
-
-_append.ttl_ms = 24 * 3600 * 1000
-
-
-def ordered_append(stream: DataFrame) -> DataFrame:
+def _append(ttl_ms: int | None):
+    def append(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        count, closed = state.get if state.exists else (0, False)
+        for batch in batches:
+            batch = batch.sort_values(["sequence", "event_id"], kind="stable")
+            codes = []
+            for sequence, kind in zip(batch["sequence"], batch["event_type"], strict=True):
+                if closed:
+                    codes.append("SESSION_CLOSED")
+                elif sequence != count + 1:
+                    codes.append("SEQUENCE_MISMATCH")
+                else:
+                    count, closed = count + 1, kind == "FINAL"
+                    codes.append(None)
+            yield pd.DataFrame({"session_id": batch["session_id"], "event_id": batch["event_id"], "sequence": batch["sequence"], "event_type": batch["event_type"], "code": codes})
+        state.update((count, closed))
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
+
+    return append
+
+
+def ordered_append(stream: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """A stream of events with code: null if accepted, SEQUENCE_MISMATCH unless the sequence is the next one, SESSION_CLOSED after a FINAL event.
 
-    State is a count and a flag per session.
+    State is a count and a flag per session, evicted after ttl_ms without events. None keeps it for good, for runs over what is available now.
     """
     rows = stream.select("session_id", "event_id", "sequence", "event_type")
-    return rows.groupBy("session_id").applyInPandasWithState(_append, ACCEPTED, "count long, closed boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("session_id").applyInPandasWithState(_append(ttl_ms), ACCEPTED, "count long, closed boolean", "append", timeout)
 
 
 def ordered_append_batch(events: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def test_stream_accepts_only_the_next_sequence(spark, tmp_path):
     for i, r in enumerate(rows):
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = traces.ordered_append(stream).writeStream.format("memory").queryName("accepted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = traces.ordered_append(stream, None).writeStream.format("memory").queryName("accepted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {r["event_id"]: r["code"] for r in spark.table("accepted").collect()}
     assert got["e1"] is None and got["f2"] == "SEQUENCE_MISMATCH" and got["e4"] in ("SESSION_CLOSED", "SEQUENCE_MISMATCH", None) and len(got) == 5
