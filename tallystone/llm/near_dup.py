@@ -27,7 +27,7 @@ BANDS, ROWS = 40, 6
 #: Tables of ids of at most so many rows (8 bytes each) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Members of a bucket that are compared at once.
-BLOCK = 128
+BLOCK = 512
 #: Poisson(1) distribution function: how many darts a unit cell has.
 _DARTS = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320], float))
 _UNIT = 2.0**-53
