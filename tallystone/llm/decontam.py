@@ -85,4 +85,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs without any hit, with their columns; all rows of a hit doc_id go. Rows without id are judged as one document."""
     bad = contamination(docs, items, window).where("n_hit > 0").select(F.col("doc_id").alias("__bad")).distinct()
+    bad = sized(written(bad, "bench-bad"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
