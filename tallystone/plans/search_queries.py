@@ -44,15 +44,19 @@ def rounded(df):
     return df.select("query_id", "document_id", F.round("score", 6).alias("score"))
 
 
-def vectors(s, d):
+# The query set of a search: every row whose id is divisible by 100. The SQL of r07 and r08 holds only ids below 20.
+ASKED = "vec_id % 100 = 0"
+
+
+def vectors(s, d, asked="vec_id < 20"):
     e = table(s, d, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("document_id"), "embedding", "vec_id")
-    return R.vector_search(e.where("vec_id < 20").select(F.col("document_id").alias("query_id"), "embedding"), e, 10)
+    return R.vector_search(e.where(asked).select(F.col("document_id").alias("query_id"), "embedding"), e, 10)
 
 
-def same_label(s, d):
+def same_label(s, d, asked="vec_id < 20"):
     """A second ranking: vectors of the query's label, by id."""
     e = table(s, d, "embeddings")
-    j = e.where("vec_id < 20").select(F.col("vec_id").alias("q"), "label").join(e.select("vec_id", "label"), "label").where("q <> vec_id")
+    j = e.where(asked).select(F.col("vec_id").alias("q"), "label").join(e.select("vec_id", "label"), "label").where("q <> vec_id")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("vec_id"))
     return j.select(F.concat(F.lit("v"), "q").alias("query_id"), F.concat(F.lit("v"), "vec_id").alias("document_id"), rank.alias("rank"))
 
@@ -190,6 +194,8 @@ QUERIES = {
     "r06_term_count_search": lambda s, d: rounded(R.term_count_search(queries(s, d), documents(s, d), 20)),
     "r07_vector_search": lambda s, d: rounded(vectors(s, d)),
     "r08_rrf": lambda s, d: rounded(R.rrf([vectors(s, d), same_label(s, d)], 10)),
+    "r07_vector_search_whole": lambda s, d: rounded(vectors(s, d, ASKED)),
+    "r08_rrf_whole": lambda s, d: rounded(R.rrf([vectors(s, d, ASKED), same_label(s, d, ASKED)], 10)),
     "r09_retrieval_eval": evaluation,
     "r10_read_spans": spans,
     "r11_find_symbols": lambda s, d: R.find_symbols(K.symbols(code_lines(s, d)), "ITEM1", 100_000).select("path", "qualified_name"),
