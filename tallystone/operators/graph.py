@@ -48,6 +48,13 @@ def known_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return edges.join(at("source_id"), "source_id", "left_semi").join(at("target_id"), "target_id", "left_semi")
 
 
+def _steps(edges: DataFrame, direction: str) -> DataFrame:
+    """(u, w): which steps the edges allow."""
+    forward = edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("w"))
+    reverse = edges.select(F.col("target_id").alias("u"), F.col("source_id").alias("w"))
+    return {"FORWARD": forward, "REVERSE": reverse, "BOTH": forward.union(reverse)}[direction].distinct()
+
+
 def impact(edges: DataFrame, start: DataFrame, max_depth: int = 4, direction: str = "BOTH") -> DataFrame:
     """(start_id, object_id, depth, via): what each start (object_id) reaches within max_depth steps, breadth first; via is the smallest predecessor.
 
@@ -55,9 +62,7 @@ def impact(edges: DataFrame, start: DataFrame, max_depth: int = 4, direction: st
     """
     if not 1 <= max_depth <= 16 or direction not in ("FORWARD", "REVERSE", "BOTH"):
         raise ValueError("max_depth must be 1..16, direction FORWARD, REVERSE or BOTH")
-    forward = edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("w"))
-    reverse = edges.select(F.col("target_id").alias("u"), F.col("source_id").alias("w"))
-    steps = {"FORWARD": forward, "REVERSE": reverse, "BOTH": forward.union(reverse)}[direction].distinct()
+    steps = _steps(edges, direction)
     visited = written(start.select(F.col("object_id").alias("start_id"), "object_id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).distinct(), "impact")
     frontier = visited
     for depth in range(1, max_depth + 1):
@@ -69,6 +74,13 @@ def impact(edges: DataFrame, start: DataFrame, max_depth: int = 4, direction: st
     return visited.where("depth > 0")
 
 
+def impact_steps(edges: DataFrame, start: DataFrame, reached: DataFrame, max_depth: int = 4, direction: str = "BOTH") -> DataFrame:
+    """The steps that an impact result (reached) walks: (start_id, u, w, depth), from each node nearer than max_depth, also back to visited nodes; depth is that of w on this path."""
+    own = start.select(F.col("object_id").alias("start_id"), F.col("object_id").alias("u"), F.lit(0).alias("depth")).distinct()
+    nodes = own.union(reached.select("start_id", F.col("object_id").alias("u"), "depth")).where(F.col("depth") < max_depth)
+    return nodes.join(_steps(edges, direction), "u").select("start_id", "u", "w", (F.col("depth") + 1).alias("depth"))
+
+
 def induced_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
     """The edges of an impact result among what a start and its reached objects are: (start_id, source_id, target_id, edge_kind)."""
     nodes = reached.select("start_id", "object_id").union(reached.select("start_id", F.col("start_id").alias("object_id"))).distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.operators import context as X
@@ -10,6 +12,7 @@ from tallystone.operators import graph as K
 from tallystone.operators import retrieval as R
 from tallystone.plans import view_queries as VQ
 from tallystone.plans.derive import sources, table
+from tallystone.sources.scratch import written
 
 
 def documents(s, d):
@@ -106,6 +109,21 @@ def graph(s, d):
     return e.where("o_orderkey % 20 = 0").distinct()
 
 
+def whole_graph(s, d):
+    """An edge from each order to its customer, by their own ids."""
+    return table(s, d, "orders").select(F.concat(F.lit("n"), "o_orderkey").alias("source_id"), F.concat(F.lit("n"), "o_custkey").alias("target_id"), F.lit("CALLS").alias("edge_kind")).distinct()
+
+
+def whole_impact(s, d):
+    """What each supplier's node reaches, the steps to it and the edges among it, each as a part."""
+    e, start = whole_graph(s, d), table(s, d, "supplier").select(F.concat(F.lit("n"), "s_suppkey").alias("object_id"))
+    reached = written(K.impact(e, start), "impact")
+    paths, edges = K.impact_steps(e, start, reached), K.induced_edges(e, reached)
+    none = F.lit(None).cast("int")
+    parts = [reached.select("start_id", F.lit("reached").alias("part"), F.col("via").alias("source_id"), F.col("object_id").alias("target_id"), "depth"), paths.select("start_id", F.lit("step"), "u", "w", "depth"), edges.select("start_id", F.lit("edge"), "source_id", "target_id", none)]
+    return reduce(DataFrame.union, parts)
+
+
 def resolved(s, d):
     k = F.col("p_partkey")
     p = table(s, d, "part")
@@ -204,6 +222,8 @@ QUERIES = {
     "k02_resolve_edges": resolved,
     "k03_known_edges": lambda s, d: K.known_edges(graph(s, d), table(s, d, "part").where("p_partkey < 600 and p_partkey % 5 <> 0").select(F.concat(F.lit("n"), "p_partkey").alias("symbol_id"))),
     "k04_impact": lambda s, d: K.impact(graph(s, d), table(s, d, "supplier").where("s_suppkey % 10 = 1").select(F.concat(F.lit("n"), "s_suppkey").alias("object_id")), 3, "FORWARD").select("start_id", "object_id", "depth"),
+    "k03_known_edges_whole": lambda s, d: K.known_edges(whole_graph(s, d), table(s, d, "part").select(F.concat(F.lit("n"), "p_partkey").alias("symbol_id"))),
+    "k04_impact_whole": whole_impact,
     "x01_normalize_requests": lambda s, d: X.normalize_requests(requests(s, d)).select("request_id", F.array_join("terms", " ").alias("terms"), F.array_join("refs", " ").alias("refs"), "budget", "code"),
     "x02_score_records": scored,
     "x03_score_views": lambda s, d: X.score_views(X.normalize_requests(requests(s, d)), view_rows(s, d)),

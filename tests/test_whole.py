@@ -33,3 +33,30 @@ def test_searches_answer_every_hundredth_vector(spark, small):
     assert found.keys() == near.keys() and all(abs(found[k] - near[k]) < 2e-6 for k in near)
     found = {(r["query_id"], r["document_id"]): r["score"] for r in registry.QUERIES["r08_rrf_whole"](spark, small).collect()}
     assert found.keys() == fused.keys() and all(abs(found[k] + fused[k]) < 2e-6 for k in fused)
+
+
+def test_graph_has_all_orders_and_impact_its_steps_and_edges(spark, small):
+    edges = {(f"n{r['o_orderkey']}", f"n{r['o_custkey']}") for r in rows(small, "orders", "o_orderkey", "o_custkey")}
+    parts = {f"n{r['p_partkey']}" for r in rows(small, "part", "p_partkey")}
+    found = registry.QUERIES["k03_known_edges_whole"](spark, small).collect()
+    assert sorted((r["source_id"], r["target_id"]) for r in found) == sorted(e for e in edges if e[0] in parts and e[1] in parts)
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    want = []
+    for start in {f"n{r['s_suppkey']}" for r in rows(small, "supplier", "s_suppkey")}:
+        depth, level = {start: 0}, [start]
+        for n in range(1, 5):
+            met = defaultdict(list)
+            for u in level:
+                for w in near[u]:
+                    want.append((start, "step", u, w, n))
+                    met[w].append(u)
+            level = [w for w in met if w not in depth]
+            depth |= dict.fromkeys(level, n)
+            want += [(start, "reached", min(met[w]), w, n) for w in level]
+        want += [(start, "edge", a, b, None) for a, b in edges if a in depth and b in depth and len(depth) > 1]
+    got = [tuple(r) for r in registry.QUERIES["k04_impact_whole"](spark, small).select("start_id", "part", "source_id", "target_id", "depth").collect()]
+    assert any(p == "step" and depth == 2 and w == s for s, p, _, w, depth in got)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
