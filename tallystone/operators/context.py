@@ -6,10 +6,14 @@ the byte. Requests are a stated set: they are packed into blocks, and every bloc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.operators.retrieval import packed
+from tallystone.sources.scratch import written
 
 # The default budget, scores, and hints that a request may not use.
 DEFAULT_BUDGET, ENVELOPE = 64 * 1024, 32
@@ -75,23 +79,30 @@ def order_candidates(records: DataFrame, views: DataFrame, skills: DataFrame) ->
     return rows.select("request_id", F.row_number().over(w).alias("position"), "kind", "id", "score")
 
 
-def pack_skip(candidates: DataFrame, requests: DataFrame, top_n: int = 1000) -> DataFrame:
-    """(request_id, id, included): greedy by position; what doesn't fit is skipped, later items may still fit.
+def pack_skip(candidates: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, id, position, included, code): greedy by position; what doesn't fit is skipped, later items may still fit.
 
     candidates: request_id, position, id, bytes, mandatory. A mandatory item that doesn't fit gives code CONTEXT_REFERENCE_EXCEEDS_BUDGET to all rows of its
-    request. The first top_n candidates are considered, which bounds a request's list; a limit of the operator.
+    request. All candidates are walked: rows are sorted within partitions and only a running total is kept, so a request may have any number.
     """
-    rows = F.array_sort(F.collect_list(F.struct("position", "id", "bytes", "mandatory")))
-    few = candidates.where(F.col("position") <= top_n).groupBy("request_id").agg(rows.alias("rows")).join(requests.select("request_id", "budget"), "request_id")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("broken"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(acc: Column, r: Column, budget: Column) -> Column:
-        fits = acc["used"] + r["bytes"] + ENVELOPE <= budget
-        return F.struct(F.when(fits, acc["used"] + r["bytes"] + ENVELOPE).otherwise(acc["used"]).alias("used"), (acc["broken"] | (r["mandatory"] & ~fits)).alias("broken"), F.concat(acc["out"], F.array(fits)).alias("out"))
 
-    folded = few.withColumn("acc", F.aggregate("rows", start, lambda a, r: step(a, r, F.col("budget"))))
-    each = folded.select("request_id", F.when(F.col("acc.broken"), "CONTEXT_REFERENCE_EXCEEDS_BUDGET").alias("code"), F.explode(F.arrays_zip("rows", F.col("acc.out").alias("flags"))).alias("z"))
-    return each.select("request_id", F.col("z.rows.id").alias("id"), F.col("z.rows.position").alias("position"), F.col("z.flags").alias("included"), "code")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        request, used = None, 0
+        for batch in batches:
+            flags = []
+            for of, size, budget in zip(batch["request_id"], batch["bytes"], batch["budget"], strict=True):
+                if of != request:
+                    request, used = of, 0
+                fits = used + size + ENVELOPE <= budget
+                used += size + ENVELOPE if fits else 0
+                flags.append(fits)
+            yield batch[["request_id", "id", "position", "mandatory"]].assign(included=flags)
+
+    rows = candidates.join(requests.select("request_id", "budget"), "request_id").select("request_id", "position", "id", "bytes", "mandatory", "budget")
+    schema = rows.select("request_id", "id", "position", "mandatory").schema.add("included", "boolean")
+    walked = written(rows.repartition("request_id").sortWithinPartitions("request_id", "position", "id").mapInPandas(walk, schema), "pack")
+    broken = walked.where("mandatory and not included").select("request_id", F.lit("CONTEXT_REFERENCE_EXCEEDS_BUDGET").alias("code")).distinct()
+    return walked.join(broken, "request_id", "left").select("request_id", "id", "position", "included", "code")
 
 
 def pack_prefix(items: DataFrame, requests: DataFrame) -> DataFrame:

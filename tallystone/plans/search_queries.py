@@ -132,10 +132,10 @@ def resolved(s, d):
     return K.resolve_edges(sym, men)
 
 
-def requests(s, d):
+def requests(s, d, cut=True):
     k = F.col("item_id")
     return table(s, d, "benchmark").select(
-        F.concat(F.lit("req_"), k).alias("request_id"), F.substring("text", 1, 40).alias("task"), F.when(k % 3 == 0, "Supplier#000000003 Customer").alias("query"), F.when(k % 2 == 0, F.array(F.concat(F.lit("work_"), k), F.concat(F.lit("decision_"), k), F.concat(F.lit("work_"), k))).alias("refs"),
+        F.concat(F.lit("req_"), k).alias("request_id"), (F.substring("text", 1, 40) if cut else F.col("text")).alias("task"), F.when(k % 3 == 0, "Supplier#000000003 Customer").alias("query"), F.when(k % 2 == 0, F.array(F.concat(F.lit("work_"), k), F.concat(F.lit("decision_"), k), F.concat(F.lit("work_"), k))).alias("refs"),
         F.when(k % 4 == 0, "EVIDENCE").alias("depth"), F.when(k % 5 != 0, 2000 + 500 * (k % 7)).alias("budget_bytes"), F.when(k % 3 == 0, 400).alias("budget_tokens"), F.when(k % 9 == 0, F.create_map(F.lit("tenant"), F.lit("x"))).alias("hints"),
     )
 
@@ -148,8 +148,8 @@ def continuity(s, d):
     return VQ.records(s, d).where("kind in ('DECISION_RECORD', 'OPEN_QUESTION', 'WORK_ITEM', 'CONFLICT')").withColumn("document", F.col("status"))
 
 
-def scored(s, d):
-    return X.score_records(X.normalize_requests(requests(s, d)), continuity(s, d))
+def scored(s, d, cut=True):
+    return X.score_records(X.normalize_requests(requests(s, d, cut)), continuity(s, d))
 
 
 _SCORE = f"""{VQ.RECORDS}, {REQ}, sc AS (SELECT request_id, object_id AS id, (CASE WHEN list_contains(refs, object_id) THEN 10000 ELSE 0 END + 20 * len(list_filter(terms, lambda t: contains(lower(concat_ws(' ', title, status)), t))) + CASE priority WHEN 'P0' THEN 15 WHEN 'P1' THEN 8 ELSE 0 END
@@ -170,27 +170,33 @@ _SKILLS = """sk AS (SELECT request_id, 'skill_' || p_partkey AS id, list_sum(lis
 st AS (SELECT * FROM sk WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) <= 5)"""
 
 
-def ordered(s, d):
-    r = X.normalize_requests(requests(s, d))
-    return X.order_candidates(scored(s, d).where("score >= 20"), X.score_views(r, view_rows(s, d)), X.score_skills(r, skill_rows(s, d)))
+def ordered(s, d, cut=True):
+    r = X.normalize_requests(requests(s, d, cut))
+    return X.order_candidates(scored(s, d, cut).where("score >= 20"), X.score_views(r, view_rows(s, d)), X.score_skills(r, skill_rows(s, d)))
 
 
 _ORDERED = f"{_SCORE}, {_VIEWS.replace(REQ + ', ', '')}, {_SKILLS}, un AS (SELECT *, 'record' AS kind FROM sc WHERE score >= 20 UNION ALL SELECT *, 'scenario' FROM vw WHERE score > 0 UNION ALL SELECT *, 'skill' FROM st), od AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, kind, id)::INTEGER AS position, kind, id, score FROM un)"
 
 
-def sized(s, d):
-    return ordered(s, d).where("position <= 60").withColumn("bytes", (F.length("id") * 17 % 300 + 20).cast("long")).withColumn("mandatory", F.col("score") >= 10_000)
+def sized(s, d, cut=True):
+    """Candidates with sizes; cut: of tasks of 40 characters and the first 60 of each request, as the SQL has them."""
+    rows = ordered(s, d, cut)
+    return (rows.where("position <= 60") if cut else rows).withColumn("bytes", (F.length("id") * 17 % 300 + 20).cast("long")).withColumn("mandatory", F.col("score") >= 10_000)
 
 
 _SIZED = f"{_ORDERED}, sz AS (SELECT *, (length(id) * 17 % 300 + 20)::BIGINT + 32 AS b, score >= 10000 AS m FROM od WHERE position <= 60)"
 
 
-def prefix(s, d):
-    return X.pack_prefix(sized(s, d), X.normalize_requests(requests(s, d)))
+def skip(s, d, cut=True):
+    return X.pack_skip(sized(s, d, cut), X.normalize_requests(requests(s, d, cut))).select("request_id", "id", "included", "code")
 
 
-def report(s, d):
-    p = prefix(s, d).join(sized(s, d).select("request_id", "id", F.col("kind").alias("section")), ["request_id", "id"])
+def prefix(s, d, cut=True):
+    return X.pack_prefix(sized(s, d, cut), X.normalize_requests(requests(s, d, cut)))
+
+
+def report(s, d, cut=True):
+    p = prefix(s, d, cut).join(sized(s, d, cut).select("request_id", "id", F.col("kind").alias("section")), ["request_id", "id"])
     return X.truncation_report(p)
 
 
@@ -229,11 +235,14 @@ QUERIES = {
     "x03_score_views": lambda s, d: X.score_views(X.normalize_requests(requests(s, d)), view_rows(s, d)),
     "x04_score_skills": lambda s, d: X.score_skills(X.normalize_requests(requests(s, d)), skill_rows(s, d)),
     "x05_order_candidates": ordered,
-    "x06_pack_skip": lambda s, d: X.pack_skip(sized(s, d), X.normalize_requests(requests(s, d))).select("request_id", "id", "included", "code"),
+    "x06_pack_skip": skip,
+    "x06_pack_skip_whole": lambda s, d: skip(s, d, False),
     "x07_pack_prefix": prefix,
+    "x07_pack_prefix_whole": lambda s, d: prefix(s, d, False),
     "x08_project_depth": depth,
     "x09_token_estimate": lambda s, d: table(s, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens")),
     "x10_truncation_report": report,
+    "x10_truncation_report_whole": lambda s, d: report(s, d, False),
 }
 
 ORACLE_SQL = {

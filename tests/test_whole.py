@@ -60,3 +60,42 @@ def test_graph_has_all_orders_and_impact_its_steps_and_edges(spark, small):
     got = [tuple(r) for r in registry.QUERIES["k04_impact_whole"](spark, small).select("start_id", "part", "source_id", "target_id", "depth").collect()]
     assert any(p == "step" and depth == 2 and w == s for s, p, _, w, depth in got)
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_packing_walks_every_candidate(spark, small):
+    from tallystone.operators import context as X
+    from tallystone.plans import search_queries as S
+
+    budget = {r["request_id"]: r["budget"] for r in X.normalize_requests(S.requests(spark, small, False)).collect()}
+    of, skip, prefix, told = defaultdict(list), {}, {}, {}
+    for r in S.sized(spark, small, False).collect():
+        of[r["request_id"]].append(r)
+    assert max(map(len, of.values())) > 60
+    for q, items in of.items():
+        items.sort(key=lambda r: r["position"])
+        used, bad, flags = 0, False, {}
+        for r in items:
+            fits = used + r["bytes"] + 32 <= budget[q]
+            used += r["bytes"] + 32 if fits else 0
+            bad |= r["mandatory"] and not fits
+            flags[r["id"]] = fits
+        skip |= {(q, i): (f, "CONTEXT_REFERENCE_EXCEEDS_BUDGET" if bad else None) for i, f in flags.items()}
+        over, total = sum(r["bytes"] + 32 for r in items if r["mandatory"]) > budget[q], 0
+        for r in sorted(items, key=lambda r: (not r["mandatory"], r["position"])):
+            total += r["bytes"] + 32
+            fits = not over and total <= budget[q]
+            prefix[q, r["id"]] = fits, "CONTEXT_BUDGET_EXCEEDED" if over else None
+            told.setdefault((q, r["kind"]), [0, 0])[not fits] += 1
+    for name, want in (("x06_pack_skip_whole", skip), ("x07_pack_prefix_whole", prefix)):
+        got = registry.QUERIES[name](spark, small).collect()
+        assert len(got) == len(want) and {(r["request_id"], r["id"]): (r["included"], r["code"]) for r in got} == want
+    assert {(r["request_id"], r["section"]): [r["included"], r["omitted"]] for r in registry.QUERIES["x10_truncation_report_whole"](spark, small).collect()} == told
+
+
+def test_pack_skip_has_no_cap(spark):
+    from tallystone.operators import context as X
+
+    items = spark.range(1, 2502).selectExpr("'r' request_id", "cast(id as int) position", "concat('i', id) id", "if(id = 2500, 5L, 100L) bytes", "id = 2501 mandatory")
+    got = X.pack_skip(items, spark.createDataFrame([("r", 2498 * 132 + 40)], "request_id string, budget long")).collect()
+    assert len(got) == 2501 and {r["position"] for r in got if not r["included"]} == {2499, 2501}
+    assert {r["code"] for r in got} == {"CONTEXT_REFERENCE_EXCEEDS_BUDGET"}
