@@ -56,12 +56,17 @@ def authority(s, d):
     return C.authority_check(ops, records)
 
 
-def context(s, d):
-    keys = D.table(s, d, "customer").where("c_custkey % 5 = 0").select(F.concat(F.lit("customer:"), "c_custkey").alias("subject_id"), F.lit("order.priority@1").alias("predicate"), F.lit("F").alias("environment"))
-    out = C.epistemic_context(D.claims(s, d), D.evidence(s, d), _conflicts(s, d), keys)
+def context(s, d, keys=None):
+    some = D.table(s, d, "customer").where("c_custkey % 5 = 0").select(F.concat(F.lit("customer:"), "c_custkey").alias("subject_id"), F.lit("order.priority@1").alias("predicate"), F.lit("F").alias("environment"))
+    out = C.epistemic_context(D.claims(s, d), D.evidence(s, d), _conflicts(s, d), some if keys is None else keys)
     return out.select("claim_id", F.array_join("evidence_ids", ",").alias("evidence_ids"), F.array_join("conflict_ids", ",").alias("conflict_ids"))
 
 
+def whole_context(s, d):
+    """The context of all keys of a customer and an environment that claims have."""
+    return context(s, d, D.claims(s, d).where("environment is not null").select("subject_id", F.lit("order.priority@1").alias("predicate"), "environment").distinct())
+
+
 def references(s, d):
     o = D.table(s, d, "orders")
     refs = o.select(F.concat(F.lit("ref_"), "o_orderkey").alias("ref_id"), F.when(F.col("o_orderkey") % 6 == 0, F.concat(F.lit("claim_x"), "o_orderkey")).otherwise(F.concat(F.lit("claim_"), "o_orderkey")).alias("target"), F.when(F.col("o_orderkey") % 8 == 0, "DECISION_RECORD").otherwise("CLAIM").alias("record_type"))
@@ -89,6 +94,7 @@ QUERIES = {
     "c10_authority_check": authority,
     "c11_active_set_digest": lambda s, d: C.active_set_digest(D.claims(s, d), D.registry(s)).select("family_key", "members"),
     "c12_epistemic_context": context,
+    "c12_epistemic_context_whole": whole_context,
     "c13_reference_check": references,
     "c14_list_conflicts": lambda s, d: C.list_conflicts(_conflicts(s, d), "OPEN").select("conflict_id", "kind", "opened_seq"),
     "c15_resolution_preservation": preservation,

@@ -189,8 +189,8 @@ def captured(s, d):
     return T.capture_idempotency(t, t.where(n % 3 != 0).withColumn("content_hash", F.when(n % 5 == 0, "sha256:x").otherwise(F.col("content_hash"))))
 
 
-def details(s, d):
-    u = table(s, d, "events").where("event_id % 50 = 0").select(F.col("event_id").alias("trace_id"), F.to_json(F.array(F.struct("event_type"), F.struct(F.lit("test").alias("event_type")))).alias("content"))
+def details(s, d, asked="event_id % 50 = 0"):
+    u = table(s, d, "events").where(asked).select(F.col("event_id").alias("trace_id"), F.to_json(F.array(F.struct("event_type"), F.struct(F.lit("test").alias("event_type")))).alias("content"))
     receipts = u.select("trace_id", F.when(F.col("trace_id") % 100 == 0, "sha256:x").otherwise(digest(F.col("content"))).alias("content_hash"))
     return T.trace_detail(receipts, u.where("trace_id % 150 <> 0"))
 
@@ -227,6 +227,7 @@ QUERIES = {
     "t07_prune": lambda s, d: T.prune(T.finalize_traces(trace_events(s, d)), "2024-01-30")[1],
     "t08_cursor_page": lambda s, d: T.cursor_page(table(s, d, "events").select(F.col("event_id").alias("seq"), "event_type"), 500, 100),
     "t09_trace_detail": details,
+    "t09_trace_detail_whole": lambda s, d: details(s, d, "true"),
     "t10_dead_letters": letters,
 }
 

@@ -99,3 +99,19 @@ def test_pack_skip_has_no_cap(spark):
     got = X.pack_skip(items, spark.createDataFrame([("r", 2498 * 132 + 40)], "request_id string, budget long")).collect()
     assert len(got) == 2501 and {r["position"] for r in got if not r["included"]} == {2499, 2501}
     assert {r["code"] for r in got} == {"CONTEXT_REFERENCE_EXCEEDS_BUDGET"}
+
+
+def test_all_traces_and_all_contexts(spark, small):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("events", "orders", "documents", "customer"):
+        c.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    traces, contexts = registry.ORACLE_SQL["t09_trace_detail"], registry.ORACLE_SQL["c12_epistemic_context"]
+    cut = " WHERE event_id % 50 = 0", " AND environment = 'F' AND subject_id IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_custkey % 5 = 0)"
+    assert cut[0] in traces and cut[1] in contexts
+    for name, sql in (("t09_trace_detail_whole", traces.replace(cut[0], "")), ("c12_epistemic_context_whole", contexts.replace(cut[1], " AND environment IS NOT NULL"))):
+        cur = c.execute(sql)
+        columns = [x[0] for x in cur.description]
+        got = [tuple(r) for r in registry.QUERIES[name](spark, small).select(*columns).collect()]
+        assert sorted(got, key=repr) == sorted(cur.fetchall(), key=repr)
