@@ -6,6 +6,7 @@ returns what its token table holds. Results of a stage are written and read agai
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from tallystone.llm import decontam, langid, mixing, near_dup, token_orc
@@ -14,8 +15,9 @@ from tallystone.llm.queries import table, tokenizer_file
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go. Short texts stay whatever their score."""
-    told = langid.predict(docs, langid.prototypes(docs), docs.columns)
+    """Documents with letters, whatever their score; without a label to learn from, a profile of zeros stands for any language."""
+    learned = langid.prototypes(docs) or {"any": np.zeros(langid.DIMENSIONS)}
+    told = langid.predict(docs, learned, docs.columns)
     return told.where(told["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
 
 

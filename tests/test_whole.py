@@ -115,3 +115,10 @@ def test_all_traces_and_all_contexts(spark, small):
         columns = [x[0] for x in cur.description]
         got = [tuple(r) for r in registry.QUERIES[name](spark, small).select(*columns).collect()]
         assert sorted(got, key=repr) == sorted(cur.fetchall(), key=repr)
+
+
+def test_language_stage_keeps_letters_when_nothing_is_labelled(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a house", None), (2, "123 -", None), (3, None, None), (4, "дом", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.identify_languages(spark, docs, "").collect()} == {1, 4}
