@@ -8,17 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a folder of our own where that is unset."""
+def scratch_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of our own in local mode and an error on a cluster, whose executors couldn't see that folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tallystone-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, which cuts its lineage and outlives executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
