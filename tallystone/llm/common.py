@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tallystone.sources.scratch import new_path, written
+
+__all__ = ["new_path", "written"]
+
 # The white space that separates words and pads lines, and the ASCII capitals.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -21,26 +23,6 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = 4 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tallystone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and survives the loss of any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,14 +43,14 @@ def words_column(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with at most so many bytes of the column (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with at most so many rows and bytes of the column (one row at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < batch.num_rows:
         floor = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, floor + most, side="right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, floor + most, side="right"))))
         yield batch.slice(at, to - at)
         at = to
 
