@@ -17,8 +17,7 @@ from tallystone.llm.queries import table, tokenizer_file
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, whatever their score; without a label to learn from, a profile of zeros stands for any language."""
     learned = langid.prototypes(docs) or {"any": np.zeros(langid.DIMENSIONS)}
-    told = langid.predict(docs, learned, docs.columns)
-    return told.where(told["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
+    return langid.identified(docs, learned)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
