@@ -5,17 +5,23 @@ Query sets are small and stated; they are packed into blocks of at most QUERY_BL
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions.canon import digest, first_code
 from tallystone.operators.ledger import state_digest
+from tallystone.sources.scratch import written
 
 # The BM25 parameters of the common full-text default, its idf floor, and the fusion constant.
 K1, B, IDF_FLOOR, RRF = 1.2, 0.75, 1e-6, 60
 QUERY_BLOCK = 256
+#: Queries that are broadcast, whole or in blocks; more of them are shuffled. Vectors of a block.
+BROADCAST_QUERIES, VECTOR_BLOCK = 10_000, 2048
 TIME_FIELDS = ["updated_at", "resolved_at", "recorded_at", "opened_at", "created_at", "asserted_at", "linked_at", "captured_at"]
 
 
@@ -23,7 +29,8 @@ def packed(queries: DataFrame, columns: list[str]) -> DataFrame:
     """(queries): blocks of the query set as arrays, each of a bounded number of rows."""
     n = queries.count()
     block = F.pmod(F.xxhash64(columns[0]), F.lit(max(1, -(-n // QUERY_BLOCK))))
-    return F.broadcast(queries.groupBy(block.alias("b")).agg(F.collect_list(F.struct(*columns)).alias("queries")).select("queries"))
+    blocks = queries.groupBy(block.alias("b")).agg(F.collect_list(F.struct(*columns)).alias("queries")).select("queries")
+    return F.broadcast(blocks) if n <= BROADCAST_QUERIES else blocks
 
 
 def top(scored: DataFrame, k: int, group: str = "query_id", item: str = "document_id") -> DataFrame:
@@ -55,10 +62,14 @@ def query_terms(text: Column) -> Column:
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """(term, document_id, tf, length): the inverted index over title and body. One aggregation by (document, term)."""
-    words = tokens(F.concat_ws("\n", "title", "body"))
-    each = documents.select("document_id", F.size(words).alias("length"), F.explode(words).alias("term"))
-    return each.groupBy("term", "document_id", "length").agg(F.count("*").alias("tf"))
+    """(term, document_id, tf, length): the inverted index over title and body. One aggregation by (document, term).
+
+    A lambda binds a text's words, so each text is split once, and the generator's rows carry only the word and their number.
+    """
+    words = F.array(tokens(F.concat_ws("\n", "title", "body")))
+    counted = F.transform(words, lambda ws: F.transform(ws, lambda w: F.struct(w.alias("term"), F.size(ws).alias("length"))))
+    each = documents.select("document_id", F.explode(F.get(counted, F.lit(0))).alias("w"))
+    return each.groupBy("w.term", "document_id", "w.length").agg(F.count("*").alias("tf")).select("term", "document_id", "length", "tf")
 
 
 def bm25_search(queries: DataFrame, index: DataFrame, documents: DataFrame, limit: int = 20, kinds: list[str] | None = None) -> DataFrame:
@@ -72,12 +83,15 @@ def bm25_search(queries: DataFrame, index: DataFrame, documents: DataFrame, limi
     n_terms = q.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     size = F.size(tokens(F.concat_ws("\n", "title", "body")))
     total = documents.agg(F.count("*").alias("n"), F.avg(size).alias("mean"))
-    hit = index.join(F.broadcast(q.select("term").distinct()) if queries.count() <= 10_000 else q.select("term").distinct(), "term", "left_semi")
+    near = queries.count() <= BROADCAST_QUERIES
+    small = F.broadcast if near else lambda df: df
+    hit = index.join(small(q.select("term").distinct()), "term", "left_semi")
+    hit = written(hit, "postings")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weight = df.join(F.broadcast(total)).select("term", "mean", idf.alias("idf"))
     score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    met = q.join(weight, "term").join(hit, "term")
+    met = hit.join(small(q.join(small(weight), "term")), "term")
     per = met.groupBy("query_id", "document_id").agg(F.count("*").alias("met"), F.sum(score).alias("score")).join(n_terms, "query_id").where("met = n_terms")
     if kinds:
         per = per.join(documents.where(F.col("kind").isin(kinds)).select("document_id"), "document_id", "left_semi")
@@ -94,14 +108,55 @@ def term_count_search(queries: DataFrame, documents: DataFrame, limit: int = 20)
     return top(scored.select("document_id", "s.*").where("score > 0"), limit).select("query_id", "rank", "document_id", "score")
 
 
+def _nearest(k: int):
+    """The k best of each block of vectors for each of a block's queries, as one matrix product."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = (np.frombuffer(row[c]).reshape(len(row[i]), -1) for c, i in (("queries", "query_ids"), ("vectors", "document_ids")))
+                if a.shape[1] != b.shape[1]:
+                    continue
+                # rounded, so that equal vectors tie whatever the order of the sums
+                scores = np.round(a @ b.T, 12)
+                ids = np.array(row["document_ids"], dtype=object)
+                order = np.argsort(ids, kind="stable")
+                ids, scores = ids[order], scores[:, order]
+                best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+                of = np.repeat(np.array(row["query_ids"], dtype=object), best.shape[1])
+                keep = of != ids[best].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(of[keep], pa.string()), pa.array(ids[best].ravel()[keep], pa.string()), pa.array(np.take_along_axis(scores, best, axis=1).ravel()[keep])], ["query_id", "document_id", "score"])
+
+    return nearest
+
+
 def vector_search(queries: DataFrame, embeddings: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, document_id, score): the k most similar vectors by cosine, others than the query's own id. Zero or null vectors match nothing."""
+    """(query_id, rank, document_id, score): the k most similar vectors by cosine, others than the query's own id. Zero or null vectors match nothing.
+
+    Blocks of queries meet blocks of vectors of the same length; only the best k of each meeting are shuffled.
+    """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    unit = lambda df, key: df.where("embedding is not null").select(F.col(key), F.col("embedding").cast("array<double>").alias("v")).withColumn("n", norm(F.col("v"))).where("n > 0")
-    blocks = packed(unit(queries, "query_id"), ["query_id", "v", "n"])
-    dot = lambda q: F.aggregate(F.zip_with(F.col("v"), q["v"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = unit(embeddings, "document_id").crossJoin(blocks).select("document_id", F.explode(F.transform("queries", lambda q: F.struct(q["query_id"].alias("query_id"), (dot(q) / (F.col("n") * q["n"])).alias("score")))).alias("s"))
-    return top(pairs.select("document_id", "s.*").where("query_id <> document_id and score is not null"), k).select("query_id", "rank", "document_id", "score")
+
+    def blocks(df: DataFrame, key: str, size: int, ids: str, data: str) -> DataFrame:
+        unit = df.where("embedding is not null").select(F.col(key).cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v")).withColumn("n", norm(F.col("v"))).where("n > 0")
+        unit = unit.select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+        n = unit.count()
+        packed_rows = unit.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // size)))).alias("b")).applyInArrow(_packed(ids, data), f"dim int, {ids} array<string>, {data} binary")
+        return written(packed_rows, "vector-blocks")
+
+    asked, given = blocks(queries, "query_id", QUERY_BLOCK, "query_ids", "queries"), blocks(embeddings, "document_id", VECTOR_BLOCK, "document_ids", "vectors")
+    met = given.join(asked, "dim").select("query_ids", "queries", "document_ids", "vectors")
+    return top(met.mapInArrow(_nearest(k), "query_id string, document_id string, score double"), k).select("query_id", "rank", "document_id", "score")
+
+
+def _packed(ids: str, data: str):
+    def pack(table: pa.Table) -> pa.Table:
+        v = table.column("v").combine_chunks()
+        raw = np.asarray(v.flatten(), np.float64).tobytes()
+        dim = len(v[0]) if len(v) else 0
+        return pa.table({"dim": pa.array([dim], pa.int32()), ids: pa.array([table.column("id").to_pylist()], pa.list_(pa.string())), data: pa.array([raw], pa.binary())})
+
+    return pack
 
 
 def rrf(rankings: list[DataFrame], limit: int = 10, constant: int = RRF) -> DataFrame:

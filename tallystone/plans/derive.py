@@ -64,23 +64,25 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
-    """One link from each claim to the first line of a document; some hashes are wrong, some ranges or sources impossible."""
-    docs = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("line"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    """One link from each claim to a line of a document, which one by the claim; some hashes are wrong, some ranges or sources impossible."""
+    docs = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("ls"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
     n = docs.agg(F.count("*").alias("n"))
     k = F.col("o_orderkey")
-    links = table(spark, d, "orders").select("o_orderkey").join(F.broadcast(n)).withColumn("doc_id", k % F.col("n")).join(docs, "doc_id")
-    end = F.when(k % 17 == 0, F.col("size") + 1).otherwise(F.octet_length("line"))
+    links = table(spark, d, "orders").select("o_orderkey").join(F.broadcast(n)).withColumn("doc_id", k % F.col("n")).join(docs, "doc_id").withColumn("i", (k % F.size("ls")).cast("int"))
+    at = F.when(F.col("i") > 0, F.octet_length(F.array_join(F.slice("ls", F.lit(1), F.col("i")), "\n")) + 1).otherwise(0)
+    links = links.select("o_orderkey", "doc_id", "size", at.cast("long").alias("at"), F.get("ls", F.col("i")).alias("line"))
+    end = F.when(k % 17 == 0, F.col("size") + 1).otherwise(F.col("at") + F.octet_length("line"))
     code = F.when(k % 13 == 0, F.lit("sha256:bad")).otherwise(digest(F.col("line")))
     return links.where(k % 19 != 0).select(
         F.concat(F.lit("evidence_"), k).alias("evidence_id"), F.concat(F.lit("claim_"), k).alias("claim_id"), F.when(k % 23 == 0, F.lit("revision_none")).otherwise(F.concat(F.lit("revision_"), "doc_id")).alias("revision_id"),
-        F.lit(0).cast("long").alias("start_byte"), end.cast("long").alias("end_byte"), code.alias("excerpt_hash"), F.when(k % 29 == 0, "INFERRED").otherwise("DIRECT").alias("interpretation"),
+        F.col("at").alias("start_byte"), end.cast("long").alias("end_byte"), code.alias("excerpt_hash"), F.when(k % 29 == 0, "INFERRED").otherwise("DIRECT").alias("interpretation"),
     )
 
 
 EVIDENCE = """evidence AS (SELECT 'evidence_' || o_orderkey AS evidence_id, 'claim_' || o_orderkey AS claim_id, CASE WHEN o_orderkey % 23 = 0 THEN 'revision_none' ELSE 'revision_' || doc_id END AS revision_id,
-  CASE WHEN o_orderkey % 17 = 0 THEN strlen(coalesce(text, '')) + 1 ELSE strlen(string_split(coalesce(text, ''), chr(10))[1]) END AS end_byte, o_orderkey AS k,
+  CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE strlen(ls[o_orderkey % len(ls) + 1]) END AS n_bytes, o_orderkey AS k,
   CASE WHEN o_orderkey % 29 = 0 THEN 'INFERRED' ELSE 'DIRECT' END AS interpretation
-  FROM orders JOIN documents ON doc_id = o_orderkey % (SELECT count(*) FROM documents) WHERE o_orderkey % 19 <> 0)"""
+  FROM orders JOIN (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) ON doc_id = o_orderkey % (SELECT count(*) FROM documents) WHERE o_orderkey % 19 <> 0)"""
 
 
 def resolutions(conflicts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from tallystone.functions.canon import digest
 from tallystone.operators import metrics as M
 from tallystone.operators import policy as P
 from tallystone.plans import claim_queries as CQ
+from tallystone.plans import derive as D
 from tallystone.plans import ledger_queries as LQ
 from tallystone.plans.derive import evidence, sources, table
 from tallystone.streaming import traces as T
@@ -123,7 +124,7 @@ def paired(s, d):
 
 def cold(s, d):
     k = F.col("doc_id")
-    h = table(s, d, "documents").select(k.alias("handoff_id"), F.col("text").alias("manual"), F.substring("text", 1, 50).alias("context"), F.array(F.lit("a"), (k % 3).cast("string")).alias("included_ids"), F.array(F.lit("1"), F.lit("a")).alias("expected_ids"))
+    h = table(s, d, "documents").select(k.alias("handoff_id"), F.col("text").alias("manual"), F.element_at(F.split("text", "\n", -1), -1).alias("context"), F.array(F.lit("a"), (k % 3).cast("string")).alias("included_ids"), F.array(F.lit("1"), F.lit("a")).alias("expected_ids"))
     return M.cold_start(h).select("handoff_id", F.round("byte_reduction", 6).alias("byte_reduction"), "recall")
 
 
@@ -189,8 +190,8 @@ def captured(s, d):
     return T.capture_idempotency(t, t.where(n % 3 != 0).withColumn("content_hash", F.when(n % 5 == 0, "sha256:x").otherwise(F.col("content_hash"))))
 
 
-def details(s, d, asked="event_id % 50 = 0"):
-    u = table(s, d, "events").where(asked).select(F.col("event_id").alias("trace_id"), F.to_json(F.array(F.struct("event_type"), F.struct(F.lit("test").alias("event_type")))).alias("content"))
+def details(s, d):
+    u = table(s, d, "events").select(F.col("event_id").alias("trace_id"), F.to_json(F.array(F.struct("event_type"), F.struct(F.lit("test").alias("event_type")))).alias("content"))
     receipts = u.select("trace_id", F.when(F.col("trace_id") % 100 == 0, "sha256:x").otherwise(digest(F.col("content"))).alias("content_hash"))
     return T.trace_detail(receipts, u.where("trace_id % 150 <> 0"))
 
@@ -227,12 +228,15 @@ QUERIES = {
     "t07_prune": lambda s, d: T.prune(T.finalize_traces(trace_events(s, d)), "2024-01-30")[1],
     "t08_cursor_page": lambda s, d: T.cursor_page(table(s, d, "events").select(F.col("event_id").alias("seq"), "event_type"), 500, 100),
     "t09_trace_detail": details,
-    "t09_trace_detail_whole": lambda s, d: details(s, d, "true"),
     "t10_dead_letters": letters,
 }
 
 _ROUND = lambda x, n: f"round({x}, 6) AS {n}"
 ORACLE_SQL = {
+    "m01_memory_quality": f"""WITH {D.CLAIMS}, {D.FAMILIES}, {D.PAIRS}, {D.CONFLICTS}, {D.EVIDENCE}, v AS (SELECT avg(({CQ._CODE} = 'OK')::INTEGER) AS x FROM evidence), m AS (SELECT avg((member IN (SELECT 'claim_' || o_orderkey FROM orders WHERE o_orderkey % 6 <> 0))::INTEGER) AS x FROM (SELECT unnest(members) AS member FROM conflicts)),
+        t AS (SELECT count(*) - 1 AS n FROM events GROUP BY user_id, event_type) SELECT round(coalesce((SELECT x FROM v), 1), 6) AS evidence_validity, round(coalesce((SELECT x FROM m), 1), 6) AS conflict_member_recall, round(avg((event_id % 9 = 0)::INTEGER), 6) AS stale_view_rate, round(avg((event_id % 4 <> 0)::INTEGER), 6) AS provenance_completeness, (SELECT sum(n) FROM t)::BIGINT AS duplicate_drafts FROM events""",
+    "t01_normalize_events": """WITH x AS (SELECT *, event_id % 7 <> 0 AS timed, '{' || concat_ws(',', CASE WHEN event_id % 7 <> 0 THEN '"timestamp":"2024-01-01T00:00:00Z"' END, CASE WHEN event_id % 3 = 0 THEN '"event_id":"given_' || event_id || '"' END, CASE WHEN event_id % 5 = 0 THEN '"summary":"sum"' END, '"tool_name":"' || event_type || '"') || '}' AS payload FROM events)
+        SELECT 's' || user_id AS session_id, CASE WHEN event_id % 3 = 0 THEN 'given_' || event_id ELSE 'trace_event_' || substr(sha256(payload), 1, 24) END AS event_id, CASE WHEN timed THEN count(*) FILTER (WHERE timed) OVER (PARTITION BY user_id ORDER BY events_id ROWS UNBOUNDED PRECEDING) END AS sequence, CASE WHEN event_id % 5 = 0 THEN 'sum' ELSE 'PostToolUse ' || event_type END AS summary, CASE WHEN NOT timed THEN 'HOOK_TIMESTAMP_MISSING' END AS code FROM (SELECT *, event_id AS events_id FROM x)""",
     "p01_decide": f"""WITH {_REFS}, r AS (SELECT k, CASE WHEN k % 11 = 1 THEN 'REMOTE_REQUEST_VERSION_MISMATCH' WHEN k % 12 = 2 THEN 'MISSING_TRUST_BINDING' WHEN k % 12 = 3 THEN 'TRUST_BINDING_NOT_ALLOWED' WHEN k % 19 = 4 THEN 'ACTOR_BINDING_MISMATCH' WHEN k % 23 = 1 THEN 'ENDPOINT_PIN_MISMATCH' WHEN k % 29 = 1 THEN 'REMOTE_VERSION_PIN_MISMATCH'
         WHEN k % 31 = 1 THEN 'REGISTRY_VERSION_MISMATCH' WHEN k % 37 = 1 THEN 'UNKNOWN_CAPABILITY' WHEN k % 41 = 5 THEN 'OPERATION_SCOPE_DENIED' WHEN k % 3 = 2 THEN 'ACTOR_BINDING_MISMATCH' WHEN sens IS NULL THEN 'SOURCE_SCOPE_DENIED' WHEN sens = 'SECRET' THEN 'SENSITIVITY_DENIED' WHEN k % 10 >= 8 THEN 'DISCLOSURE_FIELD_DENIED' END AS reason FROM lab)
         SELECT k::VARCHAR AS request_id, CASE WHEN reason IS NULL THEN 'ALLOW' ELSE 'DENY' END AS decision, reason FROM r""",
@@ -245,7 +249,7 @@ ORACLE_SQL = {
         concat_ws(',', CASE WHEN acc < 0.6 THEN 'CONTINUITY_ACCURACY' END, 'WRONG_MEMORY', 'MISSING_CRITICAL_MEMORY') AS failures FROM rl""",
     "m05_context_quality": f"WITH {_RELEARN} SELECT k AS case_id, {_ROUND('acc', 'continuity_accuracy')}, {_ROUND('er', 'evidence_traceability')}, {_ROUND('irr', 'irrelevant_rate')}, {_ROUND('rel', 'relevant_recall')} FROM rl",
     "m06_paired_reduction": """WITH x AS (SELECT doc_id AS k, 1 - (strlen(text) / 2) / (strlen(text) + 10) AS b, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 3 - doc_id % 7 / 10) / (doc_id % 3) END AS s, doc_id % 4 >= doc_id % 5 AS q FROM documents) SELECT k AS pair_id, round(b, 6) AS bytes, round(s, 6) AS seconds, q AS quality_preserved, q AND b >= 0.5 AND coalesce(s >= 0.4, false) AS passed FROM x""",
-    "m07_cold_start": "SELECT doc_id AS handoff_id, round((strlen(text) - strlen(substr(text, 1, 50))) / strlen(text), 6) AS byte_reduction, (CASE WHEN doc_id % 3 = 1 THEN 1.0 ELSE 0.5 END)::DOUBLE AS recall FROM documents WHERE strlen(text) > 0",
+    "m07_cold_start": "SELECT doc_id AS handoff_id, round((strlen(text) - strlen(string_split(text, chr(10))[-1])) / strlen(text), 6) AS byte_reduction, (CASE WHEN doc_id % 3 = 1 THEN 1.0 ELSE 0.5 END)::DOUBLE AS recall FROM documents WHERE strlen(text) > 0",
     "m08_continuity_score": """WITH x AS (SELECT event_id AS k, (event_id % 2 <> 0)::INTEGER AS a, (event_id % 3 <> 0)::INTEGER AS b, (event_id % 5 <> 0)::INTEGER AS c, (event_id % 7 <> 0)::INTEGER AS d, (event_id % 11 <> 0)::INTEGER AS e, (event_id % 13 <> 0)::INTEGER AS f FROM events)
         SELECT k AS response_id, greatest(0, least(100, 10 * a + 20 * b + 20 * c + 25 * d + 10 * e + 15 * f - CASE WHEN k % 17 = 0 THEN 75 WHEN k % 19 = 0 THEN 25 ELSE 0 END))::INTEGER AS score, round((a + b + c + d + e + f) / 6, 12) AS fact_accuracy FROM x""",
     "m09_hallucinated_ids": "SELECT event_id AS response_id, 'o' || (event_id % 50) AS object_id, CASE WHEN event_id % 50 >= 40 THEN 'HALLUCINATED_ID' ELSE 'CONFLICT_SETTLED' END AS code FROM events WHERE event_id % 50 >= 40 OR (event_id % 2 = 0 AND event_id % 50 % 10 = 7)",
@@ -262,7 +266,7 @@ ORACLE_SQL = {
     "t06_capture_idempotency": "SELECT DISTINCT 'user_' || user_id AS trace_id, CASE WHEN user_id % 3 = 0 THEN 'CAPTURED' WHEN user_id % 5 = 0 THEN 'TRACE_CONFLICT' ELSE 'UNCHANGED' END AS outcome FROM events",
     "t07_prune": f"WITH {_TRACE}, e AS (SELECT max(happened) < TIMESTAMP '2024-01-30' AS old FROM tr GROUP BY trace_id) SELECT count(*) AS scanned, count(*) FILTER (WHERE old) AS removed, count(*) FILTER (WHERE NOT old) AS retained FROM e",
     "t08_cursor_page": "SELECT event_id AS seq, event_type, (SELECT count(*) FROM events WHERE event_id > 500) > 100 AS has_more FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100",
-    "t09_trace_detail": """WITH x AS (SELECT event_id AS trace_id, event_type, CASE WHEN event_id % 150 = 0 THEN 'TRACE_NOT_FOUND' WHEN event_id % 100 = 0 THEN 'TRACE_HASH_MISMATCH' END AS code FROM events WHERE event_id % 50 = 0)
+    "t09_trace_detail": """WITH x AS (SELECT event_id AS trace_id, event_type, CASE WHEN event_id % 150 = 0 THEN 'TRACE_NOT_FOUND' WHEN event_id % 100 = 0 THEN 'TRACE_HASH_MISMATCH' END AS code FROM events)
         SELECT trace_id, CASE WHEN code IS NULL THEN p END::INTEGER AS position, CASE WHEN code IS NOT NULL THEN NULL WHEN p = 0 THEN event_type ELSE 'test' END AS event_type, code FROM x, (VALUES (0), (1)) AS v(p) WHERE p = 0 OR code IS NULL""",
     "t10_dead_letters": """SELECT DISTINCT 'letter_' || substr(sha256(p), 1, 24) AS letter_id, code FROM (SELECT CASE WHEN event_id % 10 = 0 THEN '{broken ' || (event_id % 7) ELSE '{"n":' || (event_id % 9) || '}' END AS p, CASE WHEN event_id % 10 = 0 THEN 'PAYLOAD_NOT_JSON' ELSE 'SESSION_MISSING' END AS code FROM events WHERE event_id % 10 < 2)""",
 }

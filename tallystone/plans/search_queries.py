@@ -34,7 +34,7 @@ sc AS (SELECT query_id, document_id, count(*) AS met, sum(greatest(ln((n - df +
 bm AS (SELECT query_id, document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM sc JOIN (SELECT query_id, count(*) AS k FROM qt GROUP BY 1) USING (query_id) WHERE met = k QUALIFY rank <= 60)"""
 _TC = f"""{_Q}, {_DOCS}, tc AS (SELECT query_id, document_id, list_sum(list_transform(terms, lambda t: (length(lower(hay)) - length(replace(lower(hay), t, ''))) / length(t)))::DOUBLE AS score FROM w, qs)"""
 _VEC = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
-vs AS (SELECT 'v' || a.vec_id AS query_id, 'v' || b.vec_id AS document_id, list_dot_product(a.e, b.e) / (a.n * b.n) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20),
+vs AS (SELECT 'v' || a.vec_id AS query_id, 'v' || b.vec_id AS document_id, list_dot_product(a.e, b.e) / (a.n * b.n) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM vs QUALIFY rank <= 10)"""
 
 
@@ -47,19 +47,19 @@ def rounded(df):
     return df.select("query_id", "document_id", F.round("score", 6).alias("score"))
 
 
-# The query set of a search: every row whose id is divisible by 100. The SQL of r07 and r08 holds only ids below 20.
+# The query set of a search: every row whose id is divisible by 100.
 ASKED = "vec_id % 100 = 0"
 
 
-def vectors(s, d, asked="vec_id < 20"):
+def vectors(s, d):
     e = table(s, d, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("document_id"), "embedding", "vec_id")
-    return R.vector_search(e.where(asked).select(F.col("document_id").alias("query_id"), "embedding"), e, 10)
+    return R.vector_search(e.where(ASKED).select(F.col("document_id").alias("query_id"), "embedding"), e, 10)
 
 
-def same_label(s, d, asked="vec_id < 20"):
+def same_label(s, d):
     """A second ranking: vectors of the query's label, by id."""
     e = table(s, d, "embeddings")
-    j = e.where(asked).select(F.col("vec_id").alias("q"), "label").join(e.select("vec_id", "label"), "label").where("q <> vec_id")
+    j = e.where(ASKED).select(F.col("vec_id").alias("q"), "label").join(e.select("vec_id", "label"), "label").where("q <> vec_id")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("vec_id"))
     return j.select(F.concat(F.lit("v"), "q").alias("query_id"), F.concat(F.lit("v"), "vec_id").alias("document_id"), rank.alias("rank"))
 
@@ -82,8 +82,12 @@ def evaluation(s, d):
 
 
 def spans(s, d):
+    """A line of each document, which one by its id; some requests are out of range, invalid or name no revision."""
     k = F.col("doc_id")
-    req = table(s, d, "documents").select(F.concat(F.lit("r"), k).alias("request_id"), F.when(k % 11 == 0, "none").otherwise(F.concat(F.lit("revision_"), k)).alias("revision_id"), F.when(k % 7 == 0, -1).otherwise(0).cast("long").alias("start_byte"), F.when(k % 5 == 0, 1 << 30).otherwise(F.octet_length(F.split(F.coalesce("text", F.lit("")), "\n")[0])).cast("long").alias("end_byte"))
+    lines = table(s, d, "documents").select(k, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("ls")).withColumn("i", (k % F.size("ls")).cast("int"))
+    at = F.when(F.col("i") > 0, F.octet_length(F.array_join(F.slice("ls", F.lit(1), F.col("i")), "\n")) + 1).otherwise(0)
+    j = lines.select(k, at.cast("long").alias("at"), F.octet_length(F.get("ls", F.col("i"))).cast("long").alias("n"))
+    req = j.select(F.concat(F.lit("r"), k).alias("request_id"), F.when(k % 11 == 0, "none").otherwise(F.concat(F.lit("revision_"), k)).alias("revision_id"), F.when(k % 7 == 0, -1).otherwise(F.col("at")).alias("start_byte"), F.when(k % 5 == 0, 1 << 30).otherwise(F.col("at") + F.col("n")).alias("end_byte"))
     return R.read_spans(req, sources(s, d))
 
 
@@ -104,19 +108,13 @@ syms AS (SELECT path, CASE WHEN k % 4 = 0 THEN 'CLASS' WHEN k % 4 = 1 AND top_k
 
 
 def graph(s, d):
-    o = table(s, d, "orders")
-    e = o.select(F.concat(F.lit("n"), F.col("o_orderkey") % 700).alias("source_id"), F.concat(F.lit("n"), F.col("o_custkey") % 650 + F.col("o_orderkey") % 3).alias("target_id"), F.lit("CALLS").alias("edge_kind"))
-    return e.where("o_orderkey % 20 = 0").distinct()
-
-
-def whole_graph(s, d):
     """An edge from each order to its customer, by their own ids."""
     return table(s, d, "orders").select(F.concat(F.lit("n"), "o_orderkey").alias("source_id"), F.concat(F.lit("n"), "o_custkey").alias("target_id"), F.lit("CALLS").alias("edge_kind")).distinct()
 
 
-def whole_impact(s, d):
+def impact(s, d):
     """What each supplier's node reaches, the steps to it and the edges among it, each as a part."""
-    e, start = whole_graph(s, d), table(s, d, "supplier").select(F.concat(F.lit("n"), "s_suppkey").alias("object_id"))
+    e, start = written(graph(s, d), "edges"), table(s, d, "supplier").select(F.concat(F.lit("n"), "s_suppkey").alias("object_id"))
     reached = written(K.impact(e, start), "impact")
     paths, edges = K.impact_steps(e, start, reached), K.induced_edges(e, reached)
     none = F.lit(None).cast("int")
@@ -124,6 +122,12 @@ def whole_impact(s, d):
     return reduce(DataFrame.union, parts)
 
 
+_IMPACT = """e AS MATERIALIZED (SELECT DISTINCT o_orderkey AS s, o_custkey AS t FROM orders), st AS MATERIALIZED (SELECT s AS u, t AS w FROM e UNION SELECT t, s FROM e),
+walk AS (SELECT s_suppkey AS a, s_suppkey AS n, 0 AS depth FROM supplier UNION SELECT a, w, depth + 1 FROM walk JOIN st ON n = u WHERE depth < 4),
+near AS MATERIALIZED (SELECT a, n, min(depth) AS depth FROM walk GROUP BY a, n), steps AS MATERIALIZED (SELECT a, u, w, depth + 1 AS depth FROM near JOIN st ON n = u WHERE depth < 4),
+reached AS (SELECT near.a, min('n' || u) AS via, n, near.depth FROM near JOIN steps ON steps.a = near.a AND w = n AND steps.depth = near.depth WHERE near.depth > 0 GROUP BY near.a, n, near.depth)"""
+
+
 def resolved(s, d):
     k = F.col("p_partkey")
     p = table(s, d, "part")
@@ -132,15 +136,15 @@ def resolved(s, d):
     return K.resolve_edges(sym, men)
 
 
-def requests(s, d, cut=True):
+def requests(s, d):
     k = F.col("item_id")
     return table(s, d, "benchmark").select(
-        F.concat(F.lit("req_"), k).alias("request_id"), (F.substring("text", 1, 40) if cut else F.col("text")).alias("task"), F.when(k % 3 == 0, "Supplier#000000003 Customer").alias("query"), F.when(k % 2 == 0, F.array(F.concat(F.lit("work_"), k), F.concat(F.lit("decision_"), k), F.concat(F.lit("work_"), k))).alias("refs"),
+        F.concat(F.lit("req_"), k).alias("request_id"), F.col("text").alias("task"), F.when(k % 3 == 0, "Supplier#000000003 Customer").alias("query"), F.when(k % 2 == 0, F.array(F.concat(F.lit("work_"), k), F.concat(F.lit("decision_"), k), F.concat(F.lit("work_"), k))).alias("refs"),
         F.when(k % 4 == 0, "EVIDENCE").alias("depth"), F.when(k % 5 != 0, 2000 + 500 * (k % 7)).alias("budget_bytes"), F.when(k % 3 == 0, 400).alias("budget_tokens"), F.when(k % 9 == 0, F.create_map(F.lit("tenant"), F.lit("x"))).alias("hints"),
     )
 
 
-REQ = r"""req AS (SELECT 'req_' || item_id AS request_id, item_id AS k, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(substr(text, 1, 40) || CASE WHEN item_id % 3 = 0 THEN ' Supplier#000000003 Customer' ELSE '' END, '[A-Za-z0-9_:.@/-]+'), lambda t: lower(t)), lambda t: length(t) > 1))) AS terms,
+REQ = r"""req AS (SELECT 'req_' || item_id AS request_id, item_id AS k, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text || CASE WHEN item_id % 3 = 0 THEN ' Supplier#000000003 Customer' ELSE '' END, '[A-Za-z0-9_:.@/-]+'), lambda t: lower(t)), lambda t: length(t) > 1))) AS terms,
   CASE WHEN item_id % 2 = 0 THEN ['decision_' || item_id, 'work_' || item_id] ELSE []::VARCHAR[] END AS refs, coalesce(least(CASE WHEN item_id % 5 <> 0 THEN 2000 + 500 * (item_id % 7) END, CASE WHEN item_id % 3 = 0 THEN 1600 END), 65536)::BIGINT AS budget FROM benchmark)"""
 
 
@@ -148,8 +152,8 @@ def continuity(s, d):
     return VQ.records(s, d).where("kind in ('DECISION_RECORD', 'OPEN_QUESTION', 'WORK_ITEM', 'CONFLICT')").withColumn("document", F.col("status"))
 
 
-def scored(s, d, cut=True):
-    return X.score_records(X.normalize_requests(requests(s, d, cut)), continuity(s, d))
+def scored(s, d):
+    return X.score_records(X.normalize_requests(requests(s, d)), continuity(s, d))
 
 
 _SCORE = f"""{VQ.RECORDS}, {REQ}, sc AS (SELECT request_id, object_id AS id, (CASE WHEN list_contains(refs, object_id) THEN 10000 ELSE 0 END + 20 * len(list_filter(terms, lambda t: contains(lower(concat_ws(' ', title, status)), t))) + CASE priority WHEN 'P0' THEN 15 WHEN 'P1' THEN 8 ELSE 0 END
@@ -170,33 +174,32 @@ _SKILLS = """sk AS (SELECT request_id, 'skill_' || p_partkey AS id, list_sum(lis
 st AS (SELECT * FROM sk WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) <= 5)"""
 
 
-def ordered(s, d, cut=True):
-    r = X.normalize_requests(requests(s, d, cut))
-    return X.order_candidates(scored(s, d, cut).where("score >= 20"), X.score_views(r, view_rows(s, d)), X.score_skills(r, skill_rows(s, d)))
+def ordered(s, d):
+    r = X.normalize_requests(requests(s, d))
+    return X.order_candidates(scored(s, d), X.score_views(r, view_rows(s, d)), X.score_skills(r, skill_rows(s, d)))
 
 
-_ORDERED = f"{_SCORE}, {_VIEWS.replace(REQ + ', ', '')}, {_SKILLS}, un AS (SELECT *, 'record' AS kind FROM sc WHERE score >= 20 UNION ALL SELECT *, 'scenario' FROM vw WHERE score > 0 UNION ALL SELECT *, 'skill' FROM st), od AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, kind, id)::INTEGER AS position, kind, id, score FROM un)"
+_ORDERED = f"{_SCORE}, {_VIEWS.replace(REQ + ', ', '')}, {_SKILLS}, un AS (SELECT *, 'record' AS kind FROM sc WHERE score > 0 UNION ALL SELECT *, 'scenario' FROM vw WHERE score > 0 UNION ALL SELECT *, 'skill' FROM st), od AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, kind, id)::INTEGER AS position, kind, id, score FROM un)"
 
 
-def sized(s, d, cut=True):
-    """Candidates with sizes; cut: of tasks of 40 characters and the first 60 of each request, as the SQL has them."""
-    rows = ordered(s, d, cut)
-    return (rows.where("position <= 60") if cut else rows).withColumn("bytes", (F.length("id") * 17 % 300 + 20).cast("long")).withColumn("mandatory", F.col("score") >= 10_000)
+def sized(s, d):
+    """All candidates with sizes."""
+    return ordered(s, d).withColumn("bytes", (F.length("id") * 17 % 300 + 20).cast("long")).withColumn("mandatory", F.col("score") >= 10_000)
 
 
-_SIZED = f"{_ORDERED}, sz AS (SELECT *, (length(id) * 17 % 300 + 20)::BIGINT + 32 AS b, score >= 10000 AS m FROM od WHERE position <= 60)"
+_SIZED = f"{_ORDERED}, sz AS (SELECT *, (length(id) * 17 % 300 + 20)::BIGINT + 32 AS b, score >= 10000 AS m FROM od)"
 
 
-def skip(s, d, cut=True):
-    return X.pack_skip(sized(s, d, cut), X.normalize_requests(requests(s, d, cut))).select("request_id", "id", "included", "code")
+def skip(s, d):
+    return X.pack_skip(sized(s, d), X.normalize_requests(requests(s, d))).select("request_id", "id", "included", "code")
 
 
-def prefix(s, d, cut=True):
-    return X.pack_prefix(sized(s, d, cut), X.normalize_requests(requests(s, d, cut)))
+def prefix(s, d):
+    return X.pack_prefix(sized(s, d), X.normalize_requests(requests(s, d)))
 
 
-def report(s, d, cut=True):
-    p = prefix(s, d, cut).join(sized(s, d, cut).select("request_id", "id", F.col("kind").alias("section")), ["request_id", "id"])
+def report(s, d):
+    p = prefix(s, d).join(sized(s, d).select("request_id", "id", F.col("kind").alias("section")), ["request_id", "id"])
     return X.truncation_report(p)
 
 
@@ -218,31 +221,24 @@ QUERIES = {
     "r06_term_count_search": lambda s, d: rounded(R.term_count_search(queries(s, d), documents(s, d), 20)),
     "r07_vector_search": lambda s, d: rounded(vectors(s, d)),
     "r08_rrf": lambda s, d: rounded(R.rrf([vectors(s, d), same_label(s, d)], 10)),
-    "r07_vector_search_whole": lambda s, d: rounded(vectors(s, d, ASKED)),
-    "r08_rrf_whole": lambda s, d: rounded(R.rrf([vectors(s, d, ASKED), same_label(s, d, ASKED)], 10)),
     "r09_retrieval_eval": evaluation,
     "r10_read_spans": spans,
     "r11_find_symbols": lambda s, d: R.find_symbols(K.symbols(code_lines(s, d)), "ITEM1", 100_000).select("path", "qualified_name"),
     "r12_index_fingerprint": lambda s, d: R.index_fingerprint(documents(s, d)),
     "k01_symbols": lambda s, d: K.symbols(code_lines(s, d)).drop("symbol_id"),
     "k02_resolve_edges": resolved,
-    "k03_known_edges": lambda s, d: K.known_edges(graph(s, d), table(s, d, "part").where("p_partkey < 600 and p_partkey % 5 <> 0").select(F.concat(F.lit("n"), "p_partkey").alias("symbol_id"))),
-    "k04_impact": lambda s, d: K.impact(graph(s, d), table(s, d, "supplier").where("s_suppkey % 10 = 1").select(F.concat(F.lit("n"), "s_suppkey").alias("object_id")), 3, "FORWARD").select("start_id", "object_id", "depth"),
-    "k03_known_edges_whole": lambda s, d: K.known_edges(whole_graph(s, d), table(s, d, "part").select(F.concat(F.lit("n"), "p_partkey").alias("symbol_id"))),
-    "k04_impact_whole": whole_impact,
+    "k03_known_edges": lambda s, d: K.known_edges(graph(s, d), table(s, d, "part").select(F.concat(F.lit("n"), "p_partkey").alias("symbol_id"))),
+    "k04_impact": impact,
     "x01_normalize_requests": lambda s, d: X.normalize_requests(requests(s, d)).select("request_id", F.array_join("terms", " ").alias("terms"), F.array_join("refs", " ").alias("refs"), "budget", "code"),
     "x02_score_records": scored,
     "x03_score_views": lambda s, d: X.score_views(X.normalize_requests(requests(s, d)), view_rows(s, d)),
     "x04_score_skills": lambda s, d: X.score_skills(X.normalize_requests(requests(s, d)), skill_rows(s, d)),
     "x05_order_candidates": ordered,
     "x06_pack_skip": skip,
-    "x06_pack_skip_whole": lambda s, d: skip(s, d, False),
     "x07_pack_prefix": prefix,
-    "x07_pack_prefix_whole": lambda s, d: prefix(s, d, False),
     "x08_project_depth": depth,
     "x09_token_estimate": lambda s, d: table(s, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens")),
     "x10_truncation_report": report,
-    "x10_truncation_report_whole": lambda s, d: report(s, d, False),
 }
 
 ORACLE_SQL = {
@@ -253,12 +249,12 @@ ORACLE_SQL = {
     "r05_bm25_search": f"WITH {_BM} SELECT query_id, document_id, round(score, 6) AS score FROM bm WHERE rank <= 20",
     "r06_term_count_search": f"WITH {_TC} SELECT query_id, document_id, score FROM tc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) <= 20",
     "r07_vector_search": f"WITH {_VEC} SELECT query_id, document_id, round(score, 6) AS score FROM vr",
-    "r08_rrf": f"""WITH {_VEC}, lr AS (SELECT 'v' || a.vec_id AS query_id, 'v' || b.vec_id AS document_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20),
+    "r08_rrf": f"""WITH {_VEC}, lr AS (SELECT 'v' || a.vec_id AS query_id, 'v' || b.vec_id AS document_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
         f AS (SELECT query_id, document_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, document_id, rank FROM vr UNION ALL SELECT * FROM lr WHERE rank <= 50) GROUP BY ALL)
         SELECT query_id, document_id, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, document_id) <= 10""",
     "r09_retrieval_eval": """SELECT count(*) AS cases, round(avg(CASE WHEN item_id % 4 = 0 THEN 1.0 ELSE 0.5 END), 6) AS mean_recall, round(avg((item_id % 3 = item_id % 2)::INTEGER), 6) AS mean_conflict_recall, round(avg(item_id * 20), 6) AS mean_bytes,
         quantile_disc((item_id * 7 % 50)::DOUBLE, 0.95) AS p95_ms, round(avg((item_id % 3 <> 0)::INTEGER), 6) AS traceability, round(avg((item_id % 4 = 0)::INTEGER) FILTER (WHERE item_id % 2 = 0), 6) AS evidence_traceability FROM benchmark""",
-    "r10_read_spans": """WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS line FROM documents), y AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'SOURCE_NOT_FOUND' WHEN doc_id % 7 = 0 OR (line = '' AND doc_id % 5 <> 0) THEN 'SPAN_INVALID' WHEN doc_id % 5 = 0 THEN 'SPAN_OUT_OF_RANGE' END AS code FROM x)
+    "r10_read_spans": """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), x AS (SELECT doc_id, ls[doc_id % len(ls) + 1] AS line FROM l), y AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'SOURCE_NOT_FOUND' WHEN doc_id % 7 = 0 OR (line = '' AND doc_id % 5 <> 0) THEN 'SPAN_INVALID' WHEN doc_id % 5 = 0 THEN 'SPAN_OUT_OF_RANGE' END AS code FROM x)
         SELECT 'r' || doc_id AS request_id, code, CASE WHEN code IS NULL THEN line END AS excerpt, CASE WHEN code IS NULL THEN 'sha256:' || sha256(line) END AS excerpt_hash FROM y""",
     "r11_find_symbols": f"WITH {CODE} SELECT path, qualified_name FROM syms WHERE lower(name) LIKE '%item1%' OR lower(qualified_name) LIKE '%item1%'",
     "r12_index_fingerprint": """WITH r AS (SELECT ('0x' || substr(sha256('d' || doc_id), 1, 2))::INTEGER AS b, 'd' || doc_id AS k, sha256('d' || doc_id || '|' || coalesce(text, 'null') || '|SOURCE_TEXT|' || coalesce(source, 'null')) AS h FROM documents), g AS (SELECT b, sha256(string_agg(h, '' ORDER BY k)) AS h FROM r GROUP BY b)
@@ -267,20 +263,21 @@ ORACLE_SQL = {
     "k02_resolve_edges": """WITH f AS (SELECT p_partkey % 300 AS n, min(p_partkey) AS t FROM part GROUP BY 1), m AS (SELECT p_partkey AS s, p_partkey * 7 % 400 AS n, p_partkey % 3 = 0 AS c FROM part UNION ALL SELECT p_partkey, p_partkey % 300, false FROM part), e AS (SELECT DISTINCT s, t, c FROM m JOIN f USING (n)),
         r AS (SELECT s, t, 'CALLS' AS edge_kind FROM e WHERE c UNION ALL SELECT s, t, 'REFERENCES' FROM e a WHERE NOT c AND s <> t AND NOT EXISTS (SELECT 1 FROM e b WHERE b.c AND b.s = a.s AND b.t = a.t))
         SELECT 's' || lpad(s::VARCHAR, 6, '0') AS source_id, 's' || lpad(t::VARCHAR, 6, '0') AS target_id, edge_kind FROM r""",
-    "k03_known_edges": """WITH e AS (SELECT DISTINCT o_orderkey % 700 AS s, o_custkey % 650 + o_orderkey % 3 AS t FROM orders WHERE o_orderkey % 20 = 0), n AS (SELECT p_partkey AS k FROM part WHERE p_partkey < 600 AND p_partkey % 5 <> 0)
-        SELECT 'n' || s AS source_id, 'n' || t AS target_id, 'CALLS' AS edge_kind FROM e WHERE s IN (SELECT k FROM n) AND t IN (SELECT k FROM n)""",
-    "k04_impact": """WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey % 700 AS s, o_custkey % 650 + o_orderkey % 3 AS t FROM orders WHERE o_orderkey % 20 = 0), w AS (SELECT s_suppkey AS a, s_suppkey AS n, 0 AS depth FROM supplier WHERE s_suppkey % 10 = 1 UNION SELECT a, t, depth + 1 FROM w JOIN e ON s = n WHERE depth < 3)
-        SELECT 'n' || a AS start_id, 'n' || n AS object_id, min(depth) AS depth FROM w GROUP BY a, n HAVING min(depth) > 0""",
+    "k03_known_edges": "SELECT DISTINCT 'n' || o_orderkey AS source_id, 'n' || o_custkey AS target_id, 'CALLS' AS edge_kind FROM orders WHERE o_orderkey IN (SELECT p_partkey FROM part) AND o_custkey IN (SELECT p_partkey FROM part)",
+    "k04_impact": f"""WITH RECURSIVE {_IMPACT} SELECT 'n' || a AS start_id, 'reached' AS part, via AS source_id, 'n' || n AS target_id, depth FROM reached
+        UNION ALL SELECT 'n' || a, 'step', 'n' || u, 'n' || w, depth FROM steps
+        UNION ALL SELECT 'n' || x.a, 'edge', 'n' || s, 'n' || t, NULL FROM e JOIN near x ON x.n = s JOIN near y ON y.n = t AND y.a = x.a WHERE x.a IN (SELECT a FROM near WHERE depth > 0)""",
     "x01_normalize_requests": f"WITH {REQ} SELECT request_id, array_to_string(terms, ' ') AS terms, array_to_string(refs, ' ') AS refs, budget, CASE WHEN k % 9 = 0 THEN 'HINT_FORBIDDEN' END AS code FROM req",
     "x02_score_records": f"WITH {_SCORE} SELECT * FROM sc WHERE score > 0",
     "x03_score_views": f"WITH {_VIEWS} SELECT * FROM vw WHERE score > 0",
     "x04_score_skills": f"WITH {REQ}, {_SKILLS} SELECT * FROM st",
     "x05_order_candidates": f"WITH {_ORDERED} SELECT * FROM od",
-    "x06_pack_skip": f"""WITH RECURSIVE {_SIZED}, walk AS (SELECT s.request_id, s.position, s.id, s.b <= budget AS included, CASE WHEN s.b <= budget THEN s.b ELSE 0 END AS used, s.m AND s.b > budget AS broken FROM sz s JOIN req USING (request_id) WHERE position = 1
-        UNION ALL SELECT s.request_id, s.position, s.id, w.used + s.b <= budget, CASE WHEN w.used + s.b <= budget THEN w.used + s.b ELSE w.used END, s.m AND w.used + s.b > budget FROM walk w JOIN sz s ON s.request_id = w.request_id AND s.position = w.position + 1 JOIN req ON req.request_id = s.request_id)
-        SELECT request_id, id, included, CASE WHEN bool_or(broken) OVER (PARTITION BY request_id) THEN 'CONTEXT_REFERENCE_EXCEEDS_BUDGET' END AS code FROM walk""",
+    "x06_pack_skip": f"""WITH {_SIZED}, walk AS (SELECT request_id, budget, list(struct_pack(u := 0::BIGINT, b := b, p := position, inc := []::INTEGER[]) ORDER BY position) AS items FROM sz JOIN req USING (request_id) GROUP BY ALL),
+        got AS (SELECT request_id, list_reduce(list_prepend(struct_pack(u := 0::BIGINT, b := 0::BIGINT, p := 0, inc := []::INTEGER[]), items), lambda a, x: CASE WHEN a.u + x.b <= budget THEN struct_pack(u := a.u + x.b, b := x.b, p := x.p, inc := list_append(a.inc, x.p)) ELSE a END).inc AS inc FROM walk),
+        fit AS (SELECT request_id, unnest(inc) AS position, true AS ok FROM got), fl AS (SELECT request_id, id, m, coalesce(ok, false) AS included FROM sz LEFT JOIN fit USING (request_id, position))
+        SELECT request_id, id, included, CASE WHEN bool_or(m AND NOT included) OVER (PARTITION BY request_id) THEN 'CONTEXT_REFERENCE_EXCEEDS_BUDGET' END AS code FROM fl""",
     "x07_pack_prefix": f"WITH {_PREFIX} SELECT request_id, id, included, code FROM pf",
-    "x08_project_depth": "SELECT 'req_' || item_id AS request_id, CASE WHEN item_id % 4 = 0 THEN 'EVIDENCE' ELSE 'SUMMARY' END AS depth, CASE WHEN item_id % 4 = 0 THEN substr(text, 1, 40) END AS document, CASE WHEN item_id % 4 = 0 THEN substr(text, 1, 40) END AS evidence FROM benchmark",
+    "x08_project_depth": "SELECT 'req_' || item_id AS request_id, CASE WHEN item_id % 4 = 0 THEN 'EVIDENCE' ELSE 'SUMMARY' END AS depth, CASE WHEN item_id % 4 = 0 THEN text END AS document, CASE WHEN item_id % 4 = 0 THEN text END AS evidence FROM benchmark",
     "x09_token_estimate": "SELECT doc_id, ceil(strlen(coalesce(text, '')) / 4)::BIGINT AS tokens FROM documents",
     "x10_truncation_report": f"WITH {_PREFIX} SELECT request_id, kind AS section, count(*) FILTER (WHERE included) AS included, count(*) FILTER (WHERE NOT included) AS omitted, min(id) FILTER (WHERE NOT included) AS first_omitted FROM pf GROUP BY ALL",
 }

@@ -38,7 +38,7 @@ def scan_sources(spark: SparkSession, root: str, include_code: bool = True) -> D
     return select_sources(files, include_code)
 
 
-def admission_report(files: DataFrame, max_files: int = 1000, max_file_bytes: int = 1 << 20, max_total_bytes: int = 256 << 20) -> DataFrame:
+def admission_report(files: DataFrame, max_files: int = 10_000, max_file_bytes: int = 1 << 20, max_total_bytes: int = 256 << 20) -> DataFrame:
     """(code, path) violations: one row for each bad file, and rows without path for the batch as a whole."""
     size = F.octet_length("content")
     own = files.select("path", first_code((size > max_file_bytes, "FILE_TOO_LARGE"), (~F.expr("is_valid_utf8(content)"), "NOT_UTF8")).alias("code")).where("code is not null").select("code", "path")

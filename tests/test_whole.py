@@ -29,16 +29,16 @@ def test_searches_answer_every_hundredth_vector(spark, small):
         for n, r in enumerate([r for r in e if r["label"] == e[i]["label"] and r is not e[i]][:50], 1):
             got[f"v{r['vec_id']}"] += 1 / (60 + n)
         fused |= {(f"v{e[i]['vec_id']}", v): x for x, v in sorted((-round(x, 12), v) for v, x in got.items())[:10]}
-    found = {(r["query_id"], r["document_id"]): r["score"] for r in registry.QUERIES["r07_vector_search_whole"](spark, small).collect()}
+    found = {(r["query_id"], r["document_id"]): r["score"] for r in registry.QUERIES["r07_vector_search"](spark, small).collect()}
     assert found.keys() == near.keys() and all(abs(found[k] - near[k]) < 2e-6 for k in near)
-    found = {(r["query_id"], r["document_id"]): r["score"] for r in registry.QUERIES["r08_rrf_whole"](spark, small).collect()}
+    found = {(r["query_id"], r["document_id"]): r["score"] for r in registry.QUERIES["r08_rrf"](spark, small).collect()}
     assert found.keys() == fused.keys() and all(abs(found[k] + fused[k]) < 2e-6 for k in fused)
 
 
 def test_graph_has_all_orders_and_impact_its_steps_and_edges(spark, small):
     edges = {(f"n{r['o_orderkey']}", f"n{r['o_custkey']}") for r in rows(small, "orders", "o_orderkey", "o_custkey")}
     parts = {f"n{r['p_partkey']}" for r in rows(small, "part", "p_partkey")}
-    found = registry.QUERIES["k03_known_edges_whole"](spark, small).collect()
+    found = registry.QUERIES["k03_known_edges"](spark, small).collect()
     assert sorted((r["source_id"], r["target_id"]) for r in found) == sorted(e for e in edges if e[0] in parts and e[1] in parts)
     near = defaultdict(set)
     for a, b in edges:
@@ -57,7 +57,7 @@ def test_graph_has_all_orders_and_impact_its_steps_and_edges(spark, small):
             depth |= dict.fromkeys(level, n)
             want += [(start, "reached", min(met[w]), w, n) for w in level]
         want += [(start, "edge", a, b, None) for a, b in edges if a in depth and b in depth and len(depth) > 1]
-    got = [tuple(r) for r in registry.QUERIES["k04_impact_whole"](spark, small).select("start_id", "part", "source_id", "target_id", "depth").collect()]
+    got = [tuple(r) for r in registry.QUERIES["k04_impact"](spark, small).select("start_id", "part", "source_id", "target_id", "depth").collect()]
     assert any(p == "step" and depth == 2 and w == s for s, p, _, w, depth in got)
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
@@ -66,9 +66,9 @@ def test_packing_walks_every_candidate(spark, small):
     from tallystone.operators import context as X
     from tallystone.plans import search_queries as S
 
-    budget = {r["request_id"]: r["budget"] for r in X.normalize_requests(S.requests(spark, small, False)).collect()}
+    budget = {r["request_id"]: r["budget"] for r in X.normalize_requests(S.requests(spark, small)).collect()}
     of, skip, prefix, told = defaultdict(list), {}, {}, {}
-    for r in S.sized(spark, small, False).collect():
+    for r in S.sized(spark, small).collect():
         of[r["request_id"]].append(r)
     assert max(map(len, of.values())) > 60
     for q, items in of.items():
@@ -86,10 +86,10 @@ def test_packing_walks_every_candidate(spark, small):
             fits = not over and total <= budget[q]
             prefix[q, r["id"]] = fits, "CONTEXT_BUDGET_EXCEEDED" if over else None
             told.setdefault((q, r["kind"]), [0, 0])[not fits] += 1
-    for name, want in (("x06_pack_skip_whole", skip), ("x07_pack_prefix_whole", prefix)):
+    for name, want in (("x06_pack_skip", skip), ("x07_pack_prefix", prefix)):
         got = registry.QUERIES[name](spark, small).collect()
         assert len(got) == len(want) and {(r["request_id"], r["id"]): (r["included"], r["code"]) for r in got} == want
-    assert {(r["request_id"], r["section"]): [r["included"], r["omitted"]] for r in registry.QUERIES["x10_truncation_report_whole"](spark, small).collect()} == told
+    assert {(r["request_id"], r["section"]): [r["included"], r["omitted"]] for r in registry.QUERIES["x10_truncation_report"](spark, small).collect()} == told
 
 
 def test_pack_skip_has_no_cap(spark):
@@ -99,26 +99,3 @@ def test_pack_skip_has_no_cap(spark):
     got = X.pack_skip(items, spark.createDataFrame([("r", 2498 * 132 + 40)], "request_id string, budget long")).collect()
     assert len(got) == 2501 and {r["position"] for r in got if not r["included"]} == {2499, 2501}
     assert {r["code"] for r in got} == {"CONTEXT_REFERENCE_EXCEEDS_BUDGET"}
-
-
-def test_all_traces_and_all_contexts(spark, small):
-    import duckdb
-
-    c = duckdb.connect()
-    for t in ("events", "orders", "documents", "customer"):
-        c.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
-    traces, contexts = registry.ORACLE_SQL["t09_trace_detail"], registry.ORACLE_SQL["c12_epistemic_context"]
-    cut = " WHERE event_id % 50 = 0", " AND environment = 'F' AND subject_id IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_custkey % 5 = 0)"
-    assert cut[0] in traces and cut[1] in contexts
-    for name, sql in (("t09_trace_detail_whole", traces.replace(cut[0], "")), ("c12_epistemic_context_whole", contexts.replace(cut[1], " AND environment IS NOT NULL"))):
-        cur = c.execute(sql)
-        columns = [x[0] for x in cur.description]
-        got = [tuple(r) for r in registry.QUERIES[name](spark, small).select(*columns).collect()]
-        assert sorted(got, key=repr) == sorted(cur.fetchall(), key=repr)
-
-
-def test_language_stage_keeps_letters_when_nothing_is_labelled(spark):
-    import corpus_pipeline
-
-    docs = spark.createDataFrame([(1, "a house", None), (2, "123 -", None), (3, None, None), (4, "дом", None)], "doc_id long, text string, lang string")
-    assert {r["doc_id"] for r in corpus_pipeline.identify_languages(spark, docs, "").collect()} == {1, 4}
