@@ -7,10 +7,14 @@ row with the one before it by sequence, never with a global window.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions.canon import canonical, digest, first_code
+from tallystone.functions.trees import tree_digest
+from tallystone.operators.folds import fold_rows
 
 GENESIS = "0" * 64
 
@@ -49,17 +53,11 @@ def precondition_check(guards: DataFrame, state: DataFrame) -> DataFrame:
 def first_writer_wins(proposals: DataFrame, initial: int = 1) -> DataFrame:
     """(proposal_id, aggregate_id, admitted): per aggregate, in order of arrival, a write from the current version is admitted and advances it.
 
-    A fold per aggregate; the writes of one aggregate meet in one task, as they do in any serial history.
+    The writes of one aggregate stream through one task, as they do in any serial history.
     """
-    rows = F.array_sort(F.collect_list(F.struct("arrival", "proposal_id", "base_version")))
-    start = F.struct(F.lit(initial).cast("long").alias("v"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        ok = row["base_version"] == acc["v"]
-        return F.struct(F.when(ok, acc["v"] + 1).otherwise(acc["v"]).alias("v"), F.concat(acc["out"], F.array(ok)).alias("out"))
-
-    grouped = proposals.groupBy("aggregate_id").agg(rows.alias("rows")).withColumn("flags", F.aggregate("rows", start, step)["out"])
-    return grouped.select("aggregate_id", F.explode(F.arrays_zip("rows", "flags")).alias("z")).select(F.col("z.rows.proposal_id").alias("proposal_id"), "aggregate_id", F.col("z.flags").alias("admitted"))
+    rows = proposals.select("aggregate_id", "arrival", "proposal_id", "base_version")
+    told = fold_rows(rows, "aggregate_id", ["arrival", "proposal_id"], ["base_version"], "admitted boolean", initial, lambda v, base: (v + (base == v), base == v))
+    return told.select("proposal_id", "aggregate_id", "admitted")
 
 
 def receipt_outcome(checks: DataFrame) -> DataFrame:
@@ -166,16 +164,17 @@ def hash_chain_check(log: DataFrame, key: str) -> DataFrame:
     return j.where(bad).groupBy(key).agg(F.min("seq").alias("first_invalid"))
 
 
+def _link(previous: str | None, payload: str | None) -> tuple[str | None, str | None, str | None]:
+    own = None if previous is None or payload is None else hashlib.sha256(f"{previous}|{payload}".encode()).hexdigest()
+    return own, previous, own
+
+
 def hash_chain_build(events: DataFrame, key: str) -> DataFrame:
-    """(key, seq, payload, prev_hash, entry_hash): an append chain per key, by a fold over its events in order.
+    """(key, seq, payload, prev_hash, entry_hash): an append chain per key over its events in order. Behind a null payload all hashes are null.
 
-    A chain is serial by its nature; keep chains short (one per object) and they build in parallel.
+    A chain is serial by its nature: its entries stream through one task that holds one hash.
     """
-    rows = F.array_sort(F.collect_list(F.struct("seq", "payload")))
-    start = F.array(F.lit(GENESIS))
-    chained = events.groupBy(key).agg(rows.alias("rows")).withColumn("hashes", F.aggregate("rows", start, lambda acc, r: F.concat(acc, F.array(entry_hash(F.element_at(acc, -1), r["payload"])))))
-    each = chained.select(key, "hashes", F.posexplode("rows").alias("i", "r"))
-    return each.select(key, F.col("r.seq").alias("seq"), F.col("r.payload").alias("payload"), F.get("hashes", F.col("i")).alias("prev_hash"), F.get("hashes", F.col("i") + 1).alias("entry_hash"))
+    return fold_rows(events.select(key, "seq", "payload"), key, ["seq", "payload"], ["payload"], "prev_hash string, entry_hash string", GENESIS, _link)
 
 
 def receipt_coverage(ledger: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -228,17 +227,12 @@ def bounded_history(index: DataFrame, n: int = 16) -> DataFrame:
     return latest.join(total, "object_id")
 
 
-def state_digest(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:
-    """(digest): one digest of a table, in two levels: row digests in order of key within buckets, then bucket digests in order.
-
-    Rows don't meet in one task; only `buckets` digests do.
-    """
+def state_digest(rows: DataFrame, key: str) -> DataFrame:
+    """(digest): one digest of a table, by levels: row digests in order of key within buckets, then buckets in order."""
     columns = sorted(c for c in rows.columns if c != key)
     name = F.col(key).cast("string")
-    row = rows.select(F.conv(F.substring(F.sha2(name, 256), 1, 2), 16, 10).cast("int").alias("b"), name.alias("k"), F.sha2(F.concat_ws("|", name, *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]), 256).alias("h"))
-    row = row.withColumn("b", F.col("b") % buckets)
-    bucket = row.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return bucket.agg(digest(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "")).alias("digest"))
+    row = rows.select(name.alias("key"), F.sha2(F.concat_ws("|", name, *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]), 256).alias("value"))
+    return tree_digest(row, [], "key", "value").select("digest")
 
 
 def rebase_hints(guards: DataFrame, state: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions.canon import digest, short_id
+from tallystone.functions.trees import tree_digest
 
 # Lifecycles of statuses, closed statuses, kinds' and priorities' order.
 LIFECYCLES = {
@@ -103,11 +104,10 @@ def kind_summary(members: DataFrame) -> DataFrame:
 def dependency_digest(members: DataFrame) -> DataFrame:
     """(scope, members, dependency_digest) over the hashes of a view's own members, so other changes leave it alone.
 
-    members: scope, object_id, hash. In two levels, so a view with very many members is no single list.
+    members: scope, object_id, hash. By levels, so a view with very many members is no single list.
     """
     row = members.select("scope", F.sha2(F.concat_ws("|", "object_id", "hash"), 256).alias("h")).distinct()
-    bucket = row.groupBy("scope", F.substring("h", 1, 2).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return bucket.groupBy("scope").agg(F.sum("n").alias("members"), digest(F.array_join(F.array_sort(F.collect_list(F.concat("b", "h"))), "")).alias("dependency_digest"))
+    return tree_digest(row, ["scope"], "h", "h").select("scope", F.col("rows").alias("members"), F.col("digest").alias("dependency_digest"))
 
 
 def incremental_views(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.functions.canon import digest
 from tallystone.operators import claims as C
 from tallystone.plans import derive as D
 

@@ -198,8 +198,8 @@ ORACLE_SQL = {
     "s04_source_id": f"WITH {FILES} SELECT doc_id, source_id FROM named",
     "s05_revision_id": f"WITH {FILES} SELECT doc_id, 'sha256:' || sha256(content) AS fingerprint, 'revision_' || substr(sha256(encode(source_id) || '\\x00'::BLOB || encode(content)), 1, 32) AS revision_id FROM named",
     "s06_captured_at": "SELECT 'conversation:' || conv_id AS source_id, strftime(min(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 1000 - turn * 60)) FILTER (WHERE turn % 3 < 2), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM conversations GROUP BY conv_id",
-    "s07_manifest": f"""WITH {FILES}, r AS (SELECT DISTINCT batch_key, sha256(source_id || '|sha256:' || sha256(content)) AS h FROM named), b AS (SELECT batch_key, substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY ALL)
-        SELECT 'batch_' || substr(sha256(string_agg(b || h, '' ORDER BY b || h)), 1, 32) AS batch_id, batch_key FROM b GROUP BY batch_key""",
+    "s07_manifest": f"""WITH {FILES}, r AS (SELECT DISTINCT batch_key, sha256(source_id || '|sha256:' || sha256(content)) AS h FROM named), g4 AS (SELECT batch_key, substr(sha256(h), 1, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY ALL), g2 AS (SELECT batch_key, substr(b, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY b)) AS h FROM g4 GROUP BY batch_key, substr(b, 1, 2))
+        SELECT 'batch_' || substr(sha256(string_agg(h, '' ORDER BY b)), 1, 32) AS batch_id, batch_key FROM g2 GROUP BY batch_key""",
     "s08_incremental_import": "SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN 'FAILED' WHEN doc_id % 3 = 0 AND doc_id % 9 <> 0 THEN 'UNCHANGED' ELSE 'IMPORTED' END AS import_status FROM documents",
     "s09_batch_status": """WITH i AS (SELECT source AS batch_key, CASE WHEN doc_id % 10 = 7 THEN 'F' WHEN doc_id % 3 = 0 AND doc_id % 9 <> 0 THEN 'U' ELSE 'I' END AS x FROM documents), n AS (SELECT batch_key, count(*) FILTER (WHERE x = 'I') AS imported, count(*) FILTER (WHERE x = 'U') AS unchanged, count(*) FILTER (WHERE x = 'F') AS failed FROM i GROUP BY 1)
         SELECT *, CASE WHEN failed = 0 THEN 'COMPLETED' WHEN imported + unchanged = 0 THEN 'FAILED' ELSE 'PARTIAL' END AS status FROM n""",

@@ -225,8 +225,8 @@ ORACLE_SQL = {
     "l21_proposals_with_outcome": f"WITH {RECEIPTS} SELECT proposal_id, receipt_id, aggregate_id FROM receipts WHERE outcome = 'FACT_CONFLICT'",
     "l22_history_index": f"WITH {_INDEX} SELECT * FROM index_",
     "l23_bounded_history": f"WITH {_INDEX} SELECT object_id, seq, greatest(count(*) OVER (PARTITION BY object_id) - 16, 0) AS omitted FROM index_ QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY seq DESC) <= 16",
-    "l24_state_digest": f"""WITH {_FOLD}, r AS (SELECT ('0x' || substr(sha256(object_id), 1, 2))::INTEGER AS b, object_id AS k, sha256(object_id || '|' || status || '|' || version) AS h FROM fold),
-        g AS (SELECT b, sha256(string_agg(h, '' ORDER BY k)) AS h FROM r GROUP BY b) SELECT 'sha256:' || sha256(string_agg(h, '' ORDER BY b)) AS digest FROM g""",
+    "l24_state_digest": f"""WITH {_FOLD}, r AS (SELECT sha256(object_id) AS b, object_id AS k, sha256(object_id || '|' || status || '|' || version) AS h FROM fold),
+        g4 AS (SELECT substr(b, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY k)) AS h FROM r GROUP BY ALL), g2 AS (SELECT substr(b, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY b)) AS h FROM g4 GROUP BY substr(b, 1, 2)) SELECT 'sha256:' || sha256(string_agg(h, '' ORDER BY b)) AS digest FROM g2""",
     "l25_rebase_hints": f"""WITH {GUARD_SQL} SELECT proposal_id, arg_min(kind || ':' || object_id, position) AS first_failed, arg_min(expected, position) AS expected, CASE WHEN min(position) = 0 OR max(event_id) % 17 <> 0 THEN arg_min(coalesce(actual, ''), position) END AS actual,
         coalesce(string_agg(kind || '=' || actual, ',' ORDER BY kind, object_id), '') AS replacements FROM failed GROUP BY proposal_id""",
 }

@@ -257,8 +257,8 @@ ORACLE_SQL = {
     "r10_read_spans": """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), x AS (SELECT doc_id, ls[doc_id % len(ls) + 1] AS line FROM l), y AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'SOURCE_NOT_FOUND' WHEN doc_id % 7 = 0 OR (line = '' AND doc_id % 5 <> 0) THEN 'SPAN_INVALID' WHEN doc_id % 5 = 0 THEN 'SPAN_OUT_OF_RANGE' END AS code FROM x)
         SELECT 'r' || doc_id AS request_id, code, CASE WHEN code IS NULL THEN line END AS excerpt, CASE WHEN code IS NULL THEN 'sha256:' || sha256(line) END AS excerpt_hash FROM y""",
     "r11_find_symbols": f"WITH {CODE} SELECT path, qualified_name FROM syms WHERE lower(name) LIKE '%item1%' OR lower(qualified_name) LIKE '%item1%'",
-    "r12_index_fingerprint": """WITH r AS (SELECT ('0x' || substr(sha256('d' || doc_id), 1, 2))::INTEGER AS b, 'd' || doc_id AS k, sha256('d' || doc_id || '|' || coalesce(text, 'null') || '|SOURCE_TEXT|' || coalesce(source, 'null')) AS h FROM documents), g AS (SELECT b, sha256(string_agg(h, '' ORDER BY k)) AS h FROM r GROUP BY b)
-        SELECT 'sha256:' || sha256(string_agg(h, '' ORDER BY b)) AS digest FROM g""",
+    "r12_index_fingerprint": """WITH r AS (SELECT sha256('d' || doc_id) AS b, 'd' || doc_id AS k, sha256('d' || doc_id || '|' || coalesce(text, 'null') || '|SOURCE_TEXT|' || coalesce(source, 'null')) AS h FROM documents), g4 AS (SELECT substr(b, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY k)) AS h FROM r GROUP BY ALL), g2 AS (SELECT substr(b, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY b)) AS h FROM g4 GROUP BY substr(b, 1, 2))
+        SELECT 'sha256:' || sha256(string_agg(h, '' ORDER BY b)) AS digest FROM g2""",
     "k01_symbols": f"WITH {CODE} SELECT * FROM syms",
     "k02_resolve_edges": """WITH f AS (SELECT p_partkey % 300 AS n, min(p_partkey) AS t FROM part GROUP BY 1), m AS (SELECT p_partkey AS s, p_partkey * 7 % 400 AS n, p_partkey % 3 = 0 AS c FROM part UNION ALL SELECT p_partkey, p_partkey % 300, false FROM part), e AS (SELECT DISTINCT s, t, c FROM m JOIN f USING (n)),
         r AS (SELECT s, t, 'CALLS' AS edge_kind FROM e WHERE c UNION ALL SELECT s, t, 'REFERENCES' FROM e a WHERE NOT c AND s <> t AND NOT EXISTS (SELECT 1 FROM e b WHERE b.c AND b.s = a.s AND b.t = a.t))

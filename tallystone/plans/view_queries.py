@@ -190,12 +190,11 @@ QUERIES = {
 
 _R = f"WITH {RECORDS}"
 _CLOSED = "('SUPERSEDED', 'REVERSED', 'ANSWERED', 'DROPPED', 'DONE', 'DEPRECATED')"
-_VIEW = "'sha256:' || sha256(string_agg(b || h, '' ORDER BY b || h))"
 
 
 def _digests(name, where):
-    return f"""{name}_r AS (SELECT subject_id AS scope, sha256(claim_id || '|' || object_value || '|' || status) AS h FROM claims WHERE {where}), {name}_b AS (SELECT scope, substr(h, 1, 2) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM {name}_r GROUP BY ALL),
-    {name} AS (SELECT scope, sum(n)::BIGINT AS members, {_VIEW} AS dependency_digest FROM {name}_b GROUP BY scope)"""
+    return f"""{name}_r AS (SELECT subject_id AS scope, sha256(claim_id || '|' || object_value || '|' || status) AS h FROM claims WHERE {where}), {name}_4 AS (SELECT scope, substr(sha256(h), 1, 4) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM {name}_r GROUP BY ALL),
+    {name}_2 AS (SELECT scope, substr(b, 1, 2) AS b, sum(n) AS n, sha256(string_agg(h, '' ORDER BY b)) AS h FROM {name}_4 GROUP BY scope, substr(b, 1, 2)), {name} AS (SELECT scope, sum(n)::BIGINT AS members, 'sha256:' || sha256(string_agg(h, '' ORDER BY b)) AS dependency_digest FROM {name}_2 GROUP BY scope)"""
 
 
 ORACLE_SQL = {

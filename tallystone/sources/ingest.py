@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.functions.canon import canonical, digest, first_code, short_id, slug, utc_text
+from tallystone.functions.trees import tree_digest
 
 # Suffixes that are read, with their media types; code suffixes; folders that are skipped.
 MEDIA_TYPES = {
@@ -91,12 +92,10 @@ def captured_at(messages: DataFrame) -> DataFrame:
 def manifest(files: DataFrame) -> DataFrame:
     """(batch_id, batch_key): the batch's id by the set of its (source_id, fingerprint), whatever their order.
 
-    Entries are hashed per row and combined as sorted digests of 256 buckets, so no task gets a batch's whole list.
+    Entries are hashed per row and combined by levels of buckets, so no task gets a batch's whole list.
     """
     row = files.select("batch_key", F.sha2(F.concat_ws("|", "source_id", "fingerprint"), 256).alias("h")).distinct()
-    bucket = row.groupBy("batch_key", F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    whole = bucket.groupBy("batch_key").agg(F.array_join(F.array_sort(F.collect_list(F.concat("b", "h"))), "").alias("all"))
-    return whole.select(short_id("batch_", F.col("all"), 32).alias("batch_id"), "batch_key")
+    return tree_digest(row, ["batch_key"], "h", "h").select(F.concat(F.lit("batch_"), F.substring("digest", 8, 32)).alias("batch_id"), "batch_key")
 
 
 def incremental_import(items: DataFrame, prior: DataFrame) -> DataFrame:

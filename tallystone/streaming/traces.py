@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallystone.functions.canon import canonical, digest, first_code, short_id
+from tallystone.operators.folds import fold_rows
 
 ACCEPTED = "session_id string, event_id string, sequence long, event_type string, code string"
 
@@ -77,13 +78,11 @@ def ordered_append(stream: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) ->
 def ordered_append_batch(events: DataFrame) -> DataFrame:
     """T03 over a whole table in order of arrival: an event is accepted if its sequence is one more than the accepted ones before it.
 
-    events: session_id, arrival, event_id, sequence. The accepted sequence numbers are 1, 2, 3...: the first arrival of n after that of n - 1. A fold per session.
+    events: session_id, arrival, event_id, sequence. The accepted sequence numbers are 1, 2, 3...: the first arrival of n after that of n - 1. A session's events stream through one task.
     """
-    rows = F.array_sort(F.collect_list(F.struct("arrival", "event_id", "sequence")))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<boolean>").alias("out"))
-    step = lambda a, r: F.struct((a["n"] + F.when(r["sequence"] == a["n"] + 1, 1).otherwise(0)).alias("n"), F.concat(a["out"], F.array(r["sequence"] == a["n"] + 1)).alias("out"))
-    g = events.groupBy("session_id").agg(rows.alias("rows")).withColumn("flags", F.aggregate("rows", start, step)["out"])
-    return g.select("session_id", F.explode(F.arrays_zip("rows", "flags")).alias("z")).select("session_id", F.col("z.rows.event_id").alias("event_id"), F.col("z.flags").alias("accepted"))
+    rows = events.select("session_id", "arrival", "event_id", "sequence")
+    told = fold_rows(rows, "session_id", ["arrival", "event_id", "sequence"], ["sequence"], "accepted boolean", 0, lambda n, sequence: (n + (sequence == n + 1), sequence == n + 1))
+    return told.select("session_id", "event_id", "accepted")
 
 
 def trace_check(events: DataFrame) -> DataFrame:
