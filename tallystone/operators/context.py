@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.operators.retrieval import packed
+from tallystone.operators.retrieval import BROADCAST_QUERIES, packed
 from tallystone.sources.scratch import written
 
 # The default budget, scores, and hints that a request may not use.
@@ -35,15 +35,42 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", F.array_sort(F.array_distinct(F.coalesce("refs", none))).alias("refs"), terms.alias("terms"), F.coalesce("depth", F.lit("SUMMARY")).alias("depth"), budget.cast("long").alias("budget"), code.alias("code"))
 
 
-def _scored(requests: DataFrame, rows: DataFrame, score) -> DataFrame:
-    """rows x requests with a score of at least 1. rows: id, hay and what score(request) uses."""
+def _grams(text: Column) -> Column:
+    """The distinct runs of two and of three characters of a text."""
+
+    def runs(chars: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(chars, i), F.lit(""))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: F.array(F.concat(at(i), at(i + 1)), F.concat(at(i), at(i + 1), at(i + 2)))))
+
+    return F.array_distinct(F.get(F.transform(F.array(F.split(text, "")), runs), F.lit(0)))
+
+
+def _held(requests: DataFrame, rows: DataFrame, hays: list[str]) -> DataFrame:
+    """rows with the terms of any request that each text of `hays` holds as substrings, in place of the text.
+
+    Texts meet terms by the terms' first three characters (or all two), so a text is compared with few terms.
+    """
+    terms = requests.select(F.explode("terms").alias("term")).distinct().withColumn("gram", F.substring("term", 1, 3))
+    terms = F.broadcast(terms) if requests.count() <= BROADCAST_QUERIES else terms
+    keyed = written(rows.withColumn("row_key", F.xxhash64("id", *hays)), "score-rows")
+    nominated = keyed.select("row_key", F.explode(_grams(F.concat_ws("\n", *hays))).alias("gram")).join(terms, "gram").select("row_key", "term").distinct()
+    tested = nominated.join(keyed.select("row_key", *hays).dropDuplicates(["row_key"]), "row_key")
+    found = tested.groupBy("row_key").agg(*[F.collect_list(F.when(F.contains(text, F.col("term")), F.col("term"))).alias(text) for text in hays])
+    none = F.array().cast("array<string>")
+    return keyed.drop(*hays).join(found, "row_key", "left").withColumns({text: F.coalesce(text, none) for text in hays}).drop("row_key")
+
+
+def _scored(requests: DataFrame, rows: DataFrame, hays: list[str], score) -> DataFrame:
+    """rows x requests with a score of at least 1. rows: id, the texts `hays` and what score(request) uses; score sees the terms that a text holds in its place."""
     blocks = packed(requests.select("request_id", "terms", "refs"), ["request_id", "terms", "refs"])
     each = F.explode(F.filter(F.transform("queries", lambda q: F.struct(q["request_id"].alias("request_id"), score(q).cast("long").alias("score"))), lambda x: x["score"] > 0))
-    return rows.crossJoin(blocks).select("id", each.alias("s")).select("s.request_id", "id", "s.score")
+    # a row becomes as many as there are requests: a number of partitions that isn't merged for being small
+    spread = _held(requests, rows, hays).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    return spread.crossJoin(blocks).select("id", each.alias("s")).select("s.request_id", "id", "s.score")
 
 
 def _matches(q: Column) -> Column:
-    return F.size(F.filter(q["terms"], lambda t: F.contains(F.col("hay"), t)))
+    return F.size(F.filter("hay", lambda t: F.array_contains(q["terms"], t)))
 
 
 def _explicit(q: Column) -> Column:
@@ -55,21 +82,22 @@ def score_records(requests: DataFrame, records: DataFrame) -> DataFrame:
     k = F.col("kind")
     own = F.when(F.col("priority") == "P0", 15).when(F.col("priority") == "P1", 8).otherwise(0) + F.when((k == "CONFLICT") & (F.col("status") == "OPEN"), OPEN_CONFLICT).otherwise(0) + F.when(k.isin("DECISION_RECORD", "OPEN_QUESTION", "WORK_ITEM"), CONTINUITY).otherwise(0)
     rows = records.select(F.col("object_id").alias("id"), F.lower(F.concat_ws(" ", "title", "summary", "document")).alias("hay"), own.alias("own"))
-    return _scored(requests, rows, lambda q: _explicit(q) + _matches(q) * TERM + F.col("own"))
+    return _scored(requests, rows, ["hay"], lambda q: _explicit(q) + _matches(q) * TERM + F.col("own"))
 
 
 def score_views(requests: DataFrame, views: DataFrame) -> DataFrame:
     """The same for views, 10 for each term."""
     rows = views.select(F.col("artifact_id").alias("id"), F.lower(F.concat_ws(" ", "title", "document")).alias("hay"))
-    return _scored(requests, rows, lambda q: _explicit(q) + _matches(q) * SCENARIO_TERM)
+    return _scored(requests, rows, ["hay"], lambda q: _explicit(q) + _matches(q) * SCENARIO_TERM)
 
 
 def score_skills(requests: DataFrame, skills: DataFrame, limit: int = 5) -> DataFrame:
     """The best approved skills of each request: 3 for a term in the triggers, 1 for one only in purpose or preconditions; ties by id."""
     rows = skills.where("status = 'APPROVED'").select(F.col("skill_id").alias("id"), F.lower(F.array_join("triggers", " ")).alias("t"), F.lower(F.concat_ws(" ", F.col("purpose"), F.array_join("triggers", " "), F.array_join("preconditions", " "))).alias("hay"))
-    points = lambda q: F.aggregate(F.transform(q["terms"], lambda x: F.when(F.contains(F.col("t"), x), 3).when(F.contains(F.col("hay"), x), 1).otherwise(0)), F.lit(0), lambda a, v: a + v)
+    # what the triggers hold, the whole text holds as well
+    points = lambda q: 2 * F.size(F.filter("t", lambda x: F.array_contains(q["terms"], x))) + _matches(q)
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), "id")
-    return _scored(requests, rows, points).withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
+    return _scored(requests, rows, ["t", "hay"], points).withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
 
 
 def order_candidates(records: DataFrame, views: DataFrame, skills: DataFrame) -> DataFrame:

@@ -199,7 +199,8 @@ def prefix(s, d):
 
 
 def report(s, d):
-    p = prefix(s, d).join(sized(s, d).select("request_id", "id", F.col("kind").alias("section")), ["request_id", "id"])
+    rows = written(sized(s, d), "candidates")
+    p = X.pack_prefix(rows, X.normalize_requests(requests(s, d))).join(rows.select("request_id", "id", F.col("kind").alias("section")), ["request_id", "id"])
     return X.truncation_report(p)
 
 
