@@ -65,6 +65,15 @@ def test_line_dedup(docs):
     assert line_dedup.dedup_lines(empty(docs)).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    common = "a common line of text"
+    rows = [(1, common, 0), (2, f"first keep this line\n{common}", 1), (2, "x line number zero here\nunique line that must stay", 2), (2, f"first keep this line\n{common}", 3), (None, common, 4), (3, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, N_Lines int")
+    got = sorted((tuple(r) for r in line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df)).select("doc_id", "text", "n_lines", "n_dropped", "kept_text").collect()), key=repr)
+    want = [(i, t, len((t or "").split("\n")), int(i == 2 and common in t), "first keep this line" if i == 2 and common in t else t or "") for i, t, _ in rows]
+    assert got == sorted(want, key=repr)
+
+
 def test_phrase_dedup(docs):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in phrase_dedup.dedup_passages(docs).collect()}
     seen = set()
