@@ -23,7 +23,7 @@ from tallystone.llm.common import words_column, written
 #: Constraints are summed in whole units of this part of a word, so that sums don't depend on their order.
 UNIT = 1 << 16
 #: Documents of one source that are rounded together.
-BLOCK = 20_000
+BLOCK = 1000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: list[float], cap: float) -> dict[str | None, float]:
@@ -101,17 +101,15 @@ def _round_block(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rid": block["rid"], "copies": base.astype(np.int64) + extra})
 
 
-def mix(docs: DataFrame, weights: list[float] | None = None, cap: float = 3.0) -> DataFrame:
-    """(doc_id, size, source_size long, target double, copies long from 0 to cap) of every row of docs.
+def _numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """Rows with a number of their own and what decides about them, and `more`; to be written once, as numbers hold for one reading only."""
+    return docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"], docs["source"].alias("source"), F.size(words_column(docs["text"])).cast("long").alias("size"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"), *more)
 
-    Size counts words; a null text has none, and its copies are the whole part of its rate. A null
-    source is a source of its own, the last. Rows that repeat a doc_id are documents of their own. Reruns over
-    the same rows agree.
-    """
+
+def _copies(sized: DataFrame, weights: list[float] | None, cap: float) -> DataFrame:
+    """(rid, doc_id, size, source_size, target, copies) of every numbered row."""
     weights = weights or [1.0, 2.0, 3.0]
-    spark = docs.sparkSession
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", F.size(words_column(F.col("text"))).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("key"))
-    sized = written(numbered, "mix-sizes")
+    spark = sized.sparkSession
     histogram = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-histogram")
     totals = [(r["source"], int(r["words"]), r["n"]) for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("n")).collect()]
     want = targets([(n, w) for n, w, _ in totals], weights, cap)
@@ -123,11 +121,22 @@ def mix(docs: DataFrame, weights: list[float] | None = None, cap: float = 3.0) -
     rate = F.when(lam == math.inf, float(cap)).when(lam == -math.inf, 0.0).otherwise(F.round(_rate(lam, F.col("size"), F.col("mean"), cap), 9))
     rated = joined.select("rid", "key", "doc_id", "size", "source_size", "target", rate.alias("rate"), F.xxhash64("s").alias("sh"), F.pmod("key", "blocks").alias("block"))
     copies = rated.select("rid", "key", "size", "rate", "sh", "block").groupBy("sh", "block").applyInPandas(_round_block, "rid long, copies long")
-    return rated.select("rid", "doc_id", "size", "source_size", "target").join(copies, "rid").drop("rid")
+    return rated.select("rid", "doc_id", "size", "source_size", "target").join(copies, "rid")
+
+
+def mix(docs: DataFrame, weights: list[float] | None = None, cap: float = 3.0) -> DataFrame:
+    """(doc_id, size, source_size long, target double, copies long from 0 to cap) of every row of docs.
+
+    Size counts words; a null text has none, and its copies are the whole part of its rate. A null
+    source is a source of its own, the last. Rows that repeat a doc_id are documents of their own. Reruns over
+    the same rows agree.
+    """
+    return _copies(written(_numbered(docs), "mix-sizes"), weights, cap).drop("rid")
 
 
 def mixed(docs: DataFrame, weights: list[float] | None = None, cap: float = 3.0) -> DataFrame:
-    """docs itself mixed: each row as often as its copies say, with its columns."""
-    taken = mix(docs, weights, cap).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).where("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """docs itself mixed: each row as often as its own copies say, whatever ids it shares, with its columns."""
+    rows = written(_numbered(docs, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")), "mix-rows")
+    taken = _copies(rows.drop("row"), weights, cap).where("copies > 0").select("rid", "copies")
+    joined = rows.select("rid", "row").join(taken, "rid")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -154,6 +154,38 @@ def test_mixing(docs):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixing_takes_rows_that_share_an_id_by_themselves(spark):
+    rng = np.random.default_rng(4)
+    rows = [([None, 7, i][i % 3], " ".join(rng.choice(["a", "b", "c"], int(rng.integers(1, 30)))), ["x", "y"][i % 2], 1, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, Rid int").repartition(3)
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    times = collections.Counter(r["Rid"] for r in out.collect())
+    want = collections.Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    got = collections.Counter()
+    for i, t, _, _, n in rows:
+        got[i, len(t.split())] += times[n]
+    assert got == want and max(times.values()) <= 3
+    total = {s: sum(len(t.split()) for _, t, x, _, _ in rows if x == s) for s in "xy"}
+    taken = {s: sum(len(t.split()) * times[n] for _, t, x, _, n in rows if x == s) for s in "xy"}
+    for s, share in (("x", 1 / 3), ("y", 2 / 3)):
+        assert abs(taken[s] - share * sum(total.values())) <= 15
+
+
+def test_mixing_rounds_in_blocks(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 10)
+    out = mixing.mix(docs).collect()
+    target, taken = {}, collections.Counter()
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    for r in out:
+        target[source[r["doc_id"]]] = r["target"]
+        taken[source[r["doc_id"]]] += r["copies"] * r["size"]
+    assert len(out) == docs.count() and all(0 <= r["copies"] <= 3 for r in out)
+    assert abs(sum(taken.values()) - sum(target.values())) <= 0.2 * sum(target.values())
+
+
 def test_targets_stop_at_the_cap():
     got = mixing.targets([("a", 10), ("b", 1000), (None, 1000)], [1, 2, 3], 3)
     assert got["a"] == 30 and abs(got["b"] - 1980 * 2 / 5) < 1e-9 and abs(got[None] - 1980 * 3 / 5) < 1e-9
