@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallystone.llm import ann, decontam, fixity, hmm, langid, line_dedup, mixing, near_dup, phrase_dedup, token_orc
@@ -64,12 +64,12 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An audit of a replica of all pages: one page in 97 has a byte changed, one file in 8 has lost its last record."""
-    good = fixity.records(table(spark, sf_dir, "pages"))
+    good = fixity.rendered(table(spark, sf_dir, "pages"))
     harmed = F.concat(F.substring("record", 1, 20), F.lit("?").cast("binary"), F.expr("substring(record, 22)"))
-    last = good.groupBy("file").agg(F.max("ordinal").alias("last"))
-    bad = good.withColumn("record", F.when(F.col("page_id") % 97 == 5, harmed).otherwise(F.col("record")))
-    bad = bad.join(last, "file").where((F.col("file") % 8 != 3) | (F.col("ordinal") != F.col("last")))
-    return fixity.audit(fixity.leaves(good), fixity.leaves(bad))
+    bad = fixity.leaves(good.withColumn("record", F.when(F.col("page_id") % 97 == 5, harmed).otherwise(F.col("record"))))
+    last = F.max("ordinal").over(Window.partitionBy("file"))
+    bad = bad.withColumn("last", last).where((F.col("file") % 8 != 3) | (F.col("ordinal") != F.col("last"))).drop("last")
+    return fixity.audit(fixity.leaves(good), bad)
 
 
 QUERIES = {

@@ -292,6 +292,12 @@ def test_fixity(spark):
     got = {(r["file"], r["ordinal"], r["status"]) for r in fixity.audit(fixity.leaves(good), fixity.leaves(bad), fanout=4, levels=3).collect()}
     assert got == {(2, 1, "CHANGED"), (0, 20, "MISSING")}
     assert {r["status"] for r in fixity.audit(fixity.leaves(bad), fixity.leaves(good), fanout=4, levels=3).collect()} == {"CHANGED", "ADDED"}
+    pages = spark.createDataFrame(rows + [(None, f"n{i}", None) for i in range(50)], "page_id long, url string, html string").withColumn("Record", F.lit(1))
+    hashed = lambda df: sorted(tuple(r) for r in df.select("file", "ordinal", "offset", "length", "digest").collect())
+    early, late = fixity.leaves(fixity.rendered(pages, 20)), fixity.leaves(fixity.records(pages, 20))
+    assert hashed(early) == hashed(late) and early.select("file").where("file < 0").distinct().count() == 3
+    none = fixity.leaves(fixity.rendered(pages.where("url = '?'")))
+    assert fixity.audit(none, none).count() == 0 and {r["status"] for r in fixity.audit(early, none).collect()} == {"MISSING"}
 
 
 def test_pipeline(spark, small):
