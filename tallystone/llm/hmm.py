@@ -7,8 +7,10 @@ words, one unknown word included, so the model is a distribution over all texts.
 whatever the vocabulary; the word counts themselves stay a distributed table. A bounded head of that table is broadcast,
 words beyond it meet their counts in a join.
 
-Training texts are read in segments of `SEGMENT` tokens, each an observation sequence; expected counts are summed over
-all partitions in each iteration. Scoring runs over whole texts.
+A whole text is one observation sequence, in training as in scoring. Its recursions are vectorized over segments of `SEGMENT`
+tokens: the transfer matrix of each segment carries the forward state into the next one and the backward state into the one
+before, so no transition is lost and a long text is as fast as many short ones. Expected counts are summed over all partitions
+in each iteration, in whole units, so that reruns agree.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.llm.common import hash_strings, mix, owners, slices, split_words, written
 
-#: Words with a class of their own, words whose counts are broadcast, classes of word ends, tokens of a segment.
-OWN, HEAD, ENDINGS, SEGMENT = 4095, 65_536, 1024, 64
+#: Words with a class of their own, words whose counts are broadcast at most, classes of word ends, tokens of a segment, segments at once.
+OWN, HEAD, ENDINGS, SEGMENT, ROWS = 4095, 65_536, 1024, 64, 1024
+#: Expected counts are summed in whole units of this part of a token.
+UNIT = 1 << 16
 CLASSES = 1 + OWN + ENDINGS
 SMOOTH = 0.1
 
@@ -84,15 +89,33 @@ def _class_totals(own: pa.Array):
     return totals
 
 
+def _least_count(counts: DataFrame, cells: int = 1024) -> int:
+    """The smallest count that at most HEAD words reach. Each step splits the range that holds it into `cells` and counts the words of each."""
+    low, high, above = 1, (counts.agg(F.max("c")).first()[0] or 0) + 1, 0
+    while high > low:
+        width = -(-(high - low) // cells)
+        cell = F.floor((F.col("c") - low) / width).alias("cell")
+        words = dict(counts.where((F.col("c") >= low) & (F.col("c") < high)).groupBy(cell).count().collect())  # at most `cells` rows
+        at = max(words, default=0)
+        while at >= 0 and above + words.get(at, 0) <= HEAD:
+            above, at = above + words.get(at, 0), at - 1
+        if at < 0 or width == 1:
+            return low + (at + 1) * width
+        low, high = low + at * width, min(high, low + (at + 1) * width)
+    return low
+
+
 def count_words(texts: DataFrame) -> tuple[DataFrame, Vocabulary]:
     """The counts (word, c) of all words of the texts as a table, and their bounded summary. Nothing is cut: rare words stay in the table."""
     counted = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count, "word string, c long")
     counts = written(counted.groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # a fixed bound
+    head = counts.where(F.col("c") >= _least_count(counts)).collect()  # HEAD rows at most
+    head.sort(key=lambda r: (-r["c"], r["word"]))
     names = pa.array([r["word"] for r in head], pa.string())
     docs = texts.count()
     n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    sums = counts.mapInArrow(_class_totals(names.slice(0, OWN)), "k long, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    own = names.slice(0, OWN)
+    sums = counts.mapInArrow(_class_totals(own), "k long, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     for r in sums.collect():  # one row for each class
         n[r["k"]], v[r["k"]] = r["n"], r["v"]
     n[0], v[0] = docs, int(docs > 0)
@@ -102,8 +125,9 @@ def count_words(texts: DataFrame) -> tuple[DataFrame, Vocabulary]:
 CODED = "rid long, doc_id long, held_out boolean, n_tokens long, classes binary, n_known long, own_log double, mid_log double, tail array<string>, tail_n array<int>"
 
 
-def _code(vocabulary: Vocabulary):
+def _code(shared: Broadcast):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
         logs = np.log10(vocabulary.counts + SMOOTH)
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -143,6 +167,11 @@ class Model:
     move: np.ndarray  # state, next state
     emit: np.ndarray  # class, state
 
+    @property
+    def cells(self) -> int:
+        """How many expected counts it is made of."""
+        return self.start.size + self.move.size + self.emit.size
+
 
 def first_model(mass: np.ndarray, states: int) -> Model:
     """All states near the overall class frequencies, each bent by fixed pseudo-random factors."""
@@ -153,46 +182,94 @@ def first_model(mass: np.ndarray, states: int) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def _segments(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes in rows of SEGMENT tokens, and the length of each row."""
+def _segments(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes in rows of SEGMENT tokens, the length of each row, and how many rows each text has."""
     parts = [np.frombuffer(x, np.uint16) for x in raw]
     lengths = np.array([len(x) for x in parts], np.int64)
     rows = -(-lengths // SEGMENT)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+    flat = np.concatenate([*parts, np.zeros(0, np.uint16)])
     of_row = np.repeat(np.arange(len(parts)), rows)
     turn = np.arange(len(of_row)) - np.repeat(np.cumsum(rows) - rows, rows)
     begin = (np.cumsum(lengths) - lengths)[of_row] + turn * SEGMENT
     size = np.minimum(SEGMENT, lengths[of_row] - turn * SEGMENT)
     at = np.minimum(begin[:, None] + np.arange(SEGMENT), max(0, len(flat) - 1))
-    return flat[at].astype(np.int64) if len(flat) else np.zeros((0, SEGMENT), np.int64), size
-
-
-def expected_counts(model: Model, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of rows of classes under the model."""
+    return flat[at] if len(flat) else np.zeros((0, SEGMENT), np.uint16), size, rows
+
+
+def _transfers(model: Model, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each row, up to a factor: how a state before the segment becomes one at its end. A first segment has no move before its first token."""
+    out = model.emit[x[:, 0]][:, None, :] * np.where(first[:, None, None], np.eye(len(model.start)), model.move)
+    for t in range(1, SEGMENT):
+        on = size > t
+        step = (out @ model.move) * model.emit[x[:, t]][:, None, :]
+        out = np.where(on[:, None, None], step, out)
+        if t % 8 == 0:
+            out /= out.sum(axis=(1, 2), keepdims=True)
+    return out / out.sum(axis=(1, 2), keepdims=True)
+
+
+def _edges(model: Model, x: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row: whether it is its text's first, the state before it, and the backward state behind it (both up to a factor)."""
+    states, begin, most = len(model.start), np.cumsum(rows) - rows, int(rows.max()) if len(rows) else 0
+    first = np.zeros(len(x), bool)
+    first[begin[rows > 0]] = True
+    before, behind = np.tile(model.start, (len(x), 1)), np.ones((len(x), states))
+    # texts of one segment need no transfer
+    long = np.flatnonzero(np.repeat(rows > 1, rows))
+    over = np.zeros(len(x), np.int64)
+    over[long] = np.arange(len(long))
+    parts = [_transfers(model, x[part], size[part], first[part]) for part in np.array_split(long, len(long) // ROWS + 1)]
+    transfer = np.concatenate(parts) if len(long) else np.zeros((0, states, states))
+    for k in range(1, most):
+        at = begin[rows > k] + k
+        state = np.einsum("ri,rij->rj", before[at - 1], transfer[over[at - 1]])
+        before[at] = state / state.sum(axis=1, keepdims=True)
+    for k in range(most - 2, -1, -1):
+        at = begin[rows > k + 1] + k
+        state = np.einsum("rij,rj->ri", transfer[over[at + 1]], behind[at + 1])
+        behind[at] = state / state.sum(axis=1, keepdims=True)
+    return first, before, behind
+
+
+def _counts(model: Model, x: np.ndarray, size: np.ndarray, first: np.ndarray, before: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions of rows of segments between known states."""
     rows, states = len(x), len(model.start)
     real = np.arange(SEGMENT)[None, :] < size[:, None]
     emit = np.where(real[:, :, None], model.emit[x], 1.0)
     alpha, scale = np.empty((SEGMENT, rows, states)), np.empty((SEGMENT, rows, 1))
-    now = model.start * emit[:, 0]
+    now = np.where(first[:, None], model.start, before @ model.move) * emit[:, 0]
     for t in range(SEGMENT):
         if t:
             now = (alpha[t - 1] @ model.move) * emit[:, t]
         scale[t] = now.sum(axis=1, keepdims=True)
         alpha[t] = now / scale[t]
-    gamma = np.empty_like(alpha)
-    beta, moves = np.ones((rows, states)), np.zeros((states, states))
+    gamma, moves = np.empty_like(alpha), np.zeros((states, states))
+    # a segment with others behind it is full; behind a text's end all states count alike
+    beta = behind / (alpha[-1] * behind).sum(axis=1, keepdims=True)
     for t in range(SEGMENT - 1, -1, -1):
         gamma[t] = alpha[t] * beta
+        back = emit[:, t] * beta / scale[t]
         if t:
-            back = emit[:, t] * beta / scale[t]
             on = real[:, t]
             moves += alpha[t - 1][on].T @ back[on]
             beta = back @ model.move.T
+        else:
+            moves += before[~first].T @ back[~first]
     moves *= model.move
-    flat = x.T.ravel()[real.T.ravel()]
+    flat = x.T.ravel()[real.T.ravel()].astype(np.int64)
     weights = gamma.reshape(-1, states)[real.T.ravel()]
     emitted = np.stack([np.bincount(flat, weights[:, k], CLASSES) for k in range(states)], axis=1)
-    return gamma[0].sum(axis=0), moves, emitted
+    return gamma[0][first].sum(axis=0), moves, emitted
+
+
+def expected_counts(model: Model, raw: list[bytes]) -> np.ndarray:
+    """Expected starts, moves and emissions of whole class sequences under the model, one after the other in one array."""
+    x, size, rows = _segments(raw)
+    edges, total = _edges(model, x, size, rows), np.zeros(model.cells)
+    for at in range(0, len(x), ROWS):
+        part = slice(at, at + ROWS)
+        total += np.concatenate([c.ravel() for c in _counts(model, x[part], size[part], *(e[part] for e in edges))])
+    return total
 
 
 def train(coded: DataFrame, vocabulary: Vocabulary, states: int = 6, iterations: int = 4) -> Model:
@@ -201,29 +278,35 @@ def train(coded: DataFrame, vocabulary: Vocabulary, states: int = 6, iterations:
     model = first_model(mass, states)
     if not vocabulary.train_docs:
         return model
-
     for _ in range(iterations):
-        given = model
+        shared = coded.sparkSession.sparkContext.broadcast(model)
 
-        def count(batches: Iterator[pa.RecordBatch], given: Model = given) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(states + states * states + CLASSES * states)
+        def count(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            given = shared.value
+            total = np.zeros(given.cells)
             for batch in batches:
-                x, size = _segments(batch.column("classes").to_pylist())
-                for at in range(0, len(x), 1024):
-                    total += np.concatenate([c.ravel() for c in expected_counts(given, x[at : at + 1024], size[at : at + 1024])])
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
-
-        sums = np.zeros(states + states * states + CLASSES * states)
-        for r in coded.select("classes").mapInArrow(count, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # the size of the model
-            sums[r["cell"]] = r["n"]
-        start, move, emit = sums[:states], sums[states : states + states * states].reshape(states, states), sums[states + states * states :].reshape(CLASSES, states)
-        # half a token of the overall frequencies keeps every class possible in every state
-        emit = emit + 0.5 * (mass / mass.sum())[:, None]
-        model = Model((start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+                for part in slices(batch, "classes", 1 << 20):
+                    total += expected_counts(given, part.column("classes").to_pylist())
+            whole = np.round(total * UNIT).astype(np.int64)
+            used = np.flatnonzero(whole)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(whole[used])], ["cell", "n"])
+
+        sums = np.zeros(model.cells)
+        for r in coded.select("classes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # the size of the model
+            sums[r["cell"]] = r["n"] / UNIT
+        model = _maximized(sums, mass, states)
+        shared.destroy()
     return model
 
 
+def _maximized(sums: np.ndarray, mass: np.ndarray, states: int) -> Model:
+    """The model of expected counts, smoothed."""
+    start, move, emit = sums[:states], sums[states : states + states * states].reshape(states, states), sums[states + states * states :].reshape(CLASSES, states)
+    # half a token of the overall frequencies keeps every class possible in every state
+    emit = emit + 0.5 * (mass / mass.sum())[:, None]
+    return Model((start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+
+
 def forward(model: Model, raw: list[bytes]) -> np.ndarray:
     """log10 of the exact probability of each class sequence; longest first, so that texts leave the batch as they end."""
     parts = [np.frombuffer(x, np.uint16).astype(np.int64) for x in raw]
@@ -244,10 +327,11 @@ def forward(model: Model, raw: list[bytes]) -> np.ndarray:
     return result
 
 
-def _score(model: Model, vocabulary: Vocabulary):
+def _score(shared: Broadcast):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, class_mass = shared.value
         inner = np.zeros(CLASSES)
-        inner[1 + OWN :] = np.log10(vocabulary.class_mass()[1 + OWN :])
+        inner[1 + OWN :] = np.log10(class_mass[1 + OWN :])
         for batch in batches:
             raw = batch.column("classes").to_pylist()
             within = np.array([inner[np.frombuffer(x, np.uint16)].sum() for x in raw])
@@ -263,14 +347,15 @@ def score_texts(docs: DataFrame, held_out, states: int = 6, iterations: int = 4)
     all words are unknown and the model is its starting point.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    context = docs.sparkSession.sparkContext
     counts, vocabulary = count_words(rows.where(~F.col("held_out")).select("text"))
-    coded = written(rows.mapInArrow(_code(vocabulary), CODED), "lm-coded")
+    coded = written(rows.mapInArrow(_code(context.broadcast(vocabulary)), CODED), "lm-coded")
     model = train(coded.where(~F.col("held_out")), vocabulary, states, iterations)
     tail = coded.select("rid", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("rid", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("n"))
     log = F.log10(F.coalesce("c", F.lit(0)) + SMOOTH) * F.col("n")
     met = tail.join(counts, "word", "left").groupBy("rid").agg(F.sum(log).alias("tail_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
     keep = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "own_log", "mid_log"]
-    scored = coded.select(*keep, "classes").mapInArrow(_score(model, vocabulary), coded.select(*keep).schema.add("path_log", "double"))
+    scored = coded.select(*keep, "classes").mapInArrow(_score(context.broadcast((model, vocabulary.class_mass()))), coded.select(*keep).schema.add("path_log", "double"))
     out = scored.join(met, "rid", "left").na.fill(0, ["tail_log", "tail_known"])
     rest = F.col("mid_log") + F.col("tail_log")
     base = F.col("own_log") + rest - F.col("n_tokens") * F.lit(vocabulary.log_total)

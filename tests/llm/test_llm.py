@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +271,71 @@ def test_forward_is_the_sum_over_paths():
     assert np.allclose(hmm.forward(m, raw), [math.log10(total), math.log10((m.start * m.emit[5]).sum())])
 
 
+@pytest.mark.parametrize("segment", [1, 2, 3, 64])
+def test_expected_counts_are_those_over_all_paths(monkeypatch, segment):
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    rng = np.random.default_rng(1)
+    m = hmm.Model(np.array([0.3, 0.7]), np.array([[0.8, 0.2], [0.4, 0.6]]), rng.random((hmm.CLASSES, 2)))
+    texts = [[5, 9, 2, 7, 7, 1, 3], [5], [4, 4], [8, 1, 2, 3], [6] * 6]
+    want = np.zeros(m.cells)
+    for x in texts:
+        paths = list(itertools.product((0, 1), repeat=len(x)))
+        p = np.array([m.start[q[0]] * np.prod([m.emit[c, k] for c, k in zip(x, q, strict=True)]) * np.prod([m.move[a, b] for a, b in itertools.pairwise(q)]) for q in paths])
+        for q, share in zip(paths, p / p.sum(), strict=True):
+            want[q[0]] += share
+            for a, b in itertools.pairwise(q):
+                want[2 + 2 * a + b] += share
+            for c, k in zip(x, q, strict=True):
+                want[6 + 2 * c + k] += share
+    assert np.allclose(hmm.expected_counts(m, [np.array(x, np.uint16).tobytes() for x in texts]), want)
+
+
+def test_training_raises_the_likelihood():
+    rng = np.random.default_rng(2)
+    raw = [np.where(np.arange(n) // 5 % 2, rng.integers(0, 20, n), rng.integers(20, 40, n)).astype(np.uint16).tobytes() for n in (300, 40, 1, 90)]
+    mass = np.full(hmm.CLASSES, 1e-3)
+    mass[:40] = 10
+    model, seen = hmm.first_model(mass, 3), []
+    for _ in range(6):
+        seen.append(hmm.forward(model, raw).sum())
+        model = hmm._maximized(hmm.expected_counts(model, raw), mass, 3)
+    assert all(b > a - 0.5 for a, b in itertools.pairwise(seen)) and seen[-1] > seen[0] + 1
+
+
+def test_head_of_the_vocabulary_is_bounded(spark, monkeypatch):
+    for counts, head in (([1] * 50, 10), ([5, 5, 4, 3, 3, 3, 1], 4), (list(range(1, 3000)), 100), ([7], 4), ([], 4), ([10**12, 3, 2, 2], 2), ([2] * 4, 4)):
+        monkeypatch.setattr(hmm, "HEAD", head)
+        df = spark.createDataFrame([(str(i), c) for i, c in enumerate(counts)], "word string, c long")
+        cut = hmm._least_count(df)
+        assert sum(c >= cut for c in counts) <= head and (cut <= 1 or sum(c >= cut - 1 for c in counts) > head), (counts[:5], cut)
+
+
+def test_scores_of_texts_are_those_of_the_trained_model(docs):
+    """The query's score from the words up: classes, training and the forward recursion once more, text by text."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    got = {r["doc_id"]: r["score"] for r in hmm.score_texts(docs, held, states=2, iterations=2).collect()}
+    tokens = {i: words((t or "").translate(LOW)) for i, t in rows_of(docs)}
+    learn = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
+    c = collections.Counter(x for i in learn for x in tokens[i])
+    own = {x: k for k, (_, x) in enumerate(sorted((-n, x) for x, n in c.items())[: hmm.OWN], 1)}
+    ending = lambda x: int(hmm._ending(pa.array([x]))[0])
+    of = {x: own.get(x) or ending(x) for w in tokens.values() for x in w}
+    n, v = collections.Counter({0: len(learn)}), collections.Counter({0: 1})
+    for x, k in c.items():
+        n[of[x]] += k
+        v[of[x]] += 1
+    mass = np.array([n[k] + (0.1 * (v[k] + 1) if k > hmm.OWN else 0.1 * (n[k] == 0)) for k in range(hmm.CLASSES)])
+    raw = {i: np.array([*(of[x] for x in w), 0], np.uint16).tobytes() for i, w in tokens.items()}
+    model = hmm.first_model(mass, 2)
+    for _ in range(2):
+        sums = sum(hmm.expected_counts(model, [raw[i]]) for i in learn)
+        model = hmm._maximized(sums, mass, 2)
+    for i, w in tokens.items():
+        path = float(hmm.forward(model, [raw[i]])[0])
+        inner = sum(math.log10((c[x] + 0.1) / mass[of[x]]) for x in w if of[x] > hmm.OWN)  # a class of one word has that word for certain
+        assert abs(got[i] - path - inner) < 1e-4 * (1 + len(w)), i
+
+
 def test_token_orc(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
