@@ -198,11 +198,14 @@ def _segments(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _transfers(model: Model, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each row, up to a factor: how a state before the segment becomes one at its end. A first segment has no move before its first token."""
-    out = model.emit[x[:, 0]][:, None, :] * np.where(first[:, None, None], np.eye(len(model.start)), model.move)
+    states, emit = len(model.start), model.emit[x.T]
+    out = emit[0][:, None, :] * np.where(first[:, None, None], np.eye(states), model.move)
     for t in range(1, SEGMENT):
-        on = size > t
-        step = (out @ model.move) * model.emit[x[:, t]][:, None, :]
-        out = np.where(on[:, None, None], step, out)
+        step = (out.reshape(-1, states) @ model.move).reshape(out.shape)
+        step *= emit[t][:, None, :]
+        off = np.flatnonzero(size <= t)
+        step[off] = out[off]
+        out = step
         if t % 8 == 0:
             out /= out.sum(axis=(1, 2), keepdims=True)
     return out / out.sum(axis=(1, 2), keepdims=True)
@@ -234,30 +237,30 @@ def _edges(model: Model, x: np.ndarray, size: np.ndarray, rows: np.ndarray) -> t
 def _counts(model: Model, x: np.ndarray, size: np.ndarray, first: np.ndarray, before: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, moves and emissions of rows of segments between known states."""
     rows, states = len(x), len(model.start)
-    real = np.arange(SEGMENT)[None, :] < size[:, None]
-    emit = np.where(real[:, :, None], model.emit[x], 1.0)
+    real = np.arange(SEGMENT)[:, None] < size
+    full = size.min() == SEGMENT
+    emit = model.emit[x.T] if full else np.where(real[:, :, None], model.emit[x.T], 1.0)
     alpha, scale = np.empty((SEGMENT, rows, states)), np.empty((SEGMENT, rows, 1))
-    now = np.where(first[:, None], model.start, before @ model.move) * emit[:, 0]
+    now = np.where(first[:, None], model.start, before @ model.move) * emit[0]
     for t in range(SEGMENT):
         if t:
-            now = (alpha[t - 1] @ model.move) * emit[:, t]
-        scale[t] = now.sum(axis=1, keepdims=True)
-        alpha[t] = now / scale[t]
+            now = (alpha[t - 1] @ model.move) * emit[t]
+        now.sum(axis=1, keepdims=True, out=scale[t])
+        np.divide(now, scale[t], out=alpha[t])
     gamma, moves = np.empty_like(alpha), np.zeros((states, states))
     # a segment with others behind it is full; behind a text's end all states count alike
     beta = behind / (alpha[-1] * behind).sum(axis=1, keepdims=True)
     for t in range(SEGMENT - 1, -1, -1):
-        gamma[t] = alpha[t] * beta
-        back = emit[:, t] * beta / scale[t]
+        np.multiply(alpha[t], beta, out=gamma[t])
+        back = emit[t] * beta / scale[t]
         if t:
-            on = real[:, t]
-            moves += alpha[t - 1][on].T @ back[on]
+            moves += alpha[t - 1].T @ (back if full else back * real[t][:, None])
             beta = back @ model.move.T
         else:
             moves += before[~first].T @ back[~first]
     moves *= model.move
-    flat = x.T.ravel()[real.T.ravel()].astype(np.int64)
-    weights = gamma.reshape(-1, states)[real.T.ravel()]
+    flat = x.T.ravel()[real.ravel()].astype(np.int64)
+    weights = gamma.reshape(-1, states)[real.ravel()]
     emitted = np.stack([np.bincount(flat, weights[:, k], CLASSES) for k in range(states)], axis=1)
     return gamma[0][first].sum(axis=0), moves, emitted
 
