@@ -1,15 +1,15 @@
 """Substring dedup: words inside passages that also start earlier in the corpus, by repeated-phrase automata.
 
-1. Anchors. Of the `gram`-word runs in each `window`-word window the one with the smallest hash is the
+1. Anchors nominate. Of the `gram`-word runs in each `window`-word window the one with the smallest hash is the
    window's anchor, so equal windows have equal anchors wherever they stand. An anchor serves about seven windows.
-2. Candidates. Anchors meet by hash; those met once are dropped. An anchor that is frequent within a slice of
-   one task is spread over many groups at once, so no common passage lands in one task.
-3. Automata. The words around recurring anchors are sharded by (anchor, group). A shard confirms the windows
-   that recur in it, compiles them into an Aho-Corasick automaton and streams its passages, in corpus
-   order, through it to locate every occurrence. All but the first of a phrase are to be removed.
-4. Groups of one frequent anchor meet once more by the hash of each distinct phrase's first occurrence.
-
-Each window of each document reaches exactly one shard, so nothing is sampled or cut.
+   Anchors meet by hash; those met once are dropped, as no window around them recurs.
+2. Automata. The words around the other anchors, of every document, are sharded by (anchor, part); a frequent anchor has
+   many parts, so no common passage lands in one task. A shard confirms which window phrases recur in it, compiles them into
+   an Aho-Corasick automaton over words, and streams its passages through it. Every occurrence comes from the automaton, and so is
+   exact in words; all but the first of a phrase are to be removed.
+3. Parts of one frequent anchor meet once more by the words of each distinct phrase's first occurrence.
+
+Each window of each document that may recur reaches exactly one shard: nothing is sampled or cut.
 """
 
 from __future__ import annotations
@@ -18,18 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import owners, partitions, rolling, slices, split_words, word_hashes, words_column, written
+from tallystone.llm.common import hash_strings, owners, partitions, rolling, slices, split_words, word_hashes, words_column
 
-#: Occurrences of one anchor in one slice of a task that stay in the anchor's common group.
-COMMON = 48
-ANCHOR = "anchor long, part long, hot boolean, doc_id long, first int, n_words int, at int"
-#: The end of a run over all windows of a text.
-WHOLE = (1 << 31) - 1
-RUNS = "doc_id long, first int, last int, w1 long, w2 long"
+#: Occurrences of one anchor in a task that stay in the anchor's common part, and cells in which a task counts them.
+COMMON, CELLS = 48, 1 << 22
+#: Passages of an automaton, at least.
+SHARD = 512
+ANCHOR = "anchor long, part long, hot boolean, doc_id long, first int, n_words int"
+RUNS = "doc_id long, first int, last int, phrase string"
 
 
 def _anchors(window: int, gram: int):
@@ -37,6 +38,7 @@ def _anchors(window: int, gram: int):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
+        met = np.zeros(CELLS, np.uint8)
         for whole in batches:
             for batch in slices(whole, "text"):
                 number += 1
@@ -55,17 +57,21 @@ def _anchors(window: int, gram: int):
                 place, first, last = best[new], starts[new], starts[ends]
                 key, doc = grams[place].astype(np.int64), owner[place]
                 begin = offsets[doc]
-                # occurrences of one anchor beyond COMMON in this slice go to a group of their own
+                # occurrences of one anchor beyond COMMON in this task go to parts of their own; one of each slice stays, to tell of them
                 order = np.argsort(key, kind="stable")
                 ordered = key[order]
                 head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-                rank = np.empty(len(key), np.int64)
-                rank[order] = np.arange(len(key)) - np.repeat(head, np.diff(np.concatenate((head, [len(key)]))))
-                count = np.empty(len(key), np.int64)
-                count[order] = np.repeat(np.diff(np.concatenate((head, [len(key)]))), np.diff(np.concatenate((head, [len(key)]))))
-                part = np.where(rank < COMMON, 0, 1 + ((np.int64(task) << 24) + number) * 256 + rank // 1024)
+                times = np.diff(np.concatenate((head, [len(key)])))
+                cell = ordered[head] & (CELLS - 1)
+                before = met[cell].astype(np.int64)
+                np.maximum.at(met, cell, np.minimum(before + times, 255).astype(np.uint8))
+                rank, count = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+                rank[order] = np.arange(len(key)) - np.repeat(head, times)
+                seen = np.empty(len(key), np.int64)
+                seen[order], count[order] = np.repeat(before, times), np.repeat(before + times, times)
+                part = np.where((seen + rank < COMMON) | (rank == 0), 0, 1 + ((np.int64(task) << 24) + number) * 256 + rank // 1024)
                 ids = np.asarray(batch.column("doc_id"))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(count > COMMON), pa.array(ids[doc]), pa.array((first - begin).astype(np.int32)), pa.array((last - first + window).astype(np.int32)), pa.array((place - first).astype(np.int32))], ["anchor", "part", "hot", "doc_id", "first", "n_words", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(count > COMMON), pa.array(ids[doc]), pa.array((first - begin).astype(np.int32)), pa.array((last - first + window).astype(np.int32))], [c.split()[0] for c in ANCHOR.split(", ")])
 
     return find
 
@@ -101,62 +107,47 @@ def _locate(window: int):
     def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
         import ahocorasick
 
-        # equal passages count once here: all but the first are repeats from end to end
-        doc, first = np.asarray(batch.column("doc_id")), np.asarray(batch.column("first"))
-        same = np.asarray(batch.column("passage").dictionary_encode().indices)
-        order = np.lexsort((first, doc, same))
-        head = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1])))
-        lead = np.repeat(order[head], np.diff(np.concatenate((head, [len(order)]))))
-        again = order[(doc[order] != doc[lead]) | (first[order] != first[lead])]
-        ends = first + np.asarray(batch.column("n_words")) - window
-        nothing = np.zeros(len(again), np.int64)
-        rows = [(doc[again], first[again], ends[again], nothing, nothing)]
-        batch = batch.take(pa.array(np.sort(order[head])))
-
         flat, offsets = split_words(batch.column("passage"))
         coded = flat.dictionary_encode()
         codes, owner = np.asarray(coded.indices).astype(np.int64), owners(offsets)
-        hashes = word_hashes(flat)
-        w1, w2 = rolling(hashes, window, 1), rolling(hashes, window, 2)
+        hashes = rolling(hash_strings(coded.dictionary)[codes], window)
         starts = np.flatnonzero(owner[: len(codes) - window + 1] == owner[window - 1 :])
-        doc, first, hot = np.asarray(batch.column("doc_id")), np.asarray(batch.column("first")), np.asarray(batch.column("hot"))
-        # confirm: windows that recur here
-        _, lead, inverse, count = np.unique(w1[starts], return_index=True, return_inverse=True, return_counts=True)
-        again = np.flatnonzero(count > 1)
-        letters = _letters(codes)
-        late = np.zeros(len(starts), bool)
-        if len(again):
+        doc, first, hot = (np.asarray(batch.column(c)) for c in ("doc_id", "first", "hot"))
+        letters, late, rows = _letters(codes), np.zeros(len(starts), bool), []
+        # confirm: one window of each phrase that recurs here goes into the automaton
+        _, lead, count = np.unique(hashes[starts], return_index=True, return_counts=True)
+        phrases = starts[lead[count > 1]].tolist()
+        if phrases:
             automaton = ahocorasick.Automaton()
-            for number, at in enumerate(starts[lead[again]].tolist()):
+            for number, at in enumerate(phrases):
                 automaton.add_word(letters[at : at + window], number)
             automaton.make_automaton()
-            # passages follow each other in corpus order; matches across two passages are no windows
+            # passages follow each other; matches across two of them are no windows
             found = np.array(list(automaton.iter(letters)), np.int64).reshape(-1, 2)
             place, phrase = found[:, 0] - window + 1, found[:, 1]
             inside = owner[place] == owner[place + window - 1]
             place, phrase = place[inside], phrase[inside]
-            at = np.searchsorted(starts, place)
-            where_doc, where = doc[owner[place]], first[owner[place]] + place - offsets[owner[place]]
-            order = np.lexsort((where, where_doc, phrase))
-            lead_of = np.flatnonzero(np.concatenate(([True], phrase[order][1:] != phrase[order][:-1])))
-            lead_of = np.repeat(order[lead_of], np.diff(np.concatenate((lead_of, [len(order)]))))
-            later = (where_doc[order] != where_doc[lead_of]) | (where[order] != where[lead_of])
-            late[at[order[later]]] = True
+            of_doc, of = doc[owner[place]], first[owner[place]] + place - offsets[owner[place]]
+            order = np.lexsort((of, of_doc, phrase))
+            head = np.flatnonzero(np.concatenate(([True], phrase[order][1:] != phrase[order][:-1])))
+            earliest = np.repeat(order[head], np.diff(np.concatenate((head, [len(order)]))))
+            later = (of_doc[order] != of_doc[earliest]) | (of[order] != of[earliest])
+            late[np.searchsorted(starts, place[order[later]])] = True
         own = owner[starts]
         where_doc, where = doc[own], first[own] + starts - offsets[own]
         gone = np.flatnonzero(late)
-        if len(gone):
-            d, p = where_doc[gone], where[gone]
-            new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1))))
-            end = np.concatenate((new[1:], [len(d)])) - 1
-            rows.append((d[new], p[new], p[end], np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)))
-        # firsts of groups that have others elsewhere
+        # a run of windows to remove has no phrase
+        d, p = where_doc[gone], where[gone]
+        new = np.flatnonzero(np.concatenate(([True] * bool(len(gone)), (own[gone][1:] != own[gone][:-1]) | (p[1:] != p[:-1] + 1))))
+        end = np.concatenate((new[1:], [len(d)] * bool(len(d)))).astype(np.int64) - 1
+        rows.append((d[new], p[new], p[end]))
+        # first occurrences in a part that has others elsewhere, with their words
         open_ = np.flatnonzero(~late & hot[own])
-        if len(open_):
-            at = starts[open_]
-            rows.append((where_doc[open_], where[open_], where[open_] - 1, w1[at].astype(np.int64) | 1, w2[at].astype(np.int64)))
-        d, a, b, h1, h2 = (np.concatenate(x) for x in zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(h1), pa.array(h2)], ["doc_id", "first", "last", "w1", "w2"])
+        words = flat.take(pa.array((starts[open_][:, None] + np.arange(window)).ravel()))
+        phrases = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, window, dtype=np.int32)), words), " ")
+        rows.append((where_doc[open_], where[open_], where[open_] - 1))
+        d, a, b = (np.concatenate([r[i] for r in rows]) for i in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.concat_arrays([pa.nulls(len(new), pa.string()), phrases])], ["doc_id", "first", "last", "phrase"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows are sorted by (anchor, part): a group that a batch cuts off is carried into the next one."""
@@ -167,11 +158,15 @@ def _locate(window: int):
             if rest is not None:
                 batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
             anchor, part = np.asarray(batch.column("anchor")), np.asarray(batch.column("part"))
-            cut = np.flatnonzero((anchor != anchor[-1]) | (part != part[-1]))
-            cut = int(cut[-1]) + 1 if len(cut) else 0
-            rest = batch.slice(cut)
-            if cut:
-                yield shard(batch.slice(0, cut))
+            heads = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))))
+            # whole groups, of SHARD passages or more: a small automaton has few branches at its root
+            at = 0
+            while (k := int(np.searchsorted(heads, at + SHARD))) < len(heads):
+                yield shard(batch.slice(at, int(heads[k]) - at))
+                at = int(heads[k])
+            if at < heads[-1]:
+                yield shard(batch.slice(at, int(heads[-1]) - at))
+            rest = batch.slice(int(heads[-1]))
         if rest is not None:
             yield shard(rest)
 
@@ -187,27 +182,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """(copy): ids of documents whose whole text (compared by 96 bits of hash and the length) a smaller id also has."""
-    prints = _keyed(docs.where("text is not null")).select("doc_id", F.xxhash64("text").alias("p1"), F.hash(F.lit(3), "text").alias("p2"), F.length("text").alias("n"))
-    groups = prints.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    groups = written(groups, "phrase-copies")
-    return prints.join(groups, ["p1", "p2", "n"]).where("doc_id > least").select(F.col("doc_id").alias("copy")).distinct()
-
-
 def repeats(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     """Runs (doc_id, first, last) of window starts whose word sequence also starts earlier. Runs may touch or repeat.
 
     Earlier: in a smaller doc_id, or in the same document before. Rows that share an id and a position are one
     occurrence. A null id counts as the smallest. A null or short text has no windows.
     """
-    return _repeats(_keyed(docs), None, window, gram)
+    return _repeats(_keyed(docs), window, gram)
 
 
-def _repeats(texts: DataFrame, known: DataFrame | None, window: int, gram: int) -> DataFrame:
+def _repeats(texts: DataFrame, window: int, gram: int) -> DataFrame:
     n = partitions(texts.sparkSession)
-    read = texts.join(known, F.col("doc_id") == F.col("copy"), "left_anti") if known is not None else texts
-    anchors = read.mapInArrow(_anchors(window, gram), ANCHOR)
+    anchors = texts.mapInArrow(_anchors(window, gram), ANCHOR)
     anchors = anchors.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "first")
     recurring = anchors.mapInArrow(_recurring, ANCHOR)
     wanted = recurring.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "part", "hot", "first", "n_words")).alias("anchors"))
@@ -217,10 +203,11 @@ def _repeats(texts: DataFrame, known: DataFrame | None, window: int, gram: int)
     passages = split.select("doc_id", F.explode(passage).alias("p")).select("doc_id", "p.*")
     shards = passages.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "first")
     located = shards.select("anchor", "part", "hot", "doc_id", "first", "n_words", "passage").mapInArrow(_locate(window), RUNS)
-    # one row for a run to remove; one for a phrase that has to meet others of its anchor (those have hashes)
-    phrase = Window.partitionBy("w1", "w2", F.when(F.col("w1") == 0, F.col("doc_id")), F.when(F.col("w1") == 0, F.col("first"))).orderBy("doc_id", "first")
+    # a row without phrase is a run to remove; the others meet those of the same words
+    run = F.col("phrase").isNull()
+    phrase = Window.partitionBy("phrase", F.when(run, F.col("doc_id")), F.when(run, F.col("first"))).orderBy("doc_id", "first")
     lead = F.struct("doc_id", "first")
-    met = located.withColumn("late", F.when(F.col("w1") == 0, True).otherwise(lead != F.first(lead).over(phrase))).where("late")
+    met = located.withColumn("late", F.when(run, True).otherwise(lead != F.first(lead).over(phrase))).where("late")
     return met.select("doc_id", "first", F.greatest("first", "last").alias("last"))
 
 
@@ -255,13 +242,11 @@ def _cut(window: int):
 def dedup_passages(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     """(doc_id, n_words, n_removed long, kept_text) of every row of docs: kept words joined by one space.
 
-    A word goes if a window of `window` words over it also starts earlier; windows are those of the input. Copies of
-    whole documents lose all their windows at once, and the automata see each text once.
+    A word goes if a window of `window` words over it also starts earlier; windows are those of the input. Rows that share an
+    id are cut alike at the same positions; a null id counts as the smallest.
     """
-    texts, known = _keyed(docs), written(copies(docs), "phrase-known")
-    runs = _repeats(texts, known, window, gram).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    all_of_it = known.select(F.col("copy").alias("doc_id"), F.array(F.struct(F.lit(0).alias("first"), F.lit(WHOLE).alias("last"))).alias("runs"))
-    runs = runs.unionByName(all_of_it).withColumnRenamed("doc_id", "__id")
+    texts = _keyed(docs)
+    runs = _repeats(texts, window, gram).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("runs")).withColumnRenamed("doc_id", "__id")
     none = F.array().cast("array<struct<first:int,last:int>>")
     joined = texts.join(runs, F.col("doc_id") == F.col("__id"), "left")
     joined = joined.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("runs", none).alias("runs"))
