@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.sources.scratch import new_path, written
@@ -19,6 +19,8 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Rows of a key that make it frequent, and rows of ids or keys that are broadcast at most.
+HOT_ROWS, BROADCAST_ROWS = 1000, 1_000_000
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
 
@@ -27,6 +29,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join of a written table with a table of one row per key, where no task gets all rows of a frequent key.
+
+    Keys of more than HOT_ROWS rows of big meet their rows where these are read. There are at most BROADCAST_ROWS such keys, as the bound
+    rises with the table, so what is broadcast is bounded; all other keys are shuffled.
+    """
+    most = max(HOT_ROWS, big.count() // BROADCAST_ROWS)
+    hot = written(big.groupBy(*keys).count().where(F.col("count") > most).select(*keys), "hot-keys")
+    if hot.limit(1).count() == 0:
+        return big.join(small, keys)
+    few = F.broadcast(small.join(F.broadcast(hot), keys, "left_semi"))
+    rest = big.join(F.broadcast(hot), keys, "left_anti").join(small, keys)
+    return rest.unionByName(big.join(few, keys))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII text takes the fast built-in."""
     plain = F.octet_length(text) == F.length(text)

@@ -1,14 +1,14 @@
 """Near-duplicate documents by DartMinHash signatures and banded joining.
 
-A document is a weighted set of word shingles. Darts fall on the plane (weight, rank) of each shingle, one per
+A document is a set of word shingles, weighted by how often each occurs. Darts fall on the plane (weight, rank) of each shingle, one per
 unit area on average, at places that only the shingle decides; a dart counts if it lands below the shingle's
 weight. The darts of least rank per coordinate are the signature: two documents agree in a coordinate with
 probability equal to their weighted Jaccard similarity. Throwing stops at a rank that leaves about
 k ln k + 3k darts in all, so a signature costs no more for short documents than for long ones.
 
 Bands of coordinates meet in joins. Per bucket one member, the centre, is compared with the others, by exact
-similarity of the shingle sets. Buckets that then lie within one class are done, as are centres; after `turns` such
-steps what is left is compared block against block, in tasks that return only links between classes not yet joined. So no bucket is capped and no group is expanded into all its pairs. Copies with equal sets are one
+weighted Jaccard similarity: the sum of the smaller weights over that of the larger ones. Buckets that then lie within one class are done, as are centres; after `turns` such
+steps what is left is compared block against block, in tasks that return only links between classes not yet joined. So no bucket is capped and no group is expanded into all its pairs. Copies with equal weighted sets are one
 representative from the start.
 """
 
@@ -21,11 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import mix, owners, rolling, slices, split_words, word_hashes, written
+from tallystone.llm.common import BROADCAST_ROWS, mix, owners, rolling, slices, split_words, spread_join, word_hashes, written
 
 BANDS, ROWS = 40, 6
-#: Tables of ids of at most so many rows (8 bytes each) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
 #: Members of a bucket that are compared at once.
 BLOCK = 512
 #: Poisson(1) distribution function: how many darts a unit cell has.
@@ -71,8 +69,8 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _elements(batch: pa.RecordBatch, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The shingles of each text with their counts. A text too short for one is a single element, unless it has no words."""
+def _elements(batch: pa.RecordBatch, n: int, weight: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The shingles of each text with their weights: counts, or 1 each. A text too short for one is a single element, unless it has no words."""
     flat, offsets = split_words(batch.column("text"))
     hashes, owner = word_hashes(flat), owners(offsets)
     grams = rolling(hashes, n)
@@ -85,7 +83,8 @@ def _elements(batch: pa.RecordBatch, n: int) -> list[tuple[np.ndarray, np.ndarra
         if not len(own) and offsets[i + 1] > offsets[i]:
             words = mix(hashes[offsets[i] : offsets[i + 1]])
             own = mix((words * (np.arange(len(words), dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(words)))
-        out.append(np.unique(own, return_counts=True))
+        elements, counts = np.unique(own, return_counts=True)
+        out.append((elements, counts if weight == "count" else np.ones_like(counts)))
     return out
 
 
@@ -96,23 +95,24 @@ def _sign(n: int, bands: int, rows: int, weight: str):
         for whole in batches:
             for batch in slices(whole, "text"):
                 sizes, keys, prints = [], [], []
-                for elements, counts in _elements(batch, n):
-                    sizes.append(len(elements))
-                    prints.append([mix(elements + np.uint64(salt)).sum(dtype=np.uint64) for salt in (1, 7)])
-                    weights = counts.astype(float) if weight == "count" else np.ones(len(elements))
-                    keys.append(signature(elements, weights, k).astype(np.uint32).tobytes() if len(elements) else b"")
+                for elements, weights in _elements(batch, n, weight):
+                    sizes.append(int(weights.sum()))
+                    prints.append([(mix(elements + np.uint64(salt)) * weights.astype(np.uint64)).sum(dtype=np.uint64) for salt in (1, 7)])
+                    keys.append(signature(elements, weights.astype(float), k).astype(np.uint32).tobytes() if len(elements) else b"")
                 prints = np.array(prints, np.uint64).reshape(-1, 2).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "p1", "p2", "n", "darts"])
 
     return sign
 
 
-def _sets(n: int):
+def _sets(n: int, weight: str):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                own = [e for e, _ in _elements(batch, n)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(e) for e in own], pa.int32()), pa.array([e.tobytes() for e in own], pa.binary())], ["rep", "n", "elements"])
+                own = _elements(batch, n, weight)
+                # weights of 1 throughout are left out
+                weights = [w.astype(np.uint32).tobytes() if (w > 1).any() else b"" for _, w in own]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([int(w.sum()) for _, w in own], pa.int32()), pa.array([e.tobytes() for e, _ in own], pa.binary()), pa.array(weights, pa.binary())], ["rep", "n", "elements", "weights"])
 
     return sets
 
@@ -128,6 +128,24 @@ def _bands(rows: int):
     return explode
 
 
+class Weighted:
+    """A weighted set as it is stored."""
+
+    def __init__(self, elements: pa.Scalar, weights: pa.Scalar):
+        self.elements, self.weights = np.frombuffer(elements.as_buffer(), np.uint64), np.frombuffer(weights.as_buffer(), np.uint32).astype(np.int64)
+        self.total = int(self.weights.sum()) if len(self.weights) else len(self.elements)
+
+    def similar(self, other: Weighted, threshold: float) -> bool:
+        """Whether the weighted Jaccard similarity reaches the threshold."""
+        if len(self.weights) or len(other.weights):
+            _, x, y = np.intersect1d(self.elements, other.elements, assume_unique=True, return_indices=True)
+            own, its = (w[at] if len(w) else np.ones(len(at), np.int64) for w, at in ((self.weights, x), (other.weights, y)))
+            common = int(np.minimum(own, its).sum())
+        else:
+            common = len(np.intersect1d(self.elements, other.elements, assume_unique=True))
+        return common >= threshold * (self.total + other.total - common) - 1e-9
+
+
 def _across(least: float, threshold: float):
     """Links between classes within one block, or between two blocks, of a bucket.
 
@@ -139,15 +157,14 @@ def _across(least: float, threshold: float):
         rep, side = np.asarray(block.column("rep")), np.asarray(block.column("block"))
         root = np.unique(np.asarray(block.column("root")), return_inverse=True)[1]
         darts = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in block.column("darts")])
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("elements")]
+        sets = [Weighted(x, w) for x, w in zip(block.column("elements"), block.column("weights"), strict=True)]
         single, pairs = side.min() == side.max(), []
         for x in range(len(rep)):
             others = np.flatnonzero((rep > rep[x]) & (root != root[x]) & ((side != side[x]) | single))
             for y in others[(darts[others] == darts[x]).mean(axis=1) >= least] if len(others) else ():
                 if root[y] == root[x]:
                     continue
-                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if common >= threshold * (len(sets[x]) + len(sets[y]) - common) - 1e-9:
+                if sets[x].similar(sets[y], threshold):
                     pairs.append((rep[x], rep[y]))
                     root[root == root[y]] = root[x]
         pairs = np.array(pairs, np.int64).reshape(-1, 2)
@@ -160,10 +177,8 @@ def _verify(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("ea"), batch.column("eb"), strict=True)):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                good[i] = common >= threshold * (len(a) + len(b) - common) - 1e-9
+            for i, (a, wa, b, wb) in enumerate(zip(*(batch.column(c) for c in ("ea", "wa", "eb", "wb")), strict=True)):
+                good[i] = Weighted(a, wa).similar(Weighted(b, wb), threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
     return verify
@@ -179,25 +194,25 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # the smallest root that any neighbour has, for the node's root as well as for itself
         seen = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        now = roots.join(seen, "node").select("node", "root", F.least("root", "near").alias("near"))
+        now = written(roots.join(seen, "node").select("node", "root", F.least("root", "near").alias("near")), "roots")
         hooks = now.groupBy(F.col("root").alias("at")).agg(F.min("near").alias("to"))
-        new = now.join(hooks, F.col("root") == F.col("at")).select("node", F.least("near", "to").alias("root"))
-        jump = new.select(F.col("node").alias("at"), F.col("root").alias("to"))
-        new = new.join(jump, F.col("root") == F.col("at"), "left").select("node", F.least("root", F.coalesce("to", "root")).alias("root"))
-        new = written(new, "roots")
+        new = written(spread_join(now, hooks.withColumnRenamed("at", "root"), ["root"]).select("node", F.least("near", "to").alias("root")), "roots")
+        # a root is a node that has links, so it has a root itself
+        jump = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        new = written(spread_join(new, jump, ["root"]).select("node", F.least("root", "to").alias("root")), "roots")
         moved = new.join(roots.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
         roots = new
         if not moved:
             return roots
 
 
-def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, weight: str = "set", turns: int = 2) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, weight: str = "count", turns: int = 2) -> DataFrame:
     """(doc_id, class_id, n_shingles): documents linked by chains of similar pairs share the smallest doc_id of them.
 
-    Words are split at ASCII white space and used unchanged. Similarity is the Jaccard of the sets of `shingle`-word
-    shingles; a text of fewer words is one element, so it only equals copies of itself. Null texts and
+    Words are split at ASCII white space and used unchanged. Similarity is the weighted Jaccard of the `shingle`-word
+    shingles, in signatures, filters and verification alike; n_shingles is the sum of a document's weights. weight: "count" weighs
+    each shingle by its occurrences, "set" by 1. A text of fewer words is one element, so it only equals copies of itself. Null texts and
     texts without words are alone, as are rows without id (class null). Rows that repeat an id count once.
-    weight: "set" gives each shingle weight 1, "count" its number of occurrences, in the signatures.
     A pair at the threshold is missed by all bands with a probability of (1 - 0.8 ** rows) ** bands, 5e-6 by default.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
@@ -207,20 +222,21 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: in
     reps = written(reps.select("rep", F.col("g0").alias("p1"), F.col("g1").alias("p2"), F.col("g2").alias("n")), "near-reps")
     real = reps.where("n > 0").select(F.col("rep"))
     distinct = signed.join(real, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "darts").dropDuplicates(["rep"])
-    buckets = distinct.select("rep", "darts").mapInArrow(_bands(rows), "rep long, band int, key long")
+    buckets = written(distinct.select("rep", "darts").mapInArrow(_bands(rows), "rep long, band int, key long"), "near-bands")
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1").select("band", "key")
-    open_ = written(buckets.join(shared, ["band", "key"]), "near-buckets")
+    open_ = written(spread_join(buckets, shared, ["band", "key"]), "near-buckets")
     # shingle sets are made again, only for documents that share a bucket
     members = open_.select(F.col("rep").alias("doc_id")).distinct()
     wanted = texts.join(F.broadcast(members) if members.count() <= BROADCAST_ROWS else members, "doc_id", "left_semi").where("text is not null")
-    sets = written(wanted.mapInArrow(_sets(shingle), "rep long, n int, elements binary").dropDuplicates(["rep"]), "near-sets")
+    sets = written(wanted.mapInArrow(_sets(shingle, weight), "rep long, n int, elements binary, weights binary").dropDuplicates(["rep"]), "near-sets")
 
     links = roots = None
     for turn in range(turns):
         if open_.limit(1).count() == 0:
             break
-        centre = open_.groupBy("band", "key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("centre"))
-        faced = open_.join(centre, ["band", "key"])
+        centre = written(open_.groupBy("band", "key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("centre")), "near-centres")
+        centred = written(spread_join(open_, centre, ["band", "key"]), "near-centred")
+        faced = centred
         if roots is not None:
             named = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
             faced = faced.join(named, "centre", "left").where(F.coalesce("centre_root", "centre") != F.col("root"))
@@ -229,17 +245,18 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: in
         links = found if links is None else links.union(found)
         roots = components(links)
         # a centre has met its whole bucket; a bucket within one class is done
-        left = open_.select("rep", "band", "key").join(centre, ["band", "key"]).where("rep <> centre").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        left = centred.select("rep", "band", "key", "centre").where("rep <> centre").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        left = written(left, "near-left")
         undecided = left.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("band", "key", "members")
-        open_ = written(left.join(undecided, ["band", "key"]).select("rep", "band", "key", "root", "members"), "near-buckets")
+        open_ = written(spread_join(left, undecided, ["band", "key"]).select("rep", "band", "key", "root", "members"), "near-buckets")
     if roots is not None and open_.limit(1).count():
         # the rest of the buckets, block against block; 6 standard deviations below the threshold no similar pair is lost
         k = bands * rows
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
         dealt = open_.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(99)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(distinct, "rep").join(sets.select("rep", "elements"), "rep")
+        dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(distinct, "rep").join(sets.select("rep", "elements", "weights"), "rep")
         least = threshold - 6 * (threshold * (1 - threshold) / k) ** 0.5
-        found = dealt.select("band", "key", "i", "j", "rep", "root", "block", "darts", "elements").groupBy("band", "key", "i", "j").applyInArrow(_across(least, threshold), "a long, b long").distinct()
+        found = dealt.select("band", "key", "i", "j", "rep", "root", "block", "darts", "elements", "weights").groupBy("band", "key", "i", "j").applyInArrow(_across(least, threshold), "a long, b long").distinct()
         links = links.union(written(found, "near-links"))
         roots = components(links)
     member = signed.join(reps.where("n > 0"), ["p1", "p2", "n"]).select("doc_id", "rep", "n").distinct()
@@ -255,8 +272,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     sizes = sets.select("rep", "n")
     sized = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
     near = sized.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).select("a", "b")
-    of = lambda side: sets.select(F.col("rep").alias(side), F.col("elements").alias("e" + side))
-    return near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ea", "eb").mapInArrow(_verify(threshold), "a long, b long")
+    of = lambda side: sets.select(F.col("rep").alias(side), F.col("elements").alias("e" + side), F.col("weights").alias("w" + side))
+    return near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(_verify(threshold), "a long, b long")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -109,22 +109,52 @@ def test_phrase_dedup_of_a_hot_passage(spark):
     assert got == want
 
 
+def similar_classes(texts, weight):
+    """The smallest id of each class of linked documents, by all pairs."""
+    bags = {}
+    for i, t in texts:
+        w = words(t)
+        bags[i] = collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else collections.Counter()
+        if weight == "set":
+            bags[i] = collections.Counter(set(bags[i]))
+    root = {i: i for i in bags}
+    for i, a in bags.items():
+        for j, b in bags.items():
+            if i < j and a and b and sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if v == old else v for k, v in root.items()}
+    return root
+
+
 @pytest.mark.parametrize("weight", ["set", "count"])
 def test_near_duplicates(docs, weight):
     got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs, weight=weight, turns=1).collect()}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for i, t in rows_of(docs)}
-    root = {i: i for i in sets}
-    for i in sets:
-        for j in sets:
-            if i < j and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                old, new = max(root[i], root[j]), min(root[i], root[j])
-                root = {k: new if v == old else v for k, v in root.items()}
-    assert got == root
-    kept = near_dup.keep_one(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(root.values())
+    assert got == similar_classes(rows_of(docs), weight)
+    kept = near_dup.keep_one(docs, weight=weight)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(got.values())
     assert near_dup.classes(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("weight", ["set", "count"])
+def test_near_duplicates_in_hot_buckets_and_many_blocks(spark, monkeypatch, weight):
+    from tallystone.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in rng.integers(0, 500, 120)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 5))):
+            own[at] = f"x{rng.integers(0, 9)}"
+        rows.append((i, " ".join(own + own[:30] * (i % 3))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(df, weight=weight, turns=1).collect()}
+    assert got == similar_classes(rows, weight)
+    assert got == {r["doc_id"]: r["class_id"] for r in near_dup.classes(df, weight=weight).collect()}
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     a, extra = rng.integers(1, 1 << 62, 300).astype(np.uint64), rng.integers(1, 1 << 62, 100).astype(np.uint64)
