@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import ascii_lower, written
+from tallystone.llm.common import ascii_lower, spread_join, written
 
 # Fixed value: what separates words, once A-Z are lower-cased.
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -50,25 +50,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     seen = spread.join(sized(vocabulary), "word", "left").where("wid is not null or pos is null or pos = 0")
     seen = written(seen.select("rid", "doc_id", "n_words", "pos", "wid"), "bench-seen")
 
+    # each item as one row of its words, in order, with their rarity; a window's prefix is the rarest of its words
     counts = seen.where("wid is not null").groupBy("wid").count()
-    position = words.select("item", "copy", F.size("words").alias("n"), F.posexplode("words").alias("j", "word")).join(vocabulary, "word").select("item", "copy", "n", "j", "wid")
-    ranked = position.join(counts, "wid", "left").na.fill(0, ["count"])
+    position = words.select("item", "copy", F.size("words").alias("n"), F.posexplode("words").alias("j", "word")).join(vocabulary, "word").join(counts, "wid", "left").na.fill(0, ["count"])
+    ranked = written(position.groupBy("item", "copy", "n").agg(F.sort_array(F.collect_list(F.struct("j", "count", "wid"))).alias("at")), "bench-ranked")
     width = F.least(F.lit(window), F.col("n"))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("j") - width + 1), F.least(F.col("j"), F.col("n") - width))
-    windows = ranked.select("item", "copy", "n", F.explode(starts).alias("start"), F.struct("count", "j", "wid").alias("at"))
-    prefix = windows.groupBy("item", "copy", "n", "start").agg(F.min("at").alias("at"))
+    rarest = lambda s: F.array_min(F.transform(F.slice("at", s + 1, width), lambda w: F.struct(w["count"].alias("count"), w["j"].alias("j"), w["wid"].alias("wid"))))
+    windows = F.transform(F.sequence(F.lit(0), F.col("n") - width), lambda s: F.struct(s.alias("start"), rarest(s).alias("at")))
+    prefix = ranked.select("item", "copy", "n", F.explode(windows).alias("w"))
     # a window with a word that no document has cannot occur
-    prefix = prefix.where("at.count > 0").select("item", "copy", "n", "start", F.col("at.j").alias("j"), F.col("at.wid").alias("wid"))
+    prefix = written(prefix.where("w.at.count > 0").select("item", "copy", "n", "w.start", "w.at.j", "w.at.wid"), "bench-prefix")
 
-    met = seen.where("wid is not null").select("rid", "n_words", "pos", "wid").join(sized(prefix), "wid")
+    # only prefix words meet
+    met = seen.where("wid is not null").select("rid", "n_words", "pos", "wid").join(sized(prefix.select("wid").distinct()), "wid", "left_semi").join(sized(prefix), "wid")
     shift = F.col("pos") - F.col("j")
     last = F.col("start") + F.least(F.lit(window), F.col("n"))
     met = met.withColumn("shift", shift).where((F.col("shift") + F.col("start") >= 0) & (F.col("shift") + last <= F.col("n_words")))
-    candidates = written(met.select("rid", "item", "copy", "n", "shift", "start").distinct(), "bench-candidates")
+    candidates = written(met.select("rid", "item", "copy", "shift", "start").distinct(), "bench-candidates")
 
     # verification: every word of the window stands where the alignment puts it
-    ids = position.groupBy("item", "copy").agg(F.sort_array(F.collect_list(F.struct("j", "wid"))).alias("ids"))
-    want = candidates.join(ids, ["item", "copy"]).select("rid", "item", "copy", "shift", "start", F.explode(F.slice("ids", F.col("start") + 1, F.least(F.lit(window), F.col("n")))).alias("w"), F.least(F.lit(window), F.col("n")).alias("width"))
+    want = spread_join(candidates, ranked, ["item", "copy"]).select("rid", "item", "copy", "shift", "start", F.explode(F.slice("at", F.col("start") + 1, width)).alias("w"), width.alias("width"))
     want = want.select("rid", "item", "copy", "shift", "start", "width", (F.col("shift") + F.col("w.j")).alias("pos"), F.col("w.wid").alias("wid"))
     rows = candidates.select("rid").distinct()
     have = seen.where("wid is not null").select("rid", "pos", "wid").join(sized(rows), "rid", "left_semi")
