@@ -23,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import hash_strings, owners, partitions, rolling, slices, split_words, word_hashes, words_column
+from tallystone.llm.common import hash_strings, mix, owners, partitions, rolling, slices, split_words, word_hashes, words_column, written
 
 #: Occurrences of one anchor in a task that stay in the anchor's common part, and cells in which a task counts them.
 COMMON, CELLS = 48, 1 << 22
 #: Passages of an automaton, at least.
 SHARD = 512
 ANCHOR = "anchor long, part long, hot boolean, doc_id long, first int, n_words int"
+#: A place packs where a passage begins (from bit 32), its words (from bit 1) and whether its part has others elsewhere (bit 0).
+RECURRING = "route long, place long, doc_id long"
 RUNS = "doc_id long, first int, last int, phrase string"
 
 
@@ -77,7 +79,7 @@ def _anchors(window: int, gram: int):
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (anchor, part): those in groups of two or more. `hot` afterwards: the group may have others elsewhere.
+    """Of rows sorted by (anchor, part): those in groups of two or more, with a hash of anchor and part as their route to a shard.
 
     Groups at the edges of a batch are passed on as they may go on beyond it.
     """
@@ -93,9 +95,11 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = edge | (part[head] != 0) | np.logical_or.reduceat(hot, head)
         keep = np.repeat((size > 1) | many, size)
         group = ((np.int64(task) << 32) + number).repeat(len(anchor)) * 2 + 1
-        out = [*batch.columns]
-        out[1], out[2] = pa.array(np.where(np.repeat(many, size), np.where(part != 0, part * 2, group), 0)), pa.array(np.repeat(many, size))
-        yield pa.RecordBatch.from_arrays(out, batch.schema.names).filter(pa.array(keep))
+        many = np.repeat(many, size)
+        part = np.where(many, np.where(part != 0, part * 2, group), 0)
+        route = mix(anchor.astype(np.uint64) ^ mix(part.astype(np.uint64)))
+        place = (np.asarray(batch.column("first")).astype(np.int64) << 32) | (np.asarray(batch.column("n_words")).astype(np.int64) << 1) | many
+        yield pa.RecordBatch.from_arrays([pa.array(route.astype(np.int64)), pa.array(place), batch.column("doc_id")], ["route", "place", "doc_id"]).filter(pa.array(keep))
 
 
 def _letters(codes: np.ndarray) -> str:
@@ -112,7 +116,8 @@ def _locate(window: int):
         codes, owner = np.asarray(coded.indices).astype(np.int64), owners(offsets)
         hashes = rolling(hash_strings(coded.dictionary)[codes], window)
         starts = np.flatnonzero(owner[: len(codes) - window + 1] == owner[window - 1 :])
-        doc, first, hot = (np.asarray(batch.column(c)) for c in ("doc_id", "first", "hot"))
+        doc, place = (np.asarray(batch.column(c)) for c in ("doc_id", "place"))
+        first, hot = place >> 32, (place & 1).astype(bool)
         letters, late, rows = _letters(codes), np.zeros(len(starts), bool), []
         # confirm: one window of each phrase that recurs here goes into the automaton
         _, lead, count = np.unique(hashes[starts], return_index=True, return_counts=True)
@@ -150,15 +155,15 @@ def _locate(window: int):
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.concat_arrays([pa.nulls(len(new), pa.string()), phrases])], ["doc_id", "first", "last", "phrase"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows are sorted by (anchor, part): a group that a batch cuts off is carried into the next one."""
+        """Rows are sorted by route: a group that a batch cuts off is carried into the next one."""
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if rest is not None:
                 batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            anchor, part = np.asarray(batch.column("anchor")), np.asarray(batch.column("part"))
-            heads = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))))
+            route = np.asarray(batch.column("route"))
+            heads = np.flatnonzero(np.concatenate(([True], route[1:] != route[:-1])))
             # whole groups, of SHARD passages or more: a small automaton has few branches at its root
             at = 0
             while (k := int(np.searchsorted(heads, at + SHARD))) < len(heads):
@@ -195,20 +200,20 @@ def _repeats(texts: DataFrame, window: int, gram: int) -> DataFrame:
     n = partitions(texts.sparkSession)
     anchors = texts.mapInArrow(_anchors(window, gram), ANCHOR)
     anchors = anchors.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "first")
-    recurring = anchors.mapInArrow(_recurring, ANCHOR)
-    wanted = recurring.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "part", "hot", "first", "n_words")).alias("anchors"))
-    words = words_column(F.col("text"))
-    split = texts.join(wanted, "doc_id").select("doc_id", "anchors", words.alias("words"))
-    passage = F.transform("anchors", lambda a: F.struct(a["anchor"], a["part"], a["hot"], a["first"], a["n_words"], F.array_join(F.slice("words", a["first"] + 1, a["n_words"]), " ").alias("passage")))
+    recurring = anchors.mapInArrow(_recurring, RECURRING)
+    wanted = recurring.groupBy("doc_id").agg(F.collect_list(F.struct("route", "place")).alias("places"))
+    split = texts.join(wanted, "doc_id").select("doc_id", "places", words_column(F.col("text")).alias("words"))
+    first = lambda p: F.shiftright(p["place"], 32).cast("int")
+    n_words = lambda p: F.shiftright(p["place"], 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    passage = F.transform("places", lambda p: F.struct(p["route"], p["place"], F.array_join(F.slice("words", first(p) + 1, n_words(p)), " ").alias("passage")))
     passages = split.select("doc_id", F.explode(passage).alias("p")).select("doc_id", "p.*")
-    shards = passages.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "first")
-    located = shards.select("anchor", "part", "hot", "doc_id", "first", "n_words", "passage").mapInArrow(_locate(window), RUNS)
+    shards = passages.repartition(n, "route").sortWithinPartitions("route", "doc_id", "place")
+    located = written(shards.select("route", "doc_id", "place", "passage").mapInArrow(_locate(window), RUNS), "phrase-runs")
     # a row without phrase is a run to remove; the others meet those of the same words
-    run = F.col("phrase").isNull()
-    phrase = Window.partitionBy("phrase", F.when(run, F.col("doc_id")), F.when(run, F.col("first"))).orderBy("doc_id", "first")
+    phrase = Window.partitionBy("phrase").orderBy("doc_id", "first")
     lead = F.struct("doc_id", "first")
-    met = located.withColumn("late", F.when(run, True).otherwise(lead != F.first(lead).over(phrase))).where("late")
-    return met.select("doc_id", "first", F.greatest("first", "last").alias("last"))
+    met = located.where("phrase is not null").withColumn("late", lead != F.first(lead).over(phrase)).where("late")
+    return located.where("phrase is null").select("doc_id", "first", "last").unionByName(met.select("doc_id", "first", F.col("first").alias("last")))
 
 
 def _cut(window: int):
