@@ -23,16 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import hash_strings, mix, owners, partitions, rolling, slices, split_words, word_hashes, words_column, written
+from tallystone.llm.common import hash_strings, mix, owners, partitions, rolling, slices, split_words, word_hashes, words_column
 
 #: Occurrences of one anchor in a task that stay in the anchor's common part, and cells in which a task counts them.
 COMMON, CELLS = 48, 1 << 22
 #: Passages of an automaton, at least.
 SHARD = 512
-ANCHOR = "anchor long, part long, hot boolean, doc_id long, first int, n_words int"
 #: A place packs where a passage begins (from bit 32), its words (from bit 1) and whether its part has others elsewhere (bit 0).
+ANCHOR = "anchor long, part long, place long, doc_id long"
 RECURRING = "route long, place long, doc_id long"
-RUNS = "doc_id long, first int, last int, phrase string"
+#: A run packs its first window (from bit 32) and its last.
+RUNS = "doc_id long, run long, phrase string"
 
 
 def _anchors(window: int, gram: int):
@@ -73,7 +74,8 @@ def _anchors(window: int, gram: int):
                 seen[order], count[order] = np.repeat(before, times), np.repeat(before + times, times)
                 part = np.where((seen + rank < COMMON) | (rank == 0), 0, 1 + ((np.int64(task) << 24) + number) * 256 + rank // 1024)
                 ids = np.asarray(batch.column("doc_id"))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(count > COMMON), pa.array(ids[doc]), pa.array((first - begin).astype(np.int32)), pa.array((last - first + window).astype(np.int32))], [c.split()[0] for c in ANCHOR.split(", ")])
+                packed = ((first - begin) << 32) | ((last - first + window) << 1) | (count > COMMON)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(packed), pa.array(ids[doc])], ["anchor", "part", "place", "doc_id"])
 
     return find
 
@@ -87,7 +89,8 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for number, batch in enumerate(batches):
         if not batch.num_rows:
             continue
-        anchor, part, hot = (np.asarray(batch.column(i)) for i in range(3))
+        anchor, part, place = (np.asarray(batch.column(i)) for i in range(3))
+        hot = (place & 1).astype(bool)
         head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))))
         size = np.diff(np.concatenate((head, [len(anchor)])))
         edge = np.zeros(len(head), bool)
@@ -98,7 +101,7 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = np.repeat(many, size)
         part = np.where(many, np.where(part != 0, part * 2, group), 0)
         route = mix(anchor.astype(np.uint64) ^ mix(part.astype(np.uint64)))
-        place = (np.asarray(batch.column("first")).astype(np.int64) << 32) | (np.asarray(batch.column("n_words")).astype(np.int64) << 1) | many
+        place = (place & ~np.int64(1)) | many
         yield pa.RecordBatch.from_arrays([pa.array(route.astype(np.int64)), pa.array(place), batch.column("doc_id")], ["route", "place", "doc_id"]).filter(pa.array(keep))
 
 
@@ -150,9 +153,9 @@ def _locate(window: int):
         open_ = np.flatnonzero(~late & hot[own])
         words = flat.take(pa.array((starts[open_][:, None] + np.arange(window)).ravel()))
         phrases = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, window, dtype=np.int32)), words), " ")
-        rows.append((where_doc[open_], where[open_], where[open_] - 1))
+        rows.append((where_doc[open_], where[open_], where[open_]))
         d, a, b = (np.concatenate([r[i] for r in rows]) for i in range(3))
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.concat_arrays([pa.nulls(len(new), pa.string()), phrases])], ["doc_id", "first", "last", "phrase"])
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array((a << 32) | b), pa.concat_arrays([pa.nulls(len(new), pa.string()), phrases])], ["doc_id", "run", "phrase"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows are sorted by route: a group that a batch cuts off is carried into the next one."""
@@ -199,7 +202,7 @@ def repeats(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
 def _repeats(texts: DataFrame, window: int, gram: int) -> DataFrame:
     n = partitions(texts.sparkSession)
     anchors = texts.mapInArrow(_anchors(window, gram), ANCHOR)
-    anchors = anchors.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "first")
+    anchors = anchors.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "place")
     recurring = anchors.mapInArrow(_recurring, RECURRING)
     wanted = recurring.groupBy("doc_id").agg(F.collect_list(F.struct("route", "place")).alias("places"))
     split = texts.join(wanted, "doc_id").select("doc_id", "places", words_column(F.col("text")).alias("words"))
@@ -208,12 +211,13 @@ def _repeats(texts: DataFrame, window: int, gram: int) -> DataFrame:
     passage = F.transform("places", lambda p: F.struct(p["route"], p["place"], F.array_join(F.slice("words", first(p) + 1, n_words(p)), " ").alias("passage")))
     passages = split.select("doc_id", F.explode(passage).alias("p")).select("doc_id", "p.*")
     shards = passages.repartition(n, "route").sortWithinPartitions("route", "doc_id", "place")
-    located = written(shards.select("route", "doc_id", "place", "passage").mapInArrow(_locate(window), RUNS), "phrase-runs")
+    located = shards.select("route", "doc_id", "place", "passage").mapInArrow(_locate(window), RUNS)
     # a row without phrase is a run to remove; the others meet those of the same words
-    phrase = Window.partitionBy("phrase").orderBy("doc_id", "first")
-    lead = F.struct("doc_id", "first")
-    met = located.where("phrase is not null").withColumn("late", lead != F.first(lead).over(phrase)).where("late")
-    return located.where("phrase is null").select("doc_id", "first", "last").unionByName(met.select("doc_id", "first", F.col("first").alias("last")))
+    run = F.col("phrase").isNull()
+    keyed = located.withColumn("key", F.when(run, F.col("doc_id")).otherwise(F.xxhash64("phrase")))
+    lead = F.first(F.struct("doc_id", "run")).over(Window.partitionBy("key", "phrase").orderBy("doc_id", "run"))
+    met = keyed.withColumn("late", run | (F.struct("doc_id", "run") != lead)).where("late")
+    return met.select("doc_id", F.shiftright("run", 32).cast("int").alias("first"), F.col("run").cast("int").alias("last"))
 
 
 def _cut(window: int):
