@@ -217,7 +217,7 @@ def _repeats(texts: DataFrame, window: int, gram: int) -> DataFrame:
     keyed = located.withColumn("key", F.when(run, F.col("doc_id")).otherwise(F.xxhash64("phrase")))
     lead = F.first(F.struct("doc_id", "run")).over(Window.partitionBy("key", "phrase").orderBy("doc_id", "run"))
     met = keyed.withColumn("late", run | (F.struct("doc_id", "run") != lead)).where("late")
-    return met.select("doc_id", F.shiftright("run", 32).cast("int").alias("first"), F.col("run").cast("int").alias("last"))
+    return met.select("doc_id", F.shiftright("run", 32).cast("int").alias("first"), F.col("run").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("last"))
 
 
 def _cut(window: int):
