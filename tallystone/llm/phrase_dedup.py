@@ -196,7 +196,8 @@ def repeats(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     Earlier: in a smaller doc_id, or in the same document before. Rows that share an id and a position are one
     occurrence. A null id counts as the smallest. A null or short text has no windows.
     """
-    return _repeats(_keyed(docs), window, gram)
+    found = _repeats(_keyed(docs), window, gram)
+    return found.select("doc_id", F.shiftright("run", 32).cast("int").alias("first"), F.col("run").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("last"))
 
 
 def _repeats(texts: DataFrame, window: int, gram: int) -> DataFrame:
@@ -217,7 +218,7 @@ def _repeats(texts: DataFrame, window: int, gram: int) -> DataFrame:
     keyed = located.withColumn("key", F.when(run, F.col("doc_id")).otherwise(F.xxhash64("phrase")))
     lead = F.first(F.struct("doc_id", "run")).over(Window.partitionBy("key", "phrase").orderBy("doc_id", "run"))
     met = keyed.withColumn("late", run | (F.struct("doc_id", "run") != lead)).where("late")
-    return met.select("doc_id", F.shiftright("run", 32).cast("int").alias("first"), F.col("run").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("last"))
+    return met.select("doc_id", "run")
 
 
 def _cut(window: int):
@@ -226,11 +227,11 @@ def _cut(window: int):
             for batch in slices(whole, "text"):
                 flat, offsets = split_words(batch.column("text"))
                 runs = batch.column("runs")
-                at, of = np.asarray(runs.offsets).astype(np.int64), runs.values
+                at = np.asarray(runs.offsets).astype(np.int64)
+                packed = np.asarray(runs.values)[int(at[0]) : int(at[-1])]
                 n_runs = np.diff(at)
                 begin = np.repeat(offsets[:-1], n_runs)
-                inner = slice(int(at[0]), int(at[-1]))
-                first, last = (np.asarray(of.field(k))[inner] for k in (0, 1))
+                first, last = packed >> 32, packed & ((1 << 32) - 1)
                 # a run never reaches beyond the last window of its text; texts without windows have no runs
                 most = np.repeat(np.diff(offsets) - window, n_runs)
                 last = np.minimum(last, most)
@@ -255,8 +256,8 @@ def dedup_passages(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFram
     id are cut alike at the same positions; a null id counts as the smallest.
     """
     texts = _keyed(docs)
-    runs = _repeats(texts, window, gram).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("runs")).withColumnRenamed("doc_id", "__id")
-    none = F.array().cast("array<struct<first:int,last:int>>")
+    runs = _repeats(texts, window, gram).groupBy("doc_id").agg(F.collect_set("run").alias("runs")).withColumnRenamed("doc_id", "__id")
+    none = F.array().cast("array<long>")
     joined = texts.join(runs, F.col("doc_id") == F.col("__id"), "left")
     joined = joined.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("runs", none).alias("runs"))
     return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
