@@ -256,6 +256,30 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.where("vec_id < 0"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_nearest_neighbours_leave_out_cells_and_stay_exact(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6)) * 50
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=6)]) for i in range(1500)]
+    rows += [(100, [0.5] * 6), (None, [1.0] * 6), (7, rows[7][1]), (9, [1.0] * 3), (200, [2.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    by_query, asked = collections.defaultdict(list), []
+    real = ann.meet
+    monkeypatch.setattr(ann, "meet", lambda trees, blocks, *rest: asked.append((trees, blocks)) or real(trees, blocks, *rest))
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, k=5, block=4, shard_rows=60).collect():
+        by_query[r["query_id"], r["rank"]].append((r["vec_id"], r["score"]))
+    good = [(i, np.array(v)) for i, v in rows if i is not None]
+    for q in range(0, 1500, 100):
+        for dim in (3, 6):
+            own = min((list(v) for i, v in good if i == q and len(v) == dim), default=None)
+            if own is None:
+                continue
+            far = sorted((float(ann.distances(v[None, :], np.array(own))[0]), i) for i, v in good if i != q and len(v) == dim)[:5]
+            for rank, (score, i) in enumerate(far, 1):
+                assert (i, score) in by_query[q, rank]
+    trees, blocks = asked[-1]
+    assert trees.count() > 12 and blocks.count() < 0.6 * trees.count() * 15
+
+
 def test_decontamination(spark, docs):
     items = [(1, " ".join(words(texts()[3])[30:45])), (2, "ÉCOLE école"), (3, "école"), (4, None), (5, "!!"), (None, "one two"), (6, "34"), (7, " ".join(words(texts()[10])[100:112]).upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
