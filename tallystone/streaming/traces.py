@@ -6,17 +6,12 @@ after `ttl` of processing time, which bounds it; events of an evicted session st
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallystone.functions.canon import canonical, digest, first_code, short_id
 from tallystone.operators.folds import fold_rows
-
-ACCEPTED = "session_id string, event_id string, sequence long, event_type string, code string"
+from tallystone.streaming.stateful import fold_stream
 
 
 def session_ids(events: DataFrame) -> DataFrame:
@@ -40,29 +35,13 @@ def normalize_events(payloads: DataFrame) -> DataFrame:
     return p.select("session_id", F.coalesce(get("event_id"), short_id("trace_event_", F.col("payload"))).alias("event_id"), F.coalesce(get("sequence").try_cast("long"), place).alias("sequence"), F.lit("TOOL").alias("event_type"), F.col("at").alias("occurred_at"), F.coalesce(get("summary"), F.concat_ws(" ", F.lit("PostToolUse"), "tool")).alias("summary"), F.when(F.col("at").isNull(), "HOOK_TIMESTAMP_MISSING").alias("code"))
 
 
-def _append(ttl_ms: int | None):
-    def append(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, closed = state.get if state.exists else (0, False)
-        for batch in batches:
-            batch = batch.sort_values(["sequence", "event_id"], kind="stable")
-            codes = []
-            for sequence, kind in zip(batch["sequence"], batch["event_type"], strict=True):
-                if closed:
-                    codes.append("SESSION_CLOSED")
-                elif sequence != count + 1:
-                    codes.append("SEQUENCE_MISMATCH")
-                else:
-                    count, closed = count + 1, kind == "FINAL"
-                    codes.append(None)
-            yield pd.DataFrame({"session_id": batch["session_id"], "event_id": batch["event_id"], "sequence": batch["sequence"], "event_type": batch["event_type"], "code": codes})
-        state.update((count, closed))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
-
-    return append
+def _next_event(state: tuple, sequence: float, kind: str) -> tuple:
+    count, closed = state
+    if closed:
+        return state, "SESSION_CLOSED"
+    if sequence != count + 1:
+        return state, "SEQUENCE_MISMATCH"
+    return (count + 1, kind == "FINAL"), None
 
 
 def ordered_append(stream: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
@@ -70,9 +49,8 @@ def ordered_append(stream: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) ->
 
     State is a count and a flag per session, evicted after ttl_ms without events. None keeps it for good, for runs over what is available now.
     """
-    rows = stream.select("session_id", "event_id", "sequence", "event_type")
-    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return rows.groupBy("session_id").applyInPandasWithState(_append(ttl_ms), ACCEPTED, "count long, closed boolean", "append", timeout)
+    columns = ["session_id", "event_id", "sequence", "event_type"]
+    return fold_stream(stream, "session_id", ["sequence", "event_id"], ["sequence", "event_type"], columns, "code string", (0, False), "count long, closed boolean", _next_event, ttl_ms)
 
 
 def ordered_append_batch(events: DataFrame) -> DataFrame:
