@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallystone.llm import ann, decontam, fixity, hmm, langid, line_dedup, mixing, near_dup, phrase_dedup, token_orc
+from tallystone.llm import ann, decontam, fixity, hmm, langid, line_dedup, mixing, near_dup, phrase_dedup, spelling, token_orc
 from tallystone.llm.common import crc_mod
 
 
@@ -72,6 +72,10 @@ def op10_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(fixity.leaves(good), bad)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_duplicates": op2_near_duplicates,
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_token_orc": op9_token_orc,
     "op10_fixity_audit": op10_fixity_audit,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
