@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallystone.llm import ann, decontam, fixity, hmm, langid, line_dedup, mixing, near_dup, phrase_dedup, spelling, token_orc
+from tallystone.llm import ann, decontam, fixity, hmm, langid, line_dedup, mixing, near_dup, phrase_dedup, spelling, token_align, token_orc
 from tallystone.llm.common import crc_mod
 
 
@@ -72,6 +72,17 @@ def op10_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(fixity.leaves(good), bad)
 
 
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_align.aligned_links(table(spark, sf_dir, "documents"), tokenizer_file(), piece_file())
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -87,6 +98,7 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_token_orc": op9_token_orc,
     "op10_fixity_audit": op10_fixity_audit,
+    "op11_token_alignment": op11_token_alignment,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
