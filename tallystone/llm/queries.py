@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallystone.llm import ann, decontam, fixity, hmm, langid, line_dedup, mixing, near_dup, phrase_dedup, spelling, token_align, token_orc
+from tallystone.llm import ann, decontam, fixity, group_join, hmm, langid, line_dedup, mixing, near_dup, phrase_dedup, spelling, token_align, token_orc
 from tallystone.llm.common import crc_mod
 
 
@@ -83,6 +83,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -99,6 +103,7 @@ QUERIES = {
     "op9_token_orc": op9_token_orc,
     "op10_fixity_audit": op10_fixity_audit,
     "op11_token_alignment": op11_token_alignment,
+    "op12_ngram_join": op12_ngram_join,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -158,4 +163,16 @@ SELECT file, ordinal, low::BIGINT AS low, (low + length)::BIGINT AS high, first_
 FROM both_ WHERE first_hash IS DISTINCT FROM second_hash
 """
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op6_nearest_neighbours": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_fixity_audit": OP10_SQL}
+OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + 2], ' ') AS sh FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS s) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+both_ AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, both_.y FROM reach JOIN both_ ON reach.y = both_.x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN sizes ON d.doc_id = sizes.doc_id
+JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id
+"""
+
+ORACLE_SQL = {"op12_ngram_join": OP12_SQL, "op1_line_dedup": OP1_SQL, "op6_nearest_neighbours": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_fixity_audit": OP10_SQL}
