@@ -233,5 +233,11 @@ def telemetry(events: DataFrame, event_type: str | None = None) -> DataFrame:
     return once.orderBy("ts", "event_id")
 
 
+def telemetry_stream(events: DataFrame, event_type: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """V26 over a stream: events of a type, each id once if its repeats come within `delay` of it by ts; state older than that goes. A stream has no order by time."""
+    kept = events if event_type is None else events.where(F.col("event_type") == event_type)
+    return kept.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def view_id(scope: Column) -> Column:
     return short_id("artifact_", scope, 16)

@@ -197,8 +197,10 @@ def details(s, d):
 
 
 def letters(s, d):
-    k = F.col("event_id")
-    return T.dead_letters(table(s, d, "events").select(F.when(k % 10 == 0, F.concat(F.lit("{broken "), k % 7)).when(k % 10 == 1, F.concat(F.lit('{"n":'), k % 9, F.lit("}"))).otherwise('{"session_id":"a"}').alias("payload")))
+    """Props of events as payloads: one in ten has lost its last character, one has no session, the others have one."""
+    k = F.col("event_id") % 10
+    payload = F.when(k == 0, F.expr("substring(props, 1, length(props) - 1)")).when(k == 1, F.col("props")).otherwise(F.concat(F.lit('{"session_id":"a",'), F.expr("substring(props, 2)")))
+    return T.dead_letters(table(s, d, "events").select(payload.alias("payload")))
 
 
 QUERIES = {
@@ -221,7 +223,7 @@ QUERIES = {
     "m13_skill_rule_check": rules,
     "t01_normalize_events": hooks,
     "t02_session_ids": raw_sessions,
-    "t03_ordered_append": lambda s, d: T.ordered_append_batch(trace_events(s, d).withColumn("event_id", F.col("arrival"))),
+    "t03_ordered_append": lambda s, d: T.ordered_append_batch(trace_events(s, d).withColumn("event_id", F.col("arrival"))).select("session_id", "event_id", "accepted"),
     "t04_trace_check": lambda s, d: T.trace_check(trace_events(s, d)),
     "t05_finalize_traces": lambda s, d: T.finalize_traces(trace_events(s, d)).select("trace_id", "events", F.array_join("types", ",").alias("types"), F.date_format("started_at", "yyyy-MM-dd").alias("started"), F.date_format("ended_at", "yyyy-MM-dd").alias("ended")),
     "t06_capture_idempotency": captured,
@@ -268,5 +270,5 @@ ORACLE_SQL = {
     "t08_cursor_page": "SELECT event_id AS seq, event_type, (SELECT count(*) FROM events WHERE event_id > 500) > 100 AS has_more FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100",
     "t09_trace_detail": """WITH x AS (SELECT event_id AS trace_id, event_type, CASE WHEN event_id % 150 = 0 THEN 'TRACE_NOT_FOUND' WHEN event_id % 100 = 0 THEN 'TRACE_HASH_MISMATCH' END AS code FROM events)
         SELECT trace_id, CASE WHEN code IS NULL THEN p END::INTEGER AS position, CASE WHEN code IS NOT NULL THEN NULL WHEN p = 0 THEN event_type ELSE 'test' END AS event_type, code FROM x, (VALUES (0), (1)) AS v(p) WHERE p = 0 OR code IS NULL""",
-    "t10_dead_letters": """SELECT DISTINCT 'letter_' || substr(sha256(p), 1, 24) AS letter_id, code FROM (SELECT CASE WHEN event_id % 10 = 0 THEN '{broken ' || (event_id % 7) ELSE '{"n":' || (event_id % 9) || '}' END AS p, CASE WHEN event_id % 10 = 0 THEN 'PAYLOAD_NOT_JSON' ELSE 'SESSION_MISSING' END AS code FROM events WHERE event_id % 10 < 2)""",
+    "t10_dead_letters": "SELECT DISTINCT 'letter_' || substr(sha256(p), 1, 24) AS letter_id, code FROM (SELECT CASE WHEN event_id % 10 = 0 THEN substr(props, 1, length(props) - 1) ELSE props END AS p, CASE WHEN event_id % 10 = 0 THEN 'PAYLOAD_NOT_JSON' ELSE 'SESSION_MISSING' END AS code FROM events WHERE event_id % 10 < 2)",
 }

@@ -1,17 +1,17 @@
 """Traces and event streams (T01-T10), in batch and as Structured Streaming.
 
-Order is by sequence number: late and repeated events are rejected, as in an append-only session. State of a session is evicted
-after `ttl` of processing time, which bounds it; events of an evicted session start anew.
+Order is by sequence number: events are judged one by one as they arrive, and early, late and repeated ones are rejected, as in an append-only session. The streams
+give what the batch forms give for the same order of arrival, whatever their micro-batches are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions.canon import canonical, digest, first_code, short_id
 from tallystone.operators.folds import fold_rows
-from tallystone.streaming.stateful import fold_stream
+from tallystone.streaming.stateful import fold_stream, keep_state_in_rocksdb
 
 
 def session_ids(events: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def normalize_events(payloads: DataFrame) -> DataFrame:
     return p.select("session_id", F.coalesce(get("event_id"), short_id("trace_event_", F.col("payload"))).alias("event_id"), F.coalesce(get("sequence").try_cast("long"), place).alias("sequence"), F.lit("TOOL").alias("event_type"), F.col("at").alias("occurred_at"), F.coalesce(get("summary"), F.concat_ws(" ", F.lit("PostToolUse"), "tool")).alias("summary"), F.when(F.col("at").isNull(), "HOOK_TIMESTAMP_MISSING").alias("code"))
 
 
-def _next_event(state: tuple, sequence: float, kind: str) -> tuple:
+def _next_event(state: tuple, sequence: int | None, kind: str | None) -> tuple:
     count, closed = state
     if closed:
         return state, "SESSION_CLOSED"
@@ -44,23 +44,27 @@ def _next_event(state: tuple, sequence: float, kind: str) -> tuple:
     return (count + 1, kind == "FINAL"), None
 
 
-def ordered_append(stream: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
-    """A stream of events with code: null if accepted, SEQUENCE_MISMATCH unless the sequence is the next one, SESSION_CLOSED after a FINAL event.
+_ARRIVAL = ["arrival", "event_id", "sequence"]
 
-    State is a count and a flag per session, evicted after ttl_ms without events. None keeps it for good, for runs over what is available now.
+
+def ordered_append(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """A stream of (session_id, arrival, event_id, sequence, event_type) with code: null if accepted, SEQUENCE_MISMATCH unless the sequence is the next one, SESSION_CLOSED after a FINAL event.
+
+    Each event is judged when it arrives: one that is early is rejected, like one that is late. State is a count and a flag per session; with ttl_ms it goes
+    after so much time without events.
     """
     columns = ["session_id", "event_id", "sequence", "event_type"]
-    return fold_stream(stream, "session_id", ["sequence", "event_id"], ["sequence", "event_type"], columns, "code string", (0, False), "count long, closed boolean", _next_event, ttl_ms)
+    return fold_stream(stream, "session_id", _ARRIVAL, ["sequence", "event_type"], columns, "code string", (0, False), "count long, closed boolean", _next_event, ttl_ms)
 
 
 def ordered_append_batch(events: DataFrame) -> DataFrame:
-    """T03 over a whole table in order of arrival: an event is accepted if its sequence is one more than the accepted ones before it.
+    """T03 over a whole table in order of arrival, by the rule of the stream: (session_id, event_id, sequence, event_type, code, accepted).
 
-    events: session_id, arrival, event_id, sequence. The accepted sequence numbers are 1, 2, 3...: the first arrival of n after that of n - 1. A session's events stream through one task.
+    The accepted sequence numbers are 1, 2, 3...: the first arrival of n after that of n - 1, up to a FINAL event. A session's events stream through one task.
     """
-    rows = events.select("session_id", "arrival", "event_id", "sequence")
-    told = fold_rows(rows, "session_id", ["arrival", "event_id", "sequence"], ["sequence"], "accepted boolean", 0, lambda n, sequence: (n + (sequence == n + 1), sequence == n + 1))
-    return told.select("session_id", "event_id", "accepted")
+    rows = events.select("session_id", *_ARRIVAL, "event_type")
+    told = fold_rows(rows, "session_id", _ARRIVAL, ["sequence", "event_type"], "code string", (0, False), _next_event)
+    return told.select("session_id", "event_id", "sequence", "event_type", "code", F.col("code").isNull().alias("accepted"))
 
 
 def trace_check(events: DataFrame) -> DataFrame:
@@ -70,11 +74,29 @@ def trace_check(events: DataFrame) -> DataFrame:
     return g.select("trace_id", code.alias("code"))
 
 
-def finalize_traces(events: DataFrame) -> DataFrame:
-    """(trace_id, events, types, started_at, ended_at, content_hash): a receipt per trace, its hash over the events' hashes in order."""
+def _receipts(events: DataFrame, *by: Column | str) -> DataFrame:
+    """Receipts of groups of events, aggregated step by step, so that no group is ever one list.
+
+    An event's hash covers its sequence, so the sums of the hashes' four 64-bit words tell the events and their order.
+    """
     h = F.sha2(canonical(F.struct("event_id", "event_type", "sequence")), 256)
-    g = events.withColumn("h", h).groupBy("trace_id").agg(F.count("*").alias("events"), F.array_sort(F.collect_set("event_type")).alias("types"), F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("ended_at"), F.array_sort(F.collect_list(F.struct("sequence", "h"))).alias("rows"))
-    return g.select("trace_id", "events", "types", "started_at", "ended_at", digest(F.array_join(F.transform("rows", lambda r: r["h"]), "")).alias("content_hash"))
+    words = [F.sum(F.conv(F.substring("h", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    g = events.withColumn("h", h).groupBy(*by).agg(F.count("*").alias("events"), F.array_sort(F.collect_set("event_type")).alias("types"), F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("ended_at"), F.concat_ws("|", *words).alias("sums"))
+    return g.select("trace_id", "events", "types", "started_at", "ended_at", digest(F.col("sums")).alias("content_hash"))
+
+
+def finalize_traces(events: DataFrame) -> DataFrame:
+    """(trace_id, events, types, started_at, ended_at, content_hash): a receipt per trace, its hash over the events and their order. Repeated events count."""
+    return _receipts(events, "trace_id")
+
+
+def finalize_stream(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """T05 over a stream: a receipt as soon as the watermark (`delay` behind the latest occurred_at) has passed `gap` after a trace's last event.
+
+    Append output: each receipt comes once. A trace that pauses for longer than the gap has one receipt for each of its parts; events behind the watermark are dropped.
+    Events without a time belong to no part. State is one row per open part.
+    """
+    return _receipts(events.withWatermark("occurred_at", delay), "trace_id", F.session_window("occurred_at", gap))
 
 
 def capture_idempotency(traces: DataFrame, prior: DataFrame) -> DataFrame:
@@ -104,20 +126,21 @@ def trace_detail(receipts: DataFrame, sources: DataFrame) -> DataFrame:
     return j.select("trace_id", "code", F.posexplode_outer(events).alias("position", "e")).select("trace_id", "position", F.col("e.event_type").alias("event_type"), "code")
 
 
+def _with_letter(events: DataFrame) -> DataFrame:
+    code = first_code((F.try_parse_json("payload").isNull(), "PAYLOAD_NOT_JSON"), (F.coalesce(F.get_json_object("payload", "$.session_id"), F.lit("")) == "", "SESSION_MISSING"))
+    return events.withColumns({"code": code, "letter_id": short_id("letter_", F.coalesce("payload", F.lit("")))})
+
+
 def dead_letters(events: DataFrame) -> DataFrame:
     """(letter_id, code): bad payloads, each content once. events: payload."""
-    code = first_code((F.try_parse_json("payload").isNull(), "PAYLOAD_NOT_JSON"), (F.coalesce(F.get_json_object("payload", "$.session_id"), F.lit("")) == "", "SESSION_MISSING"))
-    bad = events.withColumn("code", code).where("code is not null")
-    return bad.select(short_id("letter_", F.coalesce("payload", F.lit(""))).alias("letter_id"), "code").distinct()
+    return _with_letter(events).where("code is not null").select("letter_id", "code").distinct()
 
 
-def dead_letter_stream(stream: DataFrame, good_path: str, bad_path: str, checkpoint: str):
-    """T10 as a stream: bad payloads go to bad_path, others to good_path, by batch id so that a repeated batch replaces itself. Returns the query's writer."""
-    def split(batch: DataFrame, batch_id: int) -> None:
-        bad = dead_letters(batch)
-        bad.write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
-        letters = bad.select(F.col("letter_id").alias("id"))
-        own = short_id("letter_", F.coalesce("payload", F.lit("")))
-        batch.join(letters, own == F.col("id"), "left_anti").write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
+def dead_letter_streams(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """T10 over a stream: (events with good payloads, letters), each to be written by a query of its own with its own checkpoint.
 
-    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+    A letter comes once however often its content comes back: the ids that have come are kept in state, in RocksDB. A bad event never stops the stream.
+    """
+    keep_state_in_rocksdb(stream.sparkSession)
+    told = _with_letter(stream)
+    return told.where("code is null").drop("code", "letter_id"), told.where("code is not null").select("letter_id", "code").dropDuplicates(["letter_id"])

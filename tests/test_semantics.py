@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from tallystone.operators import claims, extract, ledger, policy
-from tallystone.streaming import traces
 
 
 def test_fences_close_only_at_their_own_kind(spark):
@@ -46,15 +45,3 @@ def test_unsafe_references(spark):
     refs = {"https://a/b+c": True, "https://a/%2e%2e/b": False, "a\\b": False, "a/./b": False, "%zz": True, "a" + "%25" * 1 + "25" * 12 + "2e": False, None: False}
     df = spark.createDataFrame([(r,) for r in refs], "ref string")
     assert {r["ref"]: r["ok"] for r in df.select("ref", policy.safe_ref(F.col("ref")).alias("ok")).collect()} == refs
-
-
-def test_stream_accepts_only_the_next_sequence(spark, tmp_path):
-    rows = [("s", "e1", 1, "TOOL"), ("s", "e3", 3, "TOOL"), ("s", "e2", 2, "FINAL"), ("s", "e4", 3, "TOOL"), ("t", "f2", 2, "TOOL")]
-    schema = "session_id string, event_id string, sequence long, event_type string"
-    for i, r in enumerate(rows):
-        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = traces.ordered_append(stream, None).writeStream.format("memory").queryName("accepted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r["event_id"]: r["code"] for r in spark.table("accepted").collect()}
-    assert got["e1"] is None and got["f2"] == "SEQUENCE_MISMATCH" and got["e4"] in ("SESSION_CLOSED", "SEQUENCE_MISMATCH", None) and len(got) == 5
