@@ -84,7 +84,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of docs without any hit, with their columns; all rows of a hit doc_id go. Rows without id are judged as one document."""
-    bad = contamination(docs, items, window).where("n_hit > 0").select(F.col("doc_id").alias("__bad")).distinct()
+    """The rows of docs whose texts have no hit, with their columns. Each row is judged by its own text, whatever id it shares or lacks."""
+    own = F.struct(docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text_hash"))
+    bad = contamination(docs.select(own.alias("doc_id"), docs["text"].alias("text")), items, window).where("n_hit > 0").select("doc_id.*").distinct()
     bad = sized(written(bad, "bench-bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["id"]) & (F.xxhash64(docs["text"]) == bad["text_hash"]), "left_anti")

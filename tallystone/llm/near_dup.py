@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.llm.common import BROADCAST_ROWS, mix, owners, rolling, slices, split_words, spread_join, word_hashes, written
@@ -26,6 +26,8 @@ from tallystone.llm.common import BROADCAST_ROWS, mix, owners, rolling, slices,
 BANDS, ROWS = 40, 6
 #: Members of a bucket that are compared at once.
 BLOCK = 512
+#: What a row is told by: a number of its own, its id, a hash of its text.
+ROW = ["rid", "doc_id", "text_hash"]
 #: Poisson(1) distribution function: how many darts a unit cell has.
 _DARTS = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320], float))
 _UNIT = 2.0**-53
@@ -88,6 +90,11 @@ def _elements(batch: pa.RecordBatch, n: int, weight: str) -> list[tuple[np.ndarr
     return out
 
 
+def _prints(elements: np.ndarray, weights: np.ndarray) -> list[np.uint64]:
+    """128 bits that tell a weighted set."""
+    return [(mix(elements + np.uint64(salt)) * weights.astype(np.uint64)).sum(dtype=np.uint64) for salt in (1, 7)]
+
+
 def _sign(n: int, bands: int, rows: int, weight: str):
     k = bands * rows
 
@@ -97,10 +104,10 @@ def _sign(n: int, bands: int, rows: int, weight: str):
                 sizes, keys, prints = [], [], []
                 for elements, weights in _elements(batch, n, weight):
                     sizes.append(int(weights.sum()))
-                    prints.append([(mix(elements + np.uint64(salt)) * weights.astype(np.uint64)).sum(dtype=np.uint64) for salt in (1, 7)])
+                    prints.append(_prints(elements, weights))
                     keys.append(signature(elements, weights.astype(float), k).astype(np.uint32).tobytes() if len(elements) else b"")
                 prints = np.array(prints, np.uint64).reshape(-1, 2).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "p1", "p2", "n", "darts"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], [*ROW, "p1", "p2", "n", "darts"])
 
     return sign
 
@@ -112,7 +119,8 @@ def _sets(n: int, weight: str):
                 own = _elements(batch, n, weight)
                 # weights of 1 throughout are left out
                 weights = [w.astype(np.uint32).tobytes() if (w > 1).any() else b"" for _, w in own]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([int(w.sum()) for _, w in own], pa.int32()), pa.array([e.tobytes() for e, _ in own], pa.binary()), pa.array(weights, pa.binary())], ["rep", "n", "elements", "weights"])
+                prints = np.array([_prints(e, w) for e, w in own], np.uint64).reshape(-1, 2).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([int(w.sum()) for _, w in own], pa.int32()), pa.array([e.tobytes() for e, _ in own], pa.binary()), pa.array(weights, pa.binary())], ["p1", "p2", "n", "elements", "weights"])
 
     return sets
 
@@ -207,28 +215,40 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, weight: str = "count", turns: int = 2) -> DataFrame:
-    """(doc_id, class_id, n_shingles): documents linked by chains of similar pairs share the smallest doc_id of them.
+    """(doc_id, class_id, n_shingles), one row per row of docs: documents linked by chains of similar pairs share the smallest doc_id of them.
 
     Words are split at ASCII white space and used unchanged. Similarity is the weighted Jaccard of the `shingle`-word
     shingles, in signatures, filters and verification alike; n_shingles is the sum of a document's weights. weight: "count" weighs
     each shingle by its occurrences, "set" by 1. A text of fewer words is one element, so it only equals copies of itself. Null texts and
-    texts without words are alone, as are rows without id (class null). Rows that repeat an id count once.
-    A pair at the threshold is missed by all bands with a probability of (1 - 0.8 ** rows) ** bands, 5e-6 by default.
+    texts without words are alone. Texts are compared, not ids: rows that repeat an id, or have none, stand for their own texts, and a class without any id has a null class_id.
+    A pair at the threshold is missed by all bands with a probability of (1 - 0.8 ** rows) ** bands, 5e-6 by default; where blocks of a bucket meet,
+    by a signature that is six standard deviations too low with one of about 1e-9.
     """
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    signed = written(texts.mapInArrow(_sign(shingle, bands, rows, weight), "doc_id long, p1 long, p2 long, n int, darts binary"), "near-signed")
-    same = [F.col("p1"), F.col("p2"), F.col("n"), F.when(F.col("n") == 0, F.col("doc_id"))]
-    reps = signed.groupBy(*[c.alias(f"g{i}") for i, c in enumerate(same)]).agg(F.min("doc_id").alias("rep"))
-    reps = written(reps.select("rep", F.col("g0").alias("p1"), F.col("g1").alias("p2"), F.col("g2").alias("n")), "near-reps")
-    real = reps.where("n > 0").select(F.col("rep"))
-    distinct = signed.join(real, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "darts").dropDuplicates(["rep"])
+    return _classes(docs, shingle, threshold, bands, rows, weight, turns).select("doc_id", "class_id", "n_shingles")
+
+
+def _classes(docs: DataFrame, shingle: int, threshold: float, bands: int, rows: int, weight: str, turns: int) -> DataFrame:
+    """(doc_id, text_hash, class_id, n_shingles, first) of each row; first: which row of its class stays, by id and hash of the text."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text"))
+    signed = written(numbered.mapInArrow(_sign(shingle, bands, rows, weight), "rid long, doc_id long, text_hash long, p1 long, p2 long, n int, darts binary"), "near-signed")
+    same = ["p1", "p2", "n"]
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    # a text is told by its weighted set, whatever ids its rows have; its representative is one of its rows
+    reps = written(signed.where("n > 0").groupBy(*same).agg(F.min("rid").alias("rep"), F.min(first).alias("first")), "near-reps")
+    real = reps.select(F.col("rep").alias("rid"))
+    distinct = signed.join(F.broadcast(real) if real.count() <= BROADCAST_ROWS else real, "rid", "left_semi").select(F.col("rid").alias("rep"), "doc_id", *same, "darts")
     buckets = written(distinct.select("rep", "darts").mapInArrow(_bands(rows), "rep long, band int, key long"), "near-bands")
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1").select("band", "key")
     open_ = written(spread_join(buckets, shared, ["band", "key"]), "near-buckets")
-    # shingle sets are made again, only for documents that share a bucket
-    members = open_.select(F.col("rep").alias("doc_id")).distinct()
-    wanted = texts.join(F.broadcast(members) if members.count() <= BROADCAST_ROWS else members, "doc_id", "left_semi").where("text is not null")
-    sets = written(wanted.mapInArrow(_sets(shingle, weight), "rep long, n int, elements binary, weights binary").dropDuplicates(["rep"]), "near-sets")
+    # shingle sets are made again, only for texts that share a bucket
+    members = written(distinct.drop("darts").join(open_.select("rep").distinct(), "rep", "left_semi"), "near-members")
+    few = members.count() <= BROADCAST_ROWS
+    ids = members.select(F.col("doc_id").alias("id")).distinct()
+    wanted = numbered.where("text is not null").select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    made = wanted.select("text").mapInArrow(_sets(shingle, weight), "p1 long, p2 long, n int, elements binary, weights binary")
+    told = members.select("rep", *same)
+    sets = written(made.join(F.broadcast(told) if few else told, same).select("rep", "n", "elements", "weights").dropDuplicates(["rep"]), "near-sets")
+    distinct = distinct.select("rep", "darts")
 
     links = roots = None
     for turn in range(turns):
@@ -259,12 +279,15 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: in
         found = dealt.select("band", "key", "i", "j", "rep", "root", "block", "darts", "elements", "weights").groupBy("band", "key", "i", "j").applyInArrow(_across(least, threshold), "a long, b long").distinct()
         links = links.union(written(found, "near-links"))
         roots = components(links)
-    member = signed.join(reps.where("n > 0"), ["p1", "p2", "n"]).select("doc_id", "rep", "n").distinct()
+    named = reps.select(*same, "rep", "first")
     if roots is not None:
-        member = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("root", "rep"))
-    alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("rep"), "n").distinct()
-    every = member.select("doc_id", "rep", "n").unionByName(alone).groupBy("doc_id").agg(F.min("rep").alias("class_id"), F.max("n").cast("long").alias("n_shingles"))
-    return every
+        named = written(named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "near-named")
+        least = named.groupBy("root").agg(F.min("first").alias("least"))
+        named = spread_join(named, least, ["root"]).select(*same, F.col("least").alias("first"))
+    named = written(named.select(*same, "first"), "near-named")
+    own = signed.select("doc_id", "text_hash", *same)
+    every = spread_join(own.where("n > 0"), named, same).unionByName(own.where("n = 0").withColumn("first", first))
+    return every.select("doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), F.col("n").cast("long").alias("n_shingles"), "first")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -276,8 +299,21 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(_verify(threshold), "a long, b long")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the near-duplicates: of each class the smallest doc_id stays. Rows without id stay; of rows that repeat an id one stays."""
-    kept = classes(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("__id"))
-    once = docs.where("doc_id is not null").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
-    return once.join(kept, once["doc_id"] == kept["__id"], "left_semi").unionByName(docs.where("doc_id is null"))
+def keep_one(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, weight: str = "count", turns: int = 2) -> DataFrame:
+    """docs without the near-duplicates: one row of each class of texts stays, that of the smallest doc_id (null last; ties: the smallest hash of the text), with all columns.
+
+    Rows of one id with different texts are kept or dropped each by its own text; of rows that repeat id and text one stays. Texts without words all stay.
+    """
+    told = written(_classes(docs, shingle, threshold, bands, rows, weight, turns), "near-told")
+    chosen = (F.col("n_shingles") == 0) | F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
+    kept = told.where(chosen).select(F.col("doc_id").alias("id"), "text_hash", "n_shingles")
+    stay = kept.select("id", "text_hash").distinct()
+    is_row = lambda other: docs["doc_id"].eqNullSafe(other["id"]) & (F.xxhash64(docs["text"]) == other["text_hash"])
+    once = docs.join(stay, is_row(stay), "left_semi")
+    repeated = written(kept.where("n_shingles > 0").groupBy("id", "text_hash").count().where("count > 1").select("id", "text_hash"), "near-repeated")
+    if repeated.limit(1).count() == 0:
+        return once
+    alone = once.join(repeated, is_row(repeated), "left_anti")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    many = docs.join(repeated, is_row(repeated)).select(repeated["id"].alias("id"), repeated["text_hash"].alias("text_hash"), row.alias("row"))
+    return alone.unionByName(many.groupBy("id", "text_hash").agg(F.first("row").alias("row")).select("row.*"))

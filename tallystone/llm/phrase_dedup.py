@@ -23,17 +23,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import hash_strings, mix, owners, partitions, rolling, slices, split_words, word_hashes, words_column
+from tallystone.llm.common import BROADCAST_ROWS, hash_strings, mix, owners, partitions, rolling, slices, split_words, word_hashes, words_column, written
 
 #: Occurrences of one anchor in a task that stay in the anchor's common part, and cells in which a task counts them.
 COMMON, CELLS = 48, 1 << 22
 #: Passages of an automaton, at least.
 SHARD = 512
+#: Stands for a null id, as the smallest.
+NO_ID = -(1 << 63)
+#: What tells a document: its id and, for rows that share one or have none, a hash of the text.
+ROW = ["doc_id", "sub"]
 #: A place packs where a passage begins (from bit 32), its words (from bit 1) and whether its part has others elsewhere (bit 0).
-ANCHOR = "anchor long, part long, place long, doc_id long"
-RECURRING = "route long, place long, doc_id long"
+ANCHOR = "anchor long, part long, place long, doc_id long, sub long"
+RECURRING = "route long, place long, doc_id long, sub long"
 #: A run packs its first window (from bit 32) and its last.
-RUNS = "doc_id long, run long, phrase string"
+RUNS = "doc_id long, sub long, run long, phrase string"
 
 
 def _anchors(window: int, gram: int):
@@ -73,9 +77,9 @@ def _anchors(window: int, gram: int):
                 seen = np.empty(len(key), np.int64)
                 seen[order], count[order] = np.repeat(before, times), np.repeat(before + times, times)
                 part = np.where((seen + rank < COMMON) | (rank == 0), 0, 1 + ((np.int64(task) << 24) + number) * 256 + rank // 1024)
-                ids = np.asarray(batch.column("doc_id"))
+                ids, subs = (np.asarray(batch.column(c)) for c in ROW)
                 packed = ((first - begin) << 32) | ((last - first + window) << 1) | (count > COMMON)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(packed), pa.array(ids[doc])], ["anchor", "part", "place", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(packed), pa.array(ids[doc]), pa.array(subs[doc])], ["anchor", "part", "place", *ROW])
 
     return find
 
@@ -102,7 +106,7 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = np.where(many, np.where(part != 0, part * 2, group), 0)
         route = mix(anchor.astype(np.uint64) ^ mix(part.astype(np.uint64)))
         place = (place & ~np.int64(1)) | many
-        yield pa.RecordBatch.from_arrays([pa.array(route.astype(np.int64)), pa.array(place), batch.column("doc_id")], ["route", "place", "doc_id"]).filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([pa.array(route.astype(np.int64)), pa.array(place), *(batch.column(c) for c in ROW)], ["route", "place", *ROW]).filter(pa.array(keep))
 
 
 def _letters(codes: np.ndarray) -> str:
@@ -119,7 +123,7 @@ def _locate(window: int):
         codes, owner = np.asarray(coded.indices).astype(np.int64), owners(offsets)
         hashes = rolling(hash_strings(coded.dictionary)[codes], window)
         starts = np.flatnonzero(owner[: len(codes) - window + 1] == owner[window - 1 :])
-        doc, place = (np.asarray(batch.column(c)) for c in ("doc_id", "place"))
+        doc, sub, place = (np.asarray(batch.column(c)) for c in (*ROW, "place"))
         first, hot = place >> 32, (place & 1).astype(bool)
         letters, late, rows = _letters(codes), np.zeros(len(starts), bool), []
         # confirm: one window of each phrase that recurs here goes into the automaton
@@ -135,27 +139,27 @@ def _locate(window: int):
             place, phrase = found[:, 0] - window + 1, found[:, 1]
             inside = owner[place] == owner[place + window - 1]
             place, phrase = place[inside], phrase[inside]
-            of_doc, of = doc[owner[place]], first[owner[place]] + place - offsets[owner[place]]
-            order = np.lexsort((of, of_doc, phrase))
+            of_doc, of_sub, of = doc[owner[place]], sub[owner[place]], first[owner[place]] + place - offsets[owner[place]]
+            order = np.lexsort((of, of_sub, of_doc, phrase))
             head = np.flatnonzero(np.concatenate(([True], phrase[order][1:] != phrase[order][:-1])))
             earliest = np.repeat(order[head], np.diff(np.concatenate((head, [len(order)]))))
-            later = (of_doc[order] != of_doc[earliest]) | (of[order] != of[earliest])
+            later = (of_doc[order] != of_doc[earliest]) | (of_sub[order] != of_sub[earliest]) | (of[order] != of[earliest])
             late[np.searchsorted(starts, place[order[later]])] = True
         own = owner[starts]
-        where_doc, where = doc[own], first[own] + starts - offsets[own]
+        where_doc, where_sub, where = doc[own], sub[own], first[own] + starts - offsets[own]
         gone = np.flatnonzero(late)
         # a run of windows to remove has no phrase
-        d, p = where_doc[gone], where[gone]
+        d, u, p = where_doc[gone], where_sub[gone], where[gone]
         new = np.flatnonzero(np.concatenate(([True] * bool(len(gone)), (own[gone][1:] != own[gone][:-1]) | (p[1:] != p[:-1] + 1))))
         end = np.concatenate((new[1:], [len(d)] * bool(len(d)))).astype(np.int64) - 1
-        rows.append((d[new], p[new], p[end]))
+        rows.append((d[new], u[new], p[new], p[end]))
         # first occurrences in a part that has others elsewhere, with their words
         open_ = np.flatnonzero(~late & hot[own])
         words = flat.take(pa.array((starts[open_][:, None] + np.arange(window)).ravel()))
         phrases = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, window, dtype=np.int32)), words), " ")
-        rows.append((where_doc[open_], where[open_], where[open_]))
-        d, a, b = (np.concatenate([r[i] for r in rows]) for i in range(3))
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array((a << 32) | b), pa.concat_arrays([pa.nulls(len(new), pa.string()), phrases])], ["doc_id", "run", "phrase"])
+        rows.append((where_doc[open_], where_sub[open_], where[open_], where[open_]))
+        d, u, a, b = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(u), pa.array((a << 32) | b), pa.concat_arrays([pa.nulls(len(new), pa.string()), phrases])], [*ROW, "run", "phrase"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows are sorted by route: a group that a batch cuts off is carried into the next one."""
@@ -181,44 +185,49 @@ def _locate(window: int):
     return stream
 
 
-#: Stands for a null id, as the smallest.
-NO_ID = -(1 << 63)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) dealt by doc_id. All steps read this one exchange, so texts are shuffled once."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    """(doc_id, sub, text): sub tells rows apart that share an id or have none, by a hash of their text; other rows have 0. All steps read one exchange of it, so texts are shuffled once."""
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    shared = own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("shared"))
+    shared = written(shared, "phrase-shared")
+    n = shared.count()
+    if n:
+        own = own.join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, F.col("doc_id") == F.col("id"), "left")
+    told = F.col("doc_id").isNull() | F.col("shared") if n else F.col("doc_id").isNull()
+    return own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.when(told, F.xxhash64("text")).otherwise(0).alias("sub"), "text")
 
 
 def repeats(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
-    """Runs (doc_id, first, last) of window starts whose word sequence also starts earlier. Runs may touch or repeat.
+    """Runs (doc_id, sub, first, last) of window starts whose word sequence also starts earlier. Runs may touch or repeat.
 
-    Earlier: in a smaller doc_id, or in the same document before. Rows that share an id and a position are one
-    occurrence. A null id counts as the smallest. A null or short text has no windows.
+    Earlier: in a smaller doc_id, or in the same document before. Rows that share an id are documents of their own, in the order of `sub`, a hash
+    of their texts; those that repeat the text as well are one. A null id, here the smallest long, comes first. A null or short text has no windows.
     """
     found = _repeats(_keyed(docs), window, gram)
-    return found.select("doc_id", F.shiftright("run", 32).cast("int").alias("first"), F.col("run").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("last"))
+    return found.select(*ROW, F.shiftright("run", 32).cast("int").alias("first"), F.col("run").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("last"))
 
 
 def _repeats(texts: DataFrame, window: int, gram: int) -> DataFrame:
     n = partitions(texts.sparkSession)
     anchors = texts.mapInArrow(_anchors(window, gram), ANCHOR)
-    anchors = anchors.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "place")
+    anchors = anchors.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", *ROW, "place")
     recurring = anchors.mapInArrow(_recurring, RECURRING)
-    wanted = recurring.groupBy("doc_id").agg(F.collect_list(F.struct("route", "place")).alias("places"))
-    split = texts.join(wanted, "doc_id").select("doc_id", "places", words_column(F.col("text")).alias("words"))
+    # rows that repeat id and text have the same places
+    wanted = recurring.groupBy(*ROW).agg(F.collect_set(F.struct("route", "place")).alias("places"))
+    split = texts.join(wanted, ROW).select(*ROW, "places", words_column(F.col("text")).alias("words"))
     first = lambda p: F.shiftright(p["place"], 32).cast("int")
     n_words = lambda p: F.shiftright(p["place"], 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     passage = F.transform("places", lambda p: F.struct(p["route"], p["place"], F.array_join(F.slice("words", first(p) + 1, n_words(p)), " ").alias("passage")))
-    passages = split.select("doc_id", F.explode(passage).alias("p")).select("doc_id", "p.*")
-    shards = passages.repartition(n, "route").sortWithinPartitions("route", "doc_id", "place")
-    located = shards.select("route", "doc_id", "place", "passage").mapInArrow(_locate(window), RUNS)
+    passages = split.select(*ROW, F.explode(passage).alias("p")).select(*ROW, "p.*")
+    shards = passages.repartition(n, "route").sortWithinPartitions("route", *ROW, "place")
+    located = shards.select("route", *ROW, "place", "passage").mapInArrow(_locate(window), RUNS)
     # a row without phrase is a run to remove; the others meet those of the same words
     run = F.col("phrase").isNull()
-    keyed = located.withColumn("key", F.when(run, F.col("doc_id")).otherwise(F.xxhash64("phrase")))
-    lead = F.first(F.struct("doc_id", "run")).over(Window.partitionBy("key", "phrase").orderBy("doc_id", "run"))
-    met = keyed.withColumn("late", run | (F.struct("doc_id", "run") != lead)).where("late")
-    return met.select("doc_id", "run")
+    keyed = located.withColumn("key", F.when(run, F.xxhash64(*ROW)).otherwise(F.xxhash64("phrase")))
+    place = F.struct(*ROW, "run")
+    lead = F.first(place).over(Window.partitionBy("key", "phrase").orderBy(*ROW, "run"))
+    met = keyed.withColumn("late", run | (place != lead)).where("late")
+    return met.select(*ROW, "run")
 
 
 def _cut(window: int):
@@ -253,11 +262,11 @@ def dedup_passages(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFram
     """(doc_id, n_words, n_removed long, kept_text) of every row of docs: kept words joined by one space.
 
     A word goes if a window of `window` words over it also starts earlier; windows are those of the input. Rows that share an
-    id are cut alike at the same positions; a null id counts as the smallest.
+    id are documents of their own, in the order of a hash of their texts, and only lose words of their own; those that also repeat the text are cut alike. A null id comes first.
     """
     texts = _keyed(docs)
-    runs = _repeats(texts, window, gram).groupBy("doc_id").agg(F.collect_set("run").alias("runs")).withColumnRenamed("doc_id", "__id")
+    runs = _repeats(texts, window, gram).groupBy(*ROW).agg(F.collect_set("run").alias("runs"))
     none = F.array().cast("array<long>")
-    joined = texts.join(runs, F.col("doc_id") == F.col("__id"), "left")
+    joined = texts.join(runs, ROW, "left")
     joined = joined.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("runs", none).alias("runs"))
     return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
