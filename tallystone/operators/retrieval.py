@@ -192,10 +192,11 @@ def read_spans(requests: DataFrame, sources: DataFrame) -> DataFrame:
     return j.select("request_id", "code", F.expr("try_validate_utf8(cast(part as string))").alias("excerpt"), digest(F.col("part")).alias("excerpt_hash"))
 
 
-def find_symbols(symbols: DataFrame, name: str, limit: int = 50) -> DataFrame:
-    """Symbols whose name or qualified name holds a text, ignoring case, by qualified name and id."""
+def find_symbols(symbols: DataFrame, name: str, limit: int | None = 50) -> DataFrame:
+    """Symbols whose name or qualified name holds a text, ignoring case, by qualified name and id; all of them without a limit."""
     hit = F.lower("name").contains(name.lower()) | F.lower("qualified_name").contains(name.lower())
-    return symbols.where(hit).orderBy("qualified_name", "symbol_id").limit(limit)
+    found = symbols.where(hit).orderBy("qualified_name", "symbol_id")
+    return found if limit is None else found.limit(limit)
 
 
 def index_fingerprint(documents: DataFrame) -> DataFrame:

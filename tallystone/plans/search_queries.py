@@ -224,7 +224,7 @@ QUERIES = {
     "r08_rrf": lambda s, d: rounded(R.rrf([vectors(s, d), same_label(s, d)], 10)),
     "r09_retrieval_eval": evaluation,
     "r10_read_spans": spans,
-    "r11_find_symbols": lambda s, d: R.find_symbols(K.symbols(code_lines(s, d)), "ITEM1", 100_000).select("path", "qualified_name"),
+    "r11_find_symbols": lambda s, d: R.find_symbols(K.symbols(code_lines(s, d)), "ITEM1", None).select("path", "qualified_name"),
     "r12_index_fingerprint": lambda s, d: R.index_fingerprint(documents(s, d)),
     "k01_symbols": lambda s, d: K.symbols(code_lines(s, d)).drop("symbol_id"),
     "k02_resolve_edges": resolved,
