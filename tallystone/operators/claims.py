@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions.canon import canonical, digest, first_code, short_id, utc_text
+from tallystone.functions.trees import tree_digest
+from tallystone.operators.intervals import least_of_others
+from tallystone.sources.scratch import written
 
 SCOPE = ("component", "environment", "region", "tenant")
 
@@ -95,18 +98,16 @@ def valid_time_overlap(from_a: Column, to_a: Column, from_b: Column, to_b: Colum
     return ~(never(from_a, to_b) | never(from_b, to_a) | never(from_a, to_a) | never(from_b, to_b))
 
 
-def conflict_pairs(claims: DataFrame, registry: DataFrame) -> DataFrame:
-    """(family_key, kind, claim_a, claim_b, opened_seq) of ACTIVE claims that contradict each other, claim_a < claim_b.
-
-    Opposite polarity about one object comes first, else different objects of a predicate of cardinality ONE; both need
-    overlapping time where the predicate says so. Families with one object and polarity leave before the join;
-    a hot family's join is split by Spark's skew handling as nothing above needs it whole.
-    """
+def _contestable(claims: DataFrame, registry: DataFrame) -> DataFrame:
+    """ACTIVE claims with their family and rules, without the families of one object and polarity."""
     rules = registry.select("key", "cardinality", "rules")
     active = _registered(with_family_key(claims.where("status = 'ACTIVE'"), registry), rules)
     span = active.groupBy("family_key").agg(F.min("object_value").alias("o1"), F.max("object_value").alias("o2"), F.min("polarity").alias("p1"), F.max("polarity").alias("p2"))
     open_ = span.where("o1 <> o2 or p1 <> p2").select("family_key")
-    active = active.join(open_, "family_key", "left_semi").select("family_key", "claim_id", "object_value", "polarity", "valid_from", "valid_to", "seq", "cardinality", "rules")
+    return active.join(open_, "family_key", "left_semi").select("family_key", "claim_id", "object_value", "polarity", "valid_from", "valid_to", "seq", "cardinality", "rules")
+
+
+def _pairs(active: DataFrame) -> DataFrame:
     a, b = active.alias("a"), active.drop("cardinality", "rules").alias("b")
     overlap = valid_time_overlap(F.col("a.valid_from"), F.col("a.valid_to"), F.col("b.valid_from"), F.col("b.valid_to"))
     has = lambda rule: F.array_contains("a.rules", rule)
@@ -117,21 +118,68 @@ def conflict_pairs(claims: DataFrame, registry: DataFrame) -> DataFrame:
     return met.select(F.col("a.family_key").alias("family_key"), kind.alias("kind"), F.col("a.claim_id").alias("claim_a"), F.col("b.claim_id").alias("claim_b"), F.greatest("a.seq", "b.seq").alias("opened_seq")).where("kind is not null")
 
 
-def conflict_episodes(pairs: DataFrame) -> DataFrame:
-    """One OPEN conflict per (family, kind): conflict_id, members array, member_digest, opened_seq.
+def conflict_pairs(claims: DataFrame, registry: DataFrame) -> DataFrame:
+    """(family_key, kind, claim_a, claim_b, opened_seq) of ACTIVE claims that contradict each other, claim_a < claim_b.
 
-    Members are the union over all pairs; the id comes from the members of the first opening, so later members extend a
-    conflict without renaming it. Members are pre-aggregated as sets, not as pairs.
+    Opposite polarity about one object comes first, else different objects of a predicate of cardinality ONE; both need
+    overlapping time where the predicate says so. Families with one object and polarity leave before the join;
+    a hot family's join is split by Spark's skew handling as nothing above needs it whole. Pairs are the result here; what only asks who is in conflict uses `conflict_members`.
     """
-    first = pairs.groupBy("family_key", "kind").agg(F.min("opened_seq").alias("opened_seq"))
-    ends = pairs.select("family_key", "kind", "opened_seq", F.explode(F.array("claim_a", "claim_b")).alias("member"))
-    seen = ends.groupBy("family_key", "kind", "member").agg(F.min("opened_seq").alias("since"))
+    return _pairs(_contestable(claims, registry))
+
+
+#: Members of a family up to which its pairs are formed.
+PAIRED_FAMILY = 64
+
+
+def conflict_members(claims: DataFrame, registry: DataFrame, paired: int = PAIRED_FAMILY) -> DataFrame:
+    """(family_key, kind, member, since): who contradicts anyone, and from which sequence on, as over `conflict_pairs` but without the pairs of large families.
+
+    since: the larger of a claim's own sequence and its partners' least. Families of up to `paired` members form their pairs, which is at most so many for each member; in larger ones
+    every claim finds the least sequence of its partners by `least_of_others`, so the work grows with members and not with pairs.
+    """
+    active = written(_contestable(claims, registry), "contestable")
+    large = written(active.groupBy("family_key").count().where(F.col("count") > paired).select("family_key"), "large-families")
+    pairs = _pairs(active.join(large, "family_key", "left_anti"))
+    seen = pairs.select("family_key", "kind", "opened_seq", F.explode(F.array("claim_a", "claim_b")).alias("member")).groupBy("family_key", "kind", "member").agg(F.min("opened_seq").alias("since"))
+    if large.limit(1).count() == 0:
+        return seen
+    has = lambda rule: F.array_contains("rules", rule)
+    rest = active.join(large, "family_key", "left_semi").where("object_value is not null and polarity is not null")
+    # where time plays no part, all intervals are unbounded
+    timed = {c: F.when(has("TEMPORAL_OVERLAP"), F.col(c)) for c in ("valid_from", "valid_to")}
+    opposite = rest.where(has("OPPOSITE_POLARITY")).select("family_key", F.lit("POLARITY_CONFLICT").alias("kind"), F.col("object_value").alias("about"), F.col("polarity").alias("side"), "claim_id", "seq", "rules", "valid_from", "valid_to")
+    exclusive = rest.where(has("EXCLUSIVE_OBJECT") & (F.col("cardinality") == "ONE") & (F.col("polarity") == "POSITIVE"))
+    exclusive = exclusive.select("family_key", F.lit("EXCLUSIVE_VALUE_CONFLICT").alias("kind"), F.lit("").alias("about"), F.col("object_value").alias("side"), "claim_id", "seq", "rules", "valid_from", "valid_to")
+    sides = written(opposite.unionByName(exclusive).withColumns(timed).drop("rules"), "conflict-sides")
+    least = least_of_others(sides, ["family_key", "kind", "about"], "claim_id", "side", "valid_from", "valid_to", "seq")
+    joined = least.join(sides.select("family_key", "kind", "about", "claim_id", "seq"), ["family_key", "kind", "about", "claim_id"])
+    return seen.unionByName(joined.select("family_key", "kind", F.col("claim_id").alias("member"), F.greatest("seq", "least").alias("since")))
+
+
+def _episodes(seen: DataFrame) -> DataFrame:
+    first = seen.groupBy("family_key", "kind").agg(F.min("since").alias("opened_seq"))
     joined = seen.join(first, ["family_key", "kind"])
     sets = joined.groupBy("family_key", "kind").agg(F.first("opened_seq").alias("opened_seq"), F.array_sort(F.collect_list("member")).alias("members"), F.array_sort(F.collect_list(F.when(F.col("since") == F.col("opened_seq"), F.col("member")))).alias("opening"))
     name = short_id("conflict_", F.concat_ws("|", "family_key", "kind", digest(F.to_json("opening"))))
     return sets.select(name.alias("conflict_id"), "family_key", "kind", "members", digest(F.to_json("members")).alias("member_digest"), "opened_seq", F.lit("OPEN").alias("status"), F.lit(1).alias("episode"))
 
 
+def conflict_episodes(claims: DataFrame, registry: DataFrame, paired: int = PAIRED_FAMILY) -> DataFrame:
+    """One OPEN conflict per (family, kind): conflict_id, members array, member_digest, opened_seq.
+
+    Members are all claims that contradict another; the id comes from the members of the first opening, so later members extend a
+    conflict without renaming it.
+    """
+    return _episodes(conflict_members(claims, registry, paired))
+
+
+def episodes_of_pairs(pairs: DataFrame) -> DataFrame:
+    """C08 from the pairs of C07."""
+    ends = pairs.select("family_key", "kind", "opened_seq", F.explode(F.array("claim_a", "claim_b")).alias("member"))
+    return _episodes(ends.groupBy("family_key", "kind", "member").agg(F.min("opened_seq").alias("since")))
+
+
 def resolution_check(resolutions: DataFrame, conflicts: DataFrame, evidence: DataFrame) -> DataFrame:
     """(resolution_id, code): the first reason why a resolution can't be applied, null if it can.
 
@@ -161,10 +209,10 @@ def authority_check(operations: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def active_set_digest(claims: DataFrame, registry: DataFrame) -> DataFrame:
-    """C11: (family_key, members, digest) over the sorted (claim_id, proposition_hash, version) of ACTIVE claims."""
+    """C11: (family_key, members, digest) over the (claim_id, proposition_hash, version) of ACTIVE claims, by levels of buckets, so that no family is ever one list."""
     active = with_proposition_hash(with_family_key(claims.where("status = 'ACTIVE'"), registry))
-    rows = F.array_sort(F.collect_list(F.struct("claim_id", "proposition_hash", "version")))
-    return active.groupBy("family_key").agg(F.count("*").alias("members"), digest(F.to_json(rows)).alias("digest"))
+    row = active.select("family_key", "claim_id", F.sha2(canonical(F.struct("claim_id", "proposition_hash", "version")), 256).alias("h"))
+    return tree_digest(row, ["family_key"], "claim_id", "h", 2).select("family_key", F.col("rows").alias("members"), "digest")
 
 
 def epistemic_context(claims: DataFrame, evidence: DataFrame, conflicts: DataFrame, keys: DataFrame) -> DataFrame:

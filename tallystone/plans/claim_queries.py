@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from tallystone.operators import claims as C
 from tallystone.plans import derive as D
+from tallystone.sources.scratch import written
 
 
 def flagship(spark, d) -> DataFrame:
     """Which claims contradict each other, and is each backed by its source bytes?"""
-    checked = C.verify_evidence(D.evidence(spark, d), D.sources(spark, d))
-    links = D.evidence(spark, d).select("evidence_id", "claim_id").join(checked, "evidence_id").groupBy("claim_id").agg(F.count("*").alias("links"), F.count_if(F.col("code") == "OK").alias("verified"))
-    conflicts = C.conflict_episodes(C.conflict_pairs(D.claims(spark, d), D.registry(spark)))
+    evidence = written(D.evidence(spark, d), "evidence")
+    checked = C.verify_evidence(evidence, D.sources(spark, d))
+    links = evidence.select("evidence_id", "claim_id").join(checked, "evidence_id").groupBy("claim_id").agg(F.count("*").alias("links"), F.count_if(F.col("code") == "OK").alias("verified"))
+    conflicts = C.conflict_episodes(D.claims(spark, d), D.registry(spark))
     members = conflicts.select("conflict_id", "kind", "opened_seq", F.explode("members").alias("claim_id"))
     return members.join(links, "claim_id", "left").na.fill(0, ["links", "verified"]).select("conflict_id", "kind", "opened_seq", "claim_id", "links", "verified")
 
@@ -23,7 +25,7 @@ def _pairs(s, d):
 
 
 def _conflicts(s, d):
-    return C.conflict_episodes(_pairs(s, d))
+    return C.conflict_episodes(D.claims(s, d), D.registry(s))
 
 
 def conformance(s, d):

@@ -14,7 +14,7 @@ from tallystone.plans.derive import table
 
 
 def conflicts(s, d):
-    return C.conflict_episodes(C.conflict_pairs(D.claims(s, d), D.registry(s)))
+    return C.conflict_episodes(D.claims(s, d), D.registry(s))
 
 
 def decisions(s, d):

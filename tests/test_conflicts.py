@@ -1,0 +1,59 @@
+"""Conflicts without pairs against those of the pairs, and numbering in parallel."""
+
+import datetime
+import random
+import time
+
+import pytest
+
+from tallystone.operators import claims, intervals, prefix
+from tallystone.plans.derive import registry
+
+SCHEMA = """claim_id string, subject_id string, subject_type string, predicate string, object_kind string, object_value string, object_type string, polarity string, component string,
+    environment string, region string, tenant string, valid_from timestamp, valid_to timestamp, status string, version int, seq long"""
+START = datetime.datetime(2024, 1, 1)
+
+
+def day(n):
+    return None if n is None else START + datetime.timedelta(days=n)
+
+
+def claim(k, draw, subjects, objects, days=400):
+    low = draw.choice([None] + [draw.randrange(days)] * 8)
+    high = draw.choice([None] + [(low or 0) + draw.randrange(-1, 60)] * 8)
+    predicate = draw.choice(["order.priority@1"] * 3 + ["order.supplier@1"])
+    return (f"c{k:06}", f"customer:{draw.randrange(subjects)}", "customer", predicate, "enum", draw.choice([*objects, None]), None, draw.choice(["POSITIVE"] * 4 + ["NEGATIVE", None]), None, "F", None, None, day(low), day(high), draw.choice(["ACTIVE"] * 5 + ["RETRACTED"]), 1, draw.randrange(50) if k % 2 else k)
+
+
+@pytest.mark.parametrize(("seed", "paired"), [(1, 0), (2, 3), (3, 64)])
+def test_members_are_those_of_the_pairs(spark, seed, paired):
+    draw = random.Random(seed)
+    df = spark.createDataFrame([claim(k, draw, 12, ["1-URGENT", "2-HIGH", "3-MEDIUM", "supplier:1"]) for k in range(400)], SCHEMA).repartition(3)
+    rules = registry(spark)
+    rows = lambda x: sorted(map(repr, (tuple(r) for r in x.collect())))
+    want = rows(claims.episodes_of_pairs(claims.conflict_pairs(df, rules)))
+    assert rows(claims.conflict_episodes(df, rules, paired)) == want and len(want) > 5
+
+
+def test_a_large_family_costs_its_members(spark):
+    """A family of so many claims has a hundred million pairs."""
+    draw = random.Random(4)
+    rows = [claim(k, draw, 1, ["1-URGENT", "2-HIGH"], 3000) for k in range(20_000)]
+    began = time.time()
+    found = claims.conflict_members(spark.createDataFrame(rows, SCHEMA).repartition(4), registry(spark)).count()
+    assert found > 5_000 and time.time() - began < 240
+
+
+def test_least_of_others_of_small_cases(spark):
+    rows = [("g", "a", "x", 0, 10, 5), ("g", "b", "y", 10, 20, 1), ("g", "c", "y", 9, 11, 7), ("g", "d", "x", None, None, 9), ("g", "e", "z", 5, 5, 0), ("h", "f", "x", 0, 10, 3), ("g", "g", None, 0, 99, 0)]
+    df = spark.createDataFrame(rows, "k string, item string, color string, low int, high int, value long")
+    got = {r["item"]: r["least"] for r in intervals.least_of_others(df, ["k"], "item", "color", "low", "high", "value").collect()}
+    assert got == {"a": 7, "b": 9, "c": 5, "d": 1}
+    assert intervals.least_of_others(df.where("value > 99"), ["k"], "item", "color", "low", "high", "value").count() == 0
+
+
+def test_places_in_one_long_order(spark):
+    values = random.Random(5).sample(range(100_000), 3_000)
+    df = spark.createDataFrame([(v, str(v)) for v in values], "v int, name string").repartition(5)
+    assert [(r["place"], r["v"]) for r in prefix.numbered(df, ["v"], "place").orderBy("place").collect()] == list(enumerate(sorted(values)))
+    assert prefix.numbered(df.where("v < 0"), ["v"], "place").count() == 0
