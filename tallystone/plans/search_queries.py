@@ -184,24 +184,36 @@ _ORDERED = f"{_SCORE}, {_VIEWS.replace(REQ + ', ', '')}, {_SKILLS}, un AS (SELEC
 
 def sized(s, d):
     """All candidates with sizes."""
-    return ordered(s, d).withColumn("bytes", (F.length("id") * 17 % 300 + 20).cast("long")).withColumn("mandatory", F.col("score") >= 10_000)
+    return ordered(s, d).withColumn("bytes", _size()).withColumn("mandatory", F.col("score") >= 10_000)
 
 
-_SIZED = f"{_ORDERED}, sz AS (SELECT *, (length(id) * 17 % 300 + 20)::BIGINT + 32 AS b, score >= 10000 AS m FROM od)"
+def _size():
+    return (F.length("id") * 17 % 300 + 20).cast("long")
+
 
+def shared_sized(s, d):
+    """The same as one order that all requests share, and each request's own."""
+    shared, own = X.candidates(X.normalize_requests(requests(s, d)), continuity(s, d), view_rows(s, d), skill_rows(s, d))
+    return shared.withColumn("bytes", _size()), own.withColumn("bytes", _size()).withColumn("mandatory", F.col("score") >= 10_000)
 
-def skip(s, d):
-    return X.pack_skip(sized(s, d), X.normalize_requests(requests(s, d))).select("request_id", "id", "included", "code")
+
+_SIZED = f"{_ORDERED}, sz AS (SELECT *, (length(id) * 17 % 300 + 20)::BIGINT + 32 AS b, score >= 10000 AS m FROM od)"
 
 
-def prefix(s, d):
-    return X.pack_prefix(sized(s, d), X.normalize_requests(requests(s, d)))
+def packed(s, d, skip):
+    """What packing includes, as a flag of every candidate of every request."""
+    r = written(X.normalize_requests(requests(s, d)), "requests")
+    shared, own = (written(x, "candidates") for x in shared_sized(s, d))
+    included, told = X.pack_shared(shared, own, r, skip)
+    rows = X.for_each_request(shared.select("kind", "id"), own.select("request_id", "kind", "id"), r, ["kind", "id"])
+    flagged = rows.join(included.withColumn("included", F.lit(True)), ["request_id", "kind", "id"], "left").join(told, "request_id")
+    return flagged.select("request_id", "id", F.coalesce("included", F.lit(False)).alias("included"), "code")
 
 
 def report(s, d):
-    rows = written(sized(s, d), "candidates")
-    p = X.pack_prefix(rows, X.normalize_requests(requests(s, d))).join(rows.select("request_id", "id", F.col("kind").alias("section")), ["request_id", "id"])
-    return X.truncation_report(p)
+    r = written(X.normalize_requests(requests(s, d)), "requests")
+    shared, own = (written(x, "candidates") for x in shared_sized(s, d))
+    return X.report_shared(shared, own, X.pack_shared(shared, own, r, False)[0], r)
 
 
 _PREFIX = f"""{_SIZED}, mu AS (SELECT request_id, sum(b) FILTER (WHERE m) AS must FROM sz GROUP BY 1), pf AS (SELECT request_id, id, kind, coalesce(must, 0) <= budget AND sum(b) OVER (PARTITION BY request_id ORDER BY m DESC, position, id ROWS UNBOUNDED PRECEDING) <= budget AS included,
@@ -235,8 +247,8 @@ QUERIES = {
     "x03_score_views": lambda s, d: X.score_views(X.normalize_requests(requests(s, d)), view_rows(s, d)),
     "x04_score_skills": lambda s, d: X.score_skills(X.normalize_requests(requests(s, d)), skill_rows(s, d)),
     "x05_order_candidates": ordered,
-    "x06_pack_skip": skip,
-    "x07_pack_prefix": prefix,
+    "x06_pack_skip": lambda s, d: packed(s, d, True),
+    "x07_pack_prefix": lambda s, d: packed(s, d, False),
     "x08_project_depth": depth,
     "x09_token_estimate": lambda s, d: table(s, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens")),
     "x10_truncation_report": report,
