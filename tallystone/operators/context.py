@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.operators.retrieval import BROADCAST_QUERIES, QUERY_BLOCK
+from tallystone.operators.retrieval import BROADCAST_QUERIES, QUERY_BLOCK, term_hits
 from tallystone.sources.scratch import written
 
 # The default budget, scores, and hints that a request may not use.
@@ -38,30 +38,6 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", F.array_sort(F.array_distinct(F.coalesce("refs", none))).alias("refs"), terms.alias("terms"), F.coalesce("depth", F.lit("SUMMARY")).alias("depth"), budget.cast("long").alias("budget"), code.alias("code"))
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs of two and of three characters of a text."""
-
-    def runs(chars: Column) -> Column:
-        at = lambda i: F.coalesce(F.get(chars, i), F.lit(""))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: F.array(F.concat(at(i), at(i + 1)), F.concat(at(i), at(i + 1), at(i + 2)))))
-
-    return F.array_distinct(F.get(F.transform(F.array(F.split(text, "")), runs), F.lit(0)))
-
-
-def term_hits(terms: DataFrame, rows: DataFrame, hays: list[str], few: bool, value=lambda hay, term: F.contains(hay, term)) -> DataFrame:
-    """(id, term, value of each hay) for the terms that any text of a row holds as substrings. rows: id, the texts `hays`; terms: term, distinct.
-
-    Texts meet terms by the terms' first three characters (or all two, or the one), so a text is compared with few terms. few: whether the terms may be broadcast.
-    """
-    gram = terms.withColumn("gram", F.substring("term", 1, 3))
-    gram = F.broadcast(gram) if few else gram
-    keyed = written(rows.select("id", *hays).withColumn("row_key", F.xxhash64("id", *hays)), "term-rows")
-    nominated = keyed.select("row_key", F.explode(_grams(F.concat_ws("\n", *hays))).alias("gram")).join(gram, "gram").select("row_key", "term").distinct()
-    tested = nominated.join(keyed.dropDuplicates(["row_key"]), "row_key")
-    held = F.exists(F.array(*hays), lambda h: F.contains(h, F.col("term")))
-    return tested.where(held).select("id", "term", *[value(F.col(h), F.col("term")).cast("long").alias(h) for h in hays])
-
-
 def _points(requests: DataFrame, rows: DataFrame, hays: list[str], score: Column) -> DataFrame:
     """(request_id, id, score) of the rows that hold terms of a request; score sees how many of its terms each of `hays` holds."""
     asked = requests.select("request_id", F.explode("terms").alias("term"))

@@ -8,6 +8,7 @@ row with the one before it by sequence, never with a global window.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from tallystone.functions.canon import canonical, digest, first_code
 from tallystone.functions.trees import tree_digest
 from tallystone.operators.folds import fold_rows
+from tallystone.operators.prefix import last_before
+from tallystone.sources.scratch import written
 
 GENESIS = "0" * 64
 
@@ -127,9 +130,8 @@ def fold_work_items(events: DataFrame) -> DataFrame:
 
 
 def transition_check(events: DataFrame) -> DataFrame:
-    """(object_id, seq, code) of events whose recorded previous_status or version differs from the history before them."""
-    w = Window.partitionBy("object_id").orderBy("seq")
-    e = events.withColumn("had", F.lag("status").over(w)).withColumn("n", F.row_number().over(w))
+    """(object_id, seq, code) of events whose recorded previous_status or version differs from the history before them. The history of one object is checked by all tasks."""
+    e = last_before(events, "object_id", "seq", F.struct("status"), "had", "n").withColumn("had", F.col("had.status"))
     code = first_code((~F.col("previous_status").eqNullSafe(F.col("had")), "PREVIOUS_STATUS_MISMATCH"), (F.col("version") != F.col("n"), "VERSION_MISMATCH"))
     return e.select("object_id", "seq", code.alias("code")).where("code is not null")
 
@@ -197,11 +199,9 @@ def receipt_parity(receipts: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def rejected_head_check(receipts: DataFrame, key: str) -> DataFrame:
-    """(receipt_id) of rejected receipts that don't keep the head of the last accepted one before them (GENESIS if none), per log."""
+    """(receipt_id) of rejected receipts that don't keep the head of the last accepted one before them (GENESIS if none), per log. One long log is checked by all tasks."""
     ok = F.col("outcome").isin("COMMITTED", "FACT_CONFLICT")
-    w = Window.partitionBy(key).orderBy("receipt_id").rowsBetween(Window.unboundedPreceding, -1)
-    head = F.coalesce(F.last(F.when(ok, F.col("head_after")), ignorenulls=True).over(w), F.lit(GENESIS))
-    r = receipts.withColumn("head", head)
+    r = last_before(receipts, key, "receipt_id", F.when(ok, F.col("head_after")), "head").withColumn("head", F.coalesce("head", F.lit(GENESIS)))
     return r.where(~ok & ((F.col("head_before") != F.col("head")) | (F.col("head_after") != F.col("head")))).select("receipt_id")
 
 
@@ -211,12 +211,23 @@ def proposals_with_outcome(proposals: DataFrame, receipts: DataFrame, outcome: s
 
 
 def history_index(entries: DataFrame) -> DataFrame:
-    """(object_id, seq): the entries that name an object in any string under a JSON key `id` or ending in `_id`.
+    """(object_id, seq): the entries that name an object in any string under a JSON key `id` or ending in `_id`, at any depth but below a key `versions`.
 
-    entries: seq, document (JSON text; a `versions` subtree is left out by the caller). Each pair once.
+    entries: seq, document (JSON text; what can't be parsed names nothing). Each pair once. The values of one level of nesting are walked at a time, all entries at once;
+    only objects and arrays go on to the next level.
     """
-    found = F.regexp_extract_all("document", F.lit('"(?:[A-Za-z0-9_]*_)?id":"([^"]*)"'), F.lit(1))
-    return entries.select(F.explode(F.array_distinct(found)).alias("object_id"), "seq").distinct()
+    spark, found = entries.sparkSession, []
+    at = entries.select("seq", F.try_parse_json("document").alias("v")).where("v is not null")
+    while True:
+        inner = at.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("seq", "key", "value").where("key is null or key <> 'versions'")
+        kind = F.schema_of_variant("value")
+        named = (F.col("key") == "id") | F.endswith(F.col("key"), F.lit("_id"))
+        told = inner.select("seq", F.when((kind == "STRING") & named, F.try_variant_get("value", "$", "string")).alias("object_id"), F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.col("value")).alias("v"))
+        level = written(told.where("object_id is not null or v is not null"), "history-level")
+        found.append(level.where("object_id is not null").select("object_id", "seq"))
+        at = level.where("v is not null").select("seq", "v")
+        if at.limit(1).count() == 0:
+            return reduce(DataFrame.union, found).distinct()
 
 
 def bounded_history(index: DataFrame, n: int = 16) -> DataFrame:

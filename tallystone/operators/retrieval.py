@@ -1,7 +1,4 @@
-"""Retrieval (R01-R12): search rows, inverted index, BM25, vectors, fusion, evaluation.
-
-Query sets are small and stated; they are packed into blocks of at most QUERY_BLOCK, and each block meets each row once.
-"""
+"""Retrieval (R01-R12): search rows, inverted index, BM25, vectors, fusion, evaluation."""
 
 from __future__ import annotations
 
@@ -21,18 +18,10 @@ from tallystone.sources.scratch import written
 K1, B, IDF_FLOOR, RRF = 1.2, 0.75, 1e-6, 60
 QUERY_BLOCK = 256
 #: Queries that are broadcast, whole or in blocks; more of them are shuffled. Vectors of a block.
-BROADCAST_QUERIES, VECTOR_BLOCK = 10_000, 2048
+BROADCAST_QUERIES, VECTOR_BLOCK, QUERY_STRIPE = 10_000, 2048, 16
 TIME_FIELDS = ["updated_at", "resolved_at", "recorded_at", "opened_at", "created_at", "asserted_at", "linked_at", "captured_at"]
 
 
-def packed(queries: DataFrame, columns: list[str]) -> DataFrame:
-    """(queries): blocks of the query set as arrays, each of a bounded number of rows."""
-    n = queries.count()
-    block = F.pmod(F.xxhash64(columns[0]), F.lit(max(1, -(-n // QUERY_BLOCK))))
-    blocks = queries.groupBy(block.alias("b")).agg(F.collect_list(F.struct(*columns)).alias("queries")).select("queries")
-    return F.broadcast(blocks) if n <= BROADCAST_QUERIES else blocks
-
-
 def top(scored: DataFrame, k: int, group: str = "query_id", item: str = "document_id") -> DataFrame:
     """The k best of each group by score, ties by id, with rank from 1."""
     w = Window.partitionBy(group).orderBy(F.desc("score"), item)
@@ -98,14 +87,41 @@ def bm25_search(queries: DataFrame, index: DataFrame, documents: DataFrame, limi
     return top(per, limit).select("query_id", "rank", "document_id", "score")
 
 
+def _grams(text: Column) -> Column:
+    """The distinct runs of one, two and three characters of a text."""
+
+    def runs(chars: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(chars, i), F.lit(""))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: F.array(at(i), F.concat(at(i), at(i + 1)), F.concat(at(i), at(i + 1), at(i + 2)))))
+
+    return F.array_distinct(F.get(F.transform(F.array(F.split(text, "")), runs), F.lit(0)))
+
+
+def term_hits(terms: DataFrame, rows: DataFrame, hays: list[str], few: bool, value=lambda hay, term: F.contains(hay, term)) -> DataFrame:
+    """(id, term, value of each hay) for the terms that any text of a row holds as substrings. rows: id, the texts `hays`; terms: term, distinct.
+
+    Texts meet terms by the terms' first three characters (or all two, or the one), so a text is compared with few terms. few: whether the terms may be broadcast.
+    """
+    gram = terms.withColumn("gram", F.substring("term", 1, 3))
+    gram = F.broadcast(gram) if few else gram
+    keyed = written(rows.select("id", *hays).withColumn("row_key", F.xxhash64("id", *hays)), "term-rows")
+    nominated = keyed.select("row_key", F.explode(_grams(F.concat_ws("\n", *hays))).alias("gram")).join(gram, "gram").select("row_key", "term").distinct()
+    tested = nominated.join(keyed.dropDuplicates(["row_key"]), "row_key")
+    held = F.exists(F.array(*hays), lambda h: F.contains(h, F.col("term")))
+    return tested.where(held).select("id", "term", *[value(F.col(h), F.col("term")).cast("long").alias(h) for h in hays])
+
+
 def term_count_search(queries: DataFrame, documents: DataFrame, limit: int = 20) -> DataFrame:
-    """Documents with any term of a query as a substring, by the number of such occurrences (without overlaps)."""
-    blocks = packed(queries.select("query_id", query_terms(F.col("query")).alias("terms")), ["query_id", "terms"])
-    hay = F.lower(F.concat_ws("\n", "title", "body"))
-    count = lambda t: (F.length(F.col("hay")) - F.length(F.replace(F.col("hay"), t, F.lit("")))) / F.length(t)
-    total = lambda q: F.aggregate(F.transform(q["terms"], lambda t: count(t)), F.lit(0.0), lambda a, x: a + x)
-    scored = documents.select("document_id", hay.alias("hay")).crossJoin(blocks).select("document_id", F.explode(F.transform("queries", lambda q: F.struct(q["query_id"].alias("query_id"), total(q).alias("score")))).alias("s"))
-    return top(scored.select("document_id", "s.*").where("score > 0"), limit).select("query_id", "rank", "document_id", "score")
+    """Documents with any term of a query as a substring, by the number of such occurrences (without overlaps).
+
+    Texts meet terms by their first characters; a term's occurrences are counted once per text, whatever queries ask for it.
+    """
+    asked = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))
+    rows = documents.select(F.col("document_id").alias("id"), F.lower(F.concat_ws("\n", "title", "body")).alias("hay"))
+    count = lambda hay, term: (F.length(hay) - F.length(F.replace(hay, term, F.lit("")))) / F.length(term)
+    hits = term_hits(asked.select("term").distinct(), rows, ["hay"], queries.count() <= BROADCAST_QUERIES, count)
+    scored = hits.join(asked, "term").groupBy("query_id", F.col("id").alias("document_id")).agg(F.sum("hay").cast("double").alias("score"))
+    return top(scored, limit).select("query_id", "rank", "document_id", "score")
 
 
 def _nearest(k: int):
@@ -133,19 +149,22 @@ def _nearest(k: int):
 def vector_search(queries: DataFrame, embeddings: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, document_id, score): the k most similar vectors by cosine, others than the query's own id. Zero or null vectors match nothing.
 
-    Blocks of queries meet blocks of vectors of the same length; only the best k of each meeting are shuffled.
+    Blocks of queries and of vectors of one length form a grid, whose cells are dealt to tasks one by one; a cell has up to QUERY_STRIPE blocks of queries and one of vectors. Only the best k of each meeting are shuffled.
     """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
     def blocks(df: DataFrame, key: str, size: int, ids: str, data: str) -> DataFrame:
         unit = df.where("embedding is not null").select(F.col(key).cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v")).withColumn("n", norm(F.col("v"))).where("n > 0")
-        unit = unit.select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
-        n = unit.count()
-        packed_rows = unit.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // size)))).alias("b")).applyInArrow(_packed(ids, data), f"dim int, {ids} array<string>, {data} binary")
+        unit = unit.select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"), F.size("v").alias("dim"))
+        parts = unit.groupBy("dim").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+        packed_rows = unit.join(parts, "dim").withColumn("b", F.pmod(F.xxhash64("id"), "parts").cast("int")).groupBy("dim", "b").applyInArrow(_packed(ids, data), f"dim int, b int, {ids} array<string>, {data} binary")
         return written(packed_rows, "vector-blocks")
 
     asked, given = blocks(queries, "query_id", QUERY_BLOCK, "query_ids", "queries"), blocks(embeddings, "document_id", VECTOR_BLOCK, "document_ids", "vectors")
-    met = given.join(asked, "dim").select("query_ids", "queries", "document_ids", "vectors")
+    ends = lambda df, name: df.groupBy("dim").agg(F.max("b").alias(name))
+    columns = asked.join(ends(given, "last"), "dim").withColumns({"j": F.explode(F.sequence(F.lit(0), F.col("last"))), "i": F.floor(F.col("b") / QUERY_STRIPE).cast("int")})
+    stripes = given.join(ends(asked, "last"), "dim").withColumns({"i": F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / QUERY_STRIPE).cast("int"))), "j": F.col("b")})
+    met = stripes.drop("b", "last").join(columns.drop("b", "last"), ["dim", "i", "j"]).select("query_ids", "queries", "document_ids", "vectors")
     return top(met.mapInArrow(_nearest(k), "query_id string, document_id string, score double"), k).select("query_id", "rank", "document_id", "score")
 
 
@@ -154,7 +173,7 @@ def _packed(ids: str, data: str):
         v = table.column("v").combine_chunks()
         raw = np.asarray(v.flatten(), np.float64).tobytes()
         dim = len(v[0]) if len(v) else 0
-        return pa.table({"dim": pa.array([dim], pa.int32()), ids: pa.array([table.column("id").to_pylist()], pa.list_(pa.string())), data: pa.array([raw], pa.binary())})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "b": table.column("b").slice(0, 1).combine_chunks(), ids: pa.array([table.column("id").to_pylist()], pa.list_(pa.string())), data: pa.array([raw], pa.binary())})
 
     return pack
 

@@ -5,8 +5,9 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallystone.operators import claims, intervals, prefix
+from tallystone.operators import claims, intervals, ledger, prefix
 from tallystone.plans.derive import registry
 
 SCHEMA = """claim_id string, subject_id string, subject_type string, predicate string, object_kind string, object_value string, object_type string, polarity string, component string,
@@ -57,3 +58,41 @@ def test_places_in_one_long_order(spark):
     df = spark.createDataFrame([(v, str(v)) for v in values], "v int, name string").repartition(5)
     assert [(r["place"], r["v"]) for r in prefix.numbered(df, ["v"], "place").orderBy("place").collect()] == list(enumerate(sorted(values)))
     assert prefix.numbered(df.where("v < 0"), ["v"], "place").count() == 0
+
+
+@pytest.mark.parametrize("keys", [1, 30])
+def test_looking_back_over_ranges(spark, keys):
+    draw = random.Random(keys)
+    rows = [(draw.choice([None, *range(keys)]), k, draw.choice([None, "a", "b"])) for k in range(2_000)]
+    df = spark.createDataFrame(rows, "k int, at long, v string").repartition(5)
+    told = prefix.last_before(df, "k", "at", F.col("v"), "prior", "n")
+    assert told.columns == ["k", "at", "v", "prior", "n"]
+    got = {r["at"]: (r["prior"], r["n"]) for r in told.collect()}
+    last, n, want = {}, {}, {}
+    for k, at, v in rows:
+        n[k] = n.get(k, 0) + 1
+        want[at] = last.get(k), n[k]
+        last[k] = v if v is not None else last.get(k)
+    assert got == want
+
+
+def test_one_long_log_is_checked_by_all_tasks(spark):
+    """Rejected receipts of one log keep its head; every eighth doesn't."""
+    head = lambda k: F.concat(F.lit("h"), F.floor(k / 10).cast("string"))
+    k = F.col("id")
+    receipts = spark.range(100_000).select(F.lit("log").alias("log"), k.alias("receipt_id"), F.when(k % 10 == 0, "COMMITTED").otherwise("VALIDATION_ERROR").alias("outcome"), F.when(k % 8 == 3, "x").otherwise(head(k)).alias("head_before"), head(k).alias("head_after"))
+    assert ledger.rejected_head_check(receipts, "log").count() == sum(i % 8 == 3 and i % 10 != 0 for i in range(100_000))
+    told = prefix.last_before(receipts, "log", "receipt_id", F.col("head_after"), "prior")
+    assert max(r["count"] for r in told.groupBy(F.spark_partition_id()).count().collect()) < 60_000
+
+
+def test_history_index_walks_json(spark):
+    docs = [
+        '{ "claim_id" : "c1", "deep": [ {"a": {"object_id": "o\\u00e91"}}, ["x", {"id": "i1"}] ], "id": 7, "evidence_ids": ["no"], "identity": "no" }',
+        '{"versions": {"id": "hidden", "deep": {"claim_id": "hidden"}}, "next": {"versions": [{"id": "hidden"}], "x_id": "say \\"id\\":\\"no\\""}, "id": null}',
+        "not json", None, "[]", '"id"', '[{"id": "i1"}, {"id": "i1"}, {"id": ""}]',
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "seq int, document string")
+    got = sorted((r["seq"], r["object_id"]) for r in ledger.history_index(df).collect())
+    assert got == [(0, "c1"), (0, "i1"), (0, "oé1"), (1, 'say "id":"no"'), (6, ""), (6, "i1")]
+    assert ledger.history_index(df.where("seq > 99")).count() == 0
