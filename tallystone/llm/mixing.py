@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.llm.common import words_column, written
+from tallystone.operators.prefix import last_before
 
 #: Constraints are summed in whole units of this part of a word, so that sums don't depend on their order.
 UNIT = 1 << 16
@@ -106,6 +107,17 @@ def _numbered(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"], docs["source"].alias("source"), F.size(words_column(docs["text"])).cast("long").alias("size"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"), *more)
 
 
+def _spread_copies(rated: DataFrame) -> DataFrame:
+    """rated, where more than a block of rows that are alike in source, id and text fill blocks of their own, BLOCK rows each."""
+    alike = F.xxhash64("sh", "key")
+    many = written(rated.groupBy(alike.alias("like")).count().where(F.col("count") > BLOCK).select("like"), "mix-copies")
+    if many.limit(1).count() == 0:
+        return rated
+    told = rated.withColumn("like", alike).join(F.broadcast(many), "like", "left_semi").select("like", "rid")  # a BLOCK-th of the rows at most
+    numbered = last_before(told, "like", "rid", F.lit(None).cast("long"), "none", "n").select("rid", F.xxhash64("like", F.floor((F.col("n") - 1) / BLOCK)).alias("own"))
+    return rated.join(numbered, "rid", "left").withColumn("block", F.coalesce("own", "block")).drop("own")
+
+
 def _copies(sized: DataFrame, weights: list[float] | None, cap: float) -> DataFrame:
     """(rid, doc_id, size, source_size, target, copies) of every numbered row."""
     weights = weights or [1.0, 2.0, 3.0]
@@ -120,6 +132,7 @@ def _copies(sized: DataFrame, weights: list[float] | None, cap: float) -> DataFr
     lam = F.col("lam")
     rate = F.when(lam == math.inf, float(cap)).when(lam == -math.inf, 0.0).otherwise(F.round(_rate(lam, F.col("size"), F.col("mean"), cap), 9))
     rated = joined.select("rid", "key", "doc_id", "size", "source_size", "target", rate.alias("rate"), F.xxhash64("s").alias("sh"), F.pmod("key", "blocks").alias("block"))
+    rated = _spread_copies(rated)
     copies = rated.select("rid", "key", "size", "rate", "sh", "block").groupBy("sh", "block").applyInPandas(_round_block, "rid long, copies long")
     return rated.select("rid", "doc_id", "size", "source_size", "target").join(copies, "rid")
 

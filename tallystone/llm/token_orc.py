@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallystone.llm.common import new_path, partitions, slices
@@ -128,6 +128,11 @@ def encoder_of(tokenizer_path: str) -> Encoder:
     return Encoder(tokenizer_path)
 
 
+def starts_path(path: str) -> str:
+    """The table of (part, begin) that belongs to the token table at path."""
+    return path.rstrip("/") + "-starts"
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, parts: int | None = None, stripe_bytes: int = 16 << 20, fpp: float = 0.01) -> None:
     """Writes (doc_id, part, part_row, part_start, n_tokens, tokens) of every row of docs, in ascending doc_id order.
 
@@ -151,20 +156,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     encoded = ordered.mapInArrow(encode, ENCODED)
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(fpp), "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_bytes)}
     encoded.write.options(**options).orc(path)
+    # where each part begins, beside the table: one small row per part, so that a lookup reads no counts of other parts
+    spark = docs.sparkSession
+    sums = spark.read.schema(ENCODED).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("begin")).coalesce(1).write.parquet(starts_path(path))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, tokens): start counts the ids of all documents before this one.
-
-    The starts of the parts come from the counts alone: one small row per part.
-    """
+    """(doc_id, start, n_tokens, tokens): start counts the ids of all documents before this one, by the parts' starts that were written with the table."""
+    begin = spark.read.schema("part int, begin long").parquet(starts_path(path))
     table = spark.read.schema(ENCODED).orc(path)
-    sums = table.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row per part file
-    starts, at = [], 0
-    for r in sums:
-        starts.append((r["part"], at))
-        at += r["n"]
-    begin = spark.createDataFrame(starts, "part int, begin long")
     return table.join(F.broadcast(begin), "part").select("doc_id", (F.col("begin") + F.col("part_start")).alias("start"), "n_tokens", "tokens")
 
 

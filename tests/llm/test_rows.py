@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tallystone.llm import decontam, near_dup, phrase_dedup, queries
+from tallystone.llm import decontam, mixing, near_dup, phrase_dedup, queries, token_orc
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, id int, row string"
@@ -200,3 +200,37 @@ def test_pipeline_against_brute_force(spark, small):
         for r in sorted(got[i], key=lambda r: r["start"]):
             assert tuple(r) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
             start += len(ids)
+
+
+def test_many_equal_rows_fill_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 50)
+    rows = [(None, None, "a")] * 400 + [(7, "the same few words", "a")] * 700 + [(k, f"{k} words of text", "b") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sized = mixing.written(mixing._numbered(docs), "sizes")
+    rated = sized.select("*", F.xxhash64("source").alias("sh"), F.pmod("key", F.lit(3)).alias("block"))
+    spread = mixing._spread_copies(rated)
+    assert spread.count() == len(rows)
+    most = {r["source"]: r["n"] for r in spread.groupBy("source", "sh", "block").agg(F.count("*").alias("n")).groupBy("source").agg(F.max("n").alias("n")).collect()}
+    assert most["a"] <= 50 and most["b"] <= 90
+    tell = lambda: sorted(map(repr, (tuple(r) for r in mixing.mix(docs).collect())))
+    first = tell()
+    assert len(first) == len(rows) and tell() == first
+
+
+def test_lookup_reads_only_row_groups_that_can_hold_the_ids(spark, tmp_path):
+    docs = spark.range(8_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    path = str(tmp_path / "tokens")
+    token_orc.write_tokens(docs, path, queries.tokenizer_file(), parts=2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = token_orc.lookup(spark, path, [5, 7_999])
+        rows = found.collect()
+        leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+        read = [leaves.apply(k).metrics().get("numOutputRows").get().value() for k in range(leaves.length())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(r["doc_id"] for r in rows) == [5, 7_999]
+    whole = {r["doc_id"]: r["start"] for r in token_orc.read_tokens(spark, path).collect()}
+    assert all(r["start"] == whole[r["doc_id"]] for r in rows)
+    # of the token table one row group of a thousand rows in each part, of the starts one row per part
+    assert max(read) <= 2_000 and sorted(read)[0] == 2, read
