@@ -21,6 +21,8 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Rows of a key that make it frequent, and rows of ids or keys that are broadcast at most.
 HOT_ROWS, BROADCAST_ROWS = 1000, 1_000_000
+#: Rows of a few numbers each that one task can join whole, so that no key of theirs needs to be spread.
+FEW_ROWS = 100_000
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
 
@@ -29,13 +31,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], few: int = 0) -> DataFrame:
     """The inner join of a written table with a table of one row per key, where no task gets all rows of a frequent key.
 
-    Keys of more than HOT_ROWS rows of big meet their rows where these are read. There are at most BROADCAST_ROWS such keys, as the bound
+    A table of at most `few` rows has no such key. Else keys of more than HOT_ROWS rows of big meet their rows where these are read. There are at most BROADCAST_ROWS such keys, as the bound
     rises with the table, so what is broadcast is bounded; all other keys are shuffled.
     """
-    most = max(HOT_ROWS, big.count() // BROADCAST_ROWS)
+    n = big.count()
+    if n <= few:
+        return big.join(small, keys)
+    most = max(HOT_ROWS, n // BROADCAST_ROWS)
     hot = written(big.groupBy(*keys).count().where(F.col("count") > most).select(*keys), "hot-keys")
     if hot.limit(1).count() == 0:
         return big.join(small, keys)

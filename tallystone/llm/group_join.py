@@ -2,15 +2,15 @@
 
 Sets that are similar go to one group; the matrix says which tokens the union of each group's sets holds. A set can only be similar to a member of a group whose union
 shares enough tokens with it, so the count of shared tokens bounds the similarity to all members at once, and only groups that reach the bound are
-opened, where sets are compared exactly.
+opened: there the shingles that a set shares with the union of the group's bound it once more, and the sets left are compared exactly.
 
 The matrix is kept small by its tokens: a set's shingles are dealt to k parts by their hash, and the content of a part is a token. Similar sets differ in a bounded
 number of shingles, d, so at least k - d of their tokens agree. Dissimilar sets hardly share any, even if they have long passages in common. k
 follows the sets' sizes, which are cut into bands so wide that similar sets lie in one band or in neighbouring ones; a set asks with the tokens of its own band's k and is
 found by those of its own and the next band's.
 
-Copies of one set are one from the start. Pairs within a group are compared first, then one centre of each group asks the others, then all other sets; what is
-joined by then is not compared again. So a group of copies is not expanded into all its pairs, and no bucket is capped.
+Copies of one set are one from the start. A group is led by the token that most sets share. Pairs within a group are compared first, then the centre of each group, which shares most tokens with its members, asks all other groups,
+then all other sets ask the groups that share enough tokens with their own group; what is joined by then is not compared again. So a group of copies is not expanded into all its pairs, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import BROADCAST_ROWS, mix, owners, partitions, rolling, slices, split_words, spread_join, word_hashes, written
+from tallystone.llm.common import BROADCAST_ROWS, FEW_ROWS, mix, owners, partitions, rolling, slices, split_words, spread_join, word_hashes, written
 from tallystone.llm.near_dup import components
 
 #: Members of a group, and shingles of its sets (one set at least).
-GROUP, GROUP_SHINGLES = 256, 1 << 21
+GROUP, GROUP_SHINGLES = 1024, 1 << 21
+#: Sets that a task remembers to have made.
+SEEN = 1 << 20
 #: Smallest hashes of a set that tell which sets are kept together.
 LOWS = 4
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
@@ -131,23 +133,31 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(n: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Most copies within a task are passed on once."""
+        seen: set[tuple[int, int]] = set()
         for whole in batches:
             for batch in slices(whole, "text"):
                 grams, ends = shingle_sets(batch.column("text"), n)
-                begins = np.concatenate(([0], ends[:-1]))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, _prints(grams, ends)), pa.array(ends - begins), pa.array([grams[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())], ["p1", "p2", "n", "elements"])
+                begins, prints, fresh = np.concatenate(([0], ends[:-1])), _prints(grams, ends), []
+                for k, own in enumerate(zip(*(p.tolist() for p in prints), strict=True)):
+                    if own not in seen:
+                        fresh.append(k)
+                        seen.add(own)
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([*(pa.array(p[fresh]) for p in prints), pa.array((ends - begins)[fresh]), pa.array([grams[begins[k] : ends[k]].tobytes() for k in fresh], pa.binary())], ["p1", "p2", "n", "elements"])
 
     return sets
 
 
 def _cut_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets sorted by band and smallest hashes become groups: a new one where band or smallest hash change, or where it would be too large."""
+    """Sets sorted by band, leading token and smallest hashes become groups: a new one where band or token change, or where it would be too large."""
     group, last, members, shingles = TaskContext.get().partitionId() << 33, None, 0, 0
     for batch in batches:
         out = np.empty(batch.num_rows, np.int64)
-        for k, (band, low, n) in enumerate(zip(batch.column("band").to_pylist(), batch.column("low").to_pylist(), batch.column("n").to_pylist(), strict=True)):
-            if (band, low[:8]) != last or members >= GROUP or shingles + n > GROUP_SHINGLES:
-                group, last, members, shingles = group + 1, (band, low[:8]), 0, 0
+        for k, (band, lead, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("band", "lead", "n")), strict=True)):
+            if (band, lead) != last or members >= GROUP or shingles + n > GROUP_SHINGLES:
+                group, last, members, shingles = group + 1, (band, lead), 0, 0
             members, shingles = members + 1, shingles + n
             out[k] = group
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out)], ["rep", "group"])
@@ -186,24 +196,56 @@ def _links(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _within(percent: int):
+def _linked_within(rep: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links within a group; sets that a link has joined are not compared again."""
+    given, root, pairs = Postings(sets), np.arange(len(rep)), []
+    for x in range(len(rep)):
+        if (root == root[x]).all():
+            break
+        common = given.common(given.held(sets[x]))
+        similar = 100 * common >= percent * (given.sizes + len(sets[x]) - common)
+        for y in np.flatnonzero(similar & (root != root[x])):
+            if root[y] != root[x]:
+                pairs.append((rep[x], rep[y]))
+                root[root == root[y]] = root[x]
+    return pairs
 
-    def within(group: pa.Table) -> pa.Table:
-        rep, sets = np.asarray(group.column("rep")), _read(group.column("elements"))
-        given, root, pairs = Postings(sets), np.arange(len(rep)), []
-        for x in range(len(rep)):
-            if (root == root[x]).all():
+
+def _within(percent: int):
+    """Of rows sorted by (group, rep): the links within each group, and each set once, for the steps to come."""
+
+    def told(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        group, rep = np.asarray(batch.column("group")), np.asarray(batch.column("rep"))
+        once = np.ones(len(rep), bool)
+        once[1:] = (rep[1:] != rep[:-1]) | (group[1:] != group[:-1])
+        batch = batch.filter(pa.array(once))
+        group, rep, pairs = group[once], rep[once], []
+        heads = np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), len(group))
+        for a, b in zip(heads[:-1], heads[1:], strict=True):
+            if b - a > 1:
+                pairs += _linked_within(rep[a:b], _read(batch.column("elements").slice(a, b - a)), percent)
+        none = pa.nulls(len(rep), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, batch.column("rep"), batch.column("elements")], ["a", "b", "rep", "elements"])
+        links = np.array(pairs, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1]), pa.nulls(len(links), pa.int64()), pa.nulls(len(links), pa.binary())], ["a", "b", "rep", "elements"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A group that a batch cuts off is carried into the next one."""
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            common = given.common(given.held(sets[x]))
-            similar = 100 * common >= percent * (given.sizes + len(sets[x]) - common)
-            for y in np.flatnonzero(similar & (root != root[x])):
-                if root[y] != root[x]:
-                    pairs.append((rep[x], rep[y]))
-                    root[root == root[y]] = root[x]
-        return _links(pairs)
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            group = np.asarray(batch.column("group"))
+            last = int(np.searchsorted(group, group[-1]))
+            if last:
+                yield from told(batch.slice(0, last))
+            rest = batch.slice(last)
+        if rest is not None:
+            yield from told(rest)
 
-    return within
+    return stream
 
 
 def _across(percent: int):
@@ -236,13 +278,37 @@ def _with_roots(df: DataFrame, roots: DataFrame | None) -> DataFrame:
     return df.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
 
+def _centres(tokens: DataFrame, members: DataFrame) -> DataFrame:
+    """(group, centre): the member whose tokens are those of most other members."""
+    own = tokens.where("asks").join(members.select("rep", "group"), "rep").select("group", "key", "rep")
+    many = own.groupBy("group", "key").agg(F.count("*").alias("holders"))
+    held = own.join(many, ["group", "key"]).groupBy("group", "rep").agg(F.sum("holders").alias("held"))
+    held = members.select("group", "rep").join(held, ["group", "rep"], "left")
+    return held.groupBy("group").agg(F.max_by("rep", F.struct(F.coalesce("held", F.lit(0)), F.xxhash64("rep"))).alias("centre"))
+
+
+def _meeting(tokens: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(rep, group) of the sets of each group and the earlier groups, of its band or the one below, whose tokens their own group shares often enough for any two of their sets to be similar. Groups joined to each other are left out."""
+    named = tokens.join(members.select("rep", "group"), "rep").select("key", "group", "asks")
+    stats = members.groupBy("group").agg(F.first("band").alias("band"), F.first("parts").alias("parts"), F.max(F.least("gaps", F.lit(1))).alias("gaps"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    side = lambda df, x: df.select(*[F.col(c) if c == "key" else F.col(c).alias(c + x) for c in df.columns])
+    asked = side(named.where("asks").select("key", "group").distinct().join(stats, "group"), "1")
+    given = side(named.select("key", "group").distinct().join(stats, "group"), "2")
+    met = asked.join(given, "key").where("band2 < band1 or band2 = band1 and group2 < group1").where((F.col("r01") != F.col("r02")) | (F.col("r01") != F.col("r11")) | (F.col("r02") != F.col("r12")))
+    met = met.where((100 * F.col("hi2") >= percent * F.col("lo1")) & (F.col("lo2") <= F.floor(100 * F.col("hi1") / percent)))
+    shared = met.groupBy("group1", "group2").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("hi1", "hi2", "parts1", "gaps1")])
+    differ = F.floor((F.col("hi1") + F.least("hi2", F.floor(100 * F.col("hi1") / percent))) * (100 - percent) / (100 + percent))
+    pairs = shared.where(F.col("shared") >= F.col("parts1") - differ - F.col("gaps1")).select(F.col("group1").alias("asker"), F.col("group2").alias("group"))
+    return pairs.join(members.select("rep", F.col("group").alias("asker")), "asker").select("rep", "group")
+
+
 def _qualifying(asking: DataFrame, tokens: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(rep, group) of the asking sets and the groups of other sets whose tokens they share often enough; members has a root, and groups that are joined to the set are left out."""
     groups = members.groupBy("group").agg(F.first("band").alias("g_band"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     matrix = tokens.join(members.select("rep", "group"), "rep").select("key", F.col("group")).distinct().join(groups, "group")
     asked = tokens.where("asks").select("rep", "key").join(asking.select("rep", "n", "parts", "gaps", "band", F.col("group").alias("own"), "root"), "rep")
     reach: Column = F.floor(100 * F.col("n") / percent)
-    met = asked.join(matrix, "key").where((F.col("g_band") < F.col("band")) | ((F.col("g_band") == F.col("band")) & (F.col("group") < F.col("own"))))
+    met = asked.join(matrix, "key").where((F.col("g_band") < F.col("band")) | ((F.col("g_band") == F.col("band")) & (F.col("group") != F.col("own"))))
     met = met.where((F.col("lo") <= reach) & (100 * F.col("hi") >= percent * F.col("n")) & ((F.col("r0") != F.col("r1")) | (F.col("r0") != F.col("root"))))
     shared = met.groupBy("rep", "group").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("hi").alias("hi"), F.first("parts").alias("parts"), F.first("gaps").alias("gaps"))
     differ = F.floor((F.col("n") + F.least("hi", F.floor(100 * F.col("n") / percent))) * (100 - percent) / (100 + percent))
@@ -255,7 +321,8 @@ def _open_groups(met: DataFrame, members: DataFrame, sets: DataFrame, percent: i
     blocks = met.groupBy("group").agg(F.ceil(F.greatest(F.sum("n") / GROUP_SHINGLES, F.count("*") / (4 * GROUP))).cast("int").alias("blocks"))
     asking = met.join(blocks, "group").select("group", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "rep", "root", F.lit(True).alias("asks"))
     given = members.join(blocks, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "root", F.lit(False).alias("asks"))
-    rows = asking.unionByName(given).join(sets.select("rep", "elements"), "rep")
+    rows = written(asking.unionByName(given), "group-asked")
+    rows = sets.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "rep")
     return rows.groupBy("group", "block").applyInArrow(_across(percent), "a long, b long").distinct()
 
 
@@ -274,39 +341,45 @@ def linked(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     distinct = signed.where("parts > 0 or length(next) > 0").join(F.broadcast(one) if one.count() <= BROADCAST_ROWS else one, "rid", "left_semi")
     tokens = written(distinct.select("rid", "own", "next").mapInArrow(_explode, "rep long, key long, asks boolean"), "group-tokens")
     shared = tokens.groupBy("key").agg(F.count("*").alias("sets"), F.max("asks").alias("asked")).where("sets > 1 and asked").select("key")
-    tokens = written(spread_join(tokens, shared, ["key"]), "group-shared")
+    shared = written(shared, "group-keys")
+    tokens = written(tokens.join(F.broadcast(shared), "key") if shared.count() <= BROADCAST_ROWS else spread_join(tokens, shared, ["key"], FEW_ROWS), "group-shared")
     open_ = written(tokens.select("rep").distinct(), "group-open")
     few = open_.count() <= BROADCAST_ROWS
     small = F.broadcast(open_) if few else open_
 
-    # sets that share a token: sorted into groups, and their shingles made again
+    # sets that share a token: sorted into groups by the token that most sets share, and their shingles made again
+    holders = written(tokens.groupBy("key").agg(F.count("*").alias("sets")), "group-holders")
+    lead = spread_join(tokens, holders, ["key"], FEW_ROWS).groupBy("rep").agg(F.max_by("key", F.struct("sets", "key")).alias("lead"))
     light = signed.select(F.col("rid").alias("rep"), "doc_id", *same, "band", "parts", "gaps", "low").join(small, "rep", "left_semi")
-    light = written(light, "group-light")
+    light = written(light.join(lead, "rep"), "group-light")
     part = lambda k: F.substring("low", 8 * k + 1, 8)
-    order = ["band", *[part(k) for k in range(LOWS)], "rep"]
-    grouped = light.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("rep", "band", "low", "n").mapInArrow(_cut_groups, "rep long, group long")
-    members = written(light.drop("low", "doc_id").join(written(grouped, "group-cut"), "rep"), "group-members")
+    order = ["band", "lead", *[part(k) for k in range(LOWS)], "rep"]
+    grouped = light.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("rep", "band", "lead", "n").mapInArrow(_cut_groups, "rep long, group long")
+    members = written(light.drop("low", "lead", "doc_id").join(written(grouped, "group-cut"), "rep"), "group-members")
     ids = light.select(F.col("doc_id").alias("id")).distinct()
     texts = rows.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = texts.where("text is not null").select("text").mapInArrow(_sets(shingle), "p1 long, p2 long, n long, elements binary")
-    sets = written(sets.join(light.select("rep", *same), same).select("rep", "elements").dropDuplicates(["rep"]), "group-sets")
+    made = texts.where("text is not null").select("text").mapInArrow(_sets(shingle), "p1 long, p2 long, n long, elements binary")
+    told = members.select("group", "rep", *same)
+    placed = made.join(F.broadcast(told) if few else told, same).select("group", "rep", "elements")
+    dealt = placed.repartition(partitions(docs.sparkSession), "group").sortWithinPartitions("group", "rep")
+    within = written(dealt.mapInArrow(_within(percent), "a long, b long, rep long, elements binary"), "group-sets")
+    sets, links = within.where("rep is not null").select("rep", "elements"), within.where("a is not null").select("a", "b")
 
-    crowd = members.groupBy("group").count().where("count > 1").select("group")
-    within = members.join(crowd, "group", "left_semi").select("group", "rep").join(sets, "rep").groupBy("group").applyInArrow(_within(percent), "a long, b long")
-    links = written(within, "group-links")
     roots = components(links) if links.limit(1).count() else None
-    centre = F.col("rep") == F.col("centre")
-    centres = members.groupBy("group").agg(F.min_by("rep", F.xxhash64("rep")).alias("centre"))
-    for asks in (centre, ~centre):
+    centres = written(_centres(tokens, members), "group-centres")
+    for only_centres in (True, False):
         now = written(_with_roots(members, roots), "group-rooted")
-        asking = now.join(centres, "group").where(asks).drop("centre")
-        found = written(_open_groups(_qualifying(asking, tokens, now, percent), now, sets, percent), "group-links")
+        if only_centres:
+            met = _qualifying(now.join(centres, "group").where("rep = centre").drop("centre"), tokens, now, percent)
+        else:
+            met = _meeting(tokens, now, percent).join(centres.select(F.col("centre").alias("rep")), "rep", "left_anti")
+        found = written(_open_groups(met, now, sets, percent), "group-links")
         if found.limit(1).count():
             links = links.union(found)
             roots = components(links)
 
     named = written(_with_roots(reps, roots), "group-named")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(spread_join(named, least, ["root"]).select(*same, "component_id"), "group-named")
-    out = spread_join(signed.where("n > 0").select("doc_id", *same), named, same).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = written(spread_join(named, least, ["root"], FEW_ROWS).select(*same, "component_id"), "group-named")
+    out = spread_join(signed.where("n > 0").select("doc_id", *same), named, same, FEW_ROWS).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

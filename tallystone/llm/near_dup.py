@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import BROADCAST_ROWS, mix, owners, rolling, slices, split_words, spread_join, word_hashes, written
+from tallystone.llm.common import BROADCAST_ROWS, FEW_ROWS, mix, owners, rolling, slices, split_words, spread_join, word_hashes, written
 
 BANDS, ROWS = 40, 6
 #: Members of a bucket that are compared at once.
@@ -204,10 +204,10 @@ def components(links: DataFrame) -> DataFrame:
         seen = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         now = written(roots.join(seen, "node").select("node", "root", F.least("root", "near").alias("near")), "roots")
         hooks = now.groupBy(F.col("root").alias("at")).agg(F.min("near").alias("to"))
-        new = written(spread_join(now, hooks.withColumnRenamed("at", "root"), ["root"]).select("node", F.least("near", "to").alias("root")), "roots")
+        new = written(spread_join(now, hooks.withColumnRenamed("at", "root"), ["root"], FEW_ROWS).select("node", F.least("near", "to").alias("root")), "roots")
         # a root is a node that has links, so it has a root itself
         jump = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        new = written(spread_join(new, jump, ["root"]).select("node", F.least("root", "to").alias("root")), "roots")
+        new = written(spread_join(new, jump, ["root"], FEW_ROWS).select("node", F.least("root", "to").alias("root")), "roots")
         moved = new.join(roots.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
         roots = new
         if not moved:
@@ -239,7 +239,7 @@ def _classes(docs: DataFrame, shingle: int, threshold: float, bands: int, rows:
     distinct = signed.join(F.broadcast(real) if real.count() <= BROADCAST_ROWS else real, "rid", "left_semi").select(F.col("rid").alias("rep"), "doc_id", *same, "darts")
     buckets = written(distinct.select("rep", "darts").mapInArrow(_bands(rows), "rep long, band int, key long"), "near-bands")
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1").select("band", "key")
-    open_ = written(spread_join(buckets, shared, ["band", "key"]), "near-buckets")
+    open_ = written(spread_join(buckets, shared, ["band", "key"], FEW_ROWS), "near-buckets")
     # shingle sets are made again, only for texts that share a bucket
     members = written(distinct.drop("darts").join(open_.select("rep").distinct(), "rep", "left_semi"), "near-members")
     few = members.count() <= BROADCAST_ROWS
@@ -255,7 +255,7 @@ def _classes(docs: DataFrame, shingle: int, threshold: float, bands: int, rows:
         if open_.limit(1).count() == 0:
             break
         centre = written(open_.groupBy("band", "key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("centre")), "near-centres")
-        centred = written(spread_join(open_, centre, ["band", "key"]), "near-centred")
+        centred = written(spread_join(open_, centre, ["band", "key"], FEW_ROWS), "near-centred")
         faced = centred
         if roots is not None:
             named = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
@@ -268,7 +268,7 @@ def _classes(docs: DataFrame, shingle: int, threshold: float, bands: int, rows:
         left = centred.select("rep", "band", "key", "centre").where("rep <> centre").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         left = written(left, "near-left")
         undecided = left.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("band", "key", "members")
-        open_ = written(spread_join(left, undecided, ["band", "key"]).select("rep", "band", "key", "root", "members"), "near-buckets")
+        open_ = written(spread_join(left, undecided, ["band", "key"], FEW_ROWS).select("rep", "band", "key", "root", "members"), "near-buckets")
     if roots is not None and open_.limit(1).count():
         # the rest of the buckets, block against block; 6 standard deviations below the threshold no similar pair is lost
         k = bands * rows
@@ -283,10 +283,10 @@ def _classes(docs: DataFrame, shingle: int, threshold: float, bands: int, rows:
     if roots is not None:
         named = written(named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "near-named")
         least = named.groupBy("root").agg(F.min("first").alias("least"))
-        named = spread_join(named, least, ["root"]).select(*same, F.col("least").alias("first"))
+        named = spread_join(named, least, ["root"], FEW_ROWS).select(*same, F.col("least").alias("first"))
     named = written(named.select(*same, "first"), "near-named")
     own = signed.select("doc_id", "text_hash", *same)
-    every = spread_join(own.where("n > 0"), named, same).unionByName(own.where("n = 0").withColumn("first", first))
+    every = spread_join(own.where("n > 0"), named, same, FEW_ROWS).unionByName(own.where("n = 0").withColumn("first", first))
     return every.select("doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), F.col("n").cast("long").alias("n_shingles"), "first")
 
 
