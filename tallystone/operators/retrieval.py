@@ -81,7 +81,7 @@ def bm25_search(queries: DataFrame, index: DataFrame, documents: DataFrame, limi
     weight = df.join(F.broadcast(total)).select("term", "mean", idf.alias("idf"))
     score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     met = hit.join(small(q.join(small(weight), "term")), "term")
-    per = met.groupBy("query_id", "document_id").agg(F.count("*").alias("met"), F.sum(score).alias("score")).join(n_terms, "query_id").where("met = n_terms")
+    per = met.groupBy("query_id", "document_id").agg(F.count("*").alias("met"), F.round(F.sum(score), 12).alias("score")).join(n_terms, "query_id").where("met = n_terms")
     if kinds:
         per = per.join(documents.where(F.col("kind").isin(kinds)).select("document_id"), "document_id", "left_semi")
     return top(per, limit).select("query_id", "rank", "document_id", "score")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tallystone.operators import context as X
 from tallystone.operators import graph as K
 from tallystone.operators import retrieval as R
+from tallystone.operators import search_index as SI
 from tallystone.plans import view_queries as VQ
 from tallystone.plans.derive import sources, table
-from tallystone.sources.scratch import written
+from tallystone.sources.scratch import new_path, written
 
 
 def documents(s, d):
@@ -39,8 +40,9 @@ vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 
 
 def bm25(s, d, limit=60):
-    docs = documents(s, d)
-    return R.bm25_search(queries(s, d), R.postings(docs), docs, limit)
+    path = new_path(s, "index")
+    SI.build_index(documents(s, d), path)
+    return SI.search(s, path, queries(s, d), limit)
 
 
 def rounded(df):
