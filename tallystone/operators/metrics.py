@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.operators.prefix import last_before
+
 # Weights of the continuity dimensions and penalties, and what the score may be.
 WEIGHTS = {"project_purpose": 10, "decision_and_rationale": 20, "settled_claim_and_evidence_locator": 20, "open_conflict_and_all_members": 25, "open_question": 10, "actionable_work": 15}
 PENALTIES = {"HALLUCINATED_ID": 50, "CONFLICT_SETTLED": 25, "EVIDENCE_MISSING": 25}
@@ -136,8 +138,17 @@ def live_comparison(arms: DataFrame, resources: list[str], clamp: bool = False,
 
 
 def latency_summary(samples: DataFrame) -> DataFrame:
-    """(series, samples, min, median, max, p95 by nearest rank). samples: series, value."""
-    return samples.groupBy("series").agg(F.count("*").alias("samples"), F.min("value").alias("min"), F.median("value").alias("median"), F.max("value").alias("max"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
+    """(series, samples, min, median, max, p95 by nearest rank). samples: series, value; null values are samples without a value.
+
+    Values get their place in their series by ranges of the order, and the few places that count are picked, so a series of any size is dealt over all tasks.
+    """
+    whole = samples.groupBy("series").agg(F.count("*").alias("samples"), F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"))
+    placed = last_before(samples.select("series", "value").where("value is not null"), "series", "value", F.lit(None).cast("long"), "none", "k").select(F.col("series").alias("of"), "value", "k")
+    nearest, low, high = F.ceil(F.col("n") * 95 / 100), F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    picked = placed.join(whole, F.col("of").eqNullSafe(F.col("series"))).where((F.col("k") == nearest) | (F.col("k") == low) | (F.col("k") == high))
+    middle = F.avg(F.when((F.col("k") == low) | (F.col("k") == high), F.col("value")))
+    told = picked.groupBy("of").agg(middle.alias("median"), F.max(F.when(F.col("k") == nearest, F.col("value"))).alias("p95"))
+    return whole.join(told, F.col("of").eqNullSafe(F.col("series")), "left").select("series", "samples", "min", "median", "max", "p95")
 
 
 def skill_rule_check(outputs: DataFrame, rules: DataFrame) -> DataFrame:
