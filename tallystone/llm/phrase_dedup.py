@@ -31,16 +31,20 @@ COMMON, CELLS = 48, 1 << 22
 SHARD = 512
 #: Stands for a null id, as the smallest.
 NO_ID = -(1 << 63)
-#: What tells a document: its id and, for rows that share one or have none, a hash of the text.
+#: What tells a document: its id and, where some rows share one or have none, for those a hash of the text.
 ROW = ["doc_id", "sub"]
 #: A place packs where a passage begins (from bit 32), its words (from bit 1) and whether its part has others elsewhere (bit 0).
-ANCHOR = "anchor long, part long, place long, doc_id long, sub long"
-RECURRING = "route long, place long, doc_id long, sub long"
+ANCHOR = "anchor long, part long, place long"
+RECURRING = "route long, place long"
 #: A run packs its first window (from bit 32) and its last.
-RUNS = "doc_id long, sub long, run long, phrase string"
+RUNS = "run long, phrase string"
 
 
-def _anchors(window: int, gram: int):
+def _longs(names: list[str]) -> str:
+    return "".join(f", {name} long" for name in names)
+
+
+def _anchors(window: int, gram: int, row: list[str]):
     span = window - gram + 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,36 +81,39 @@ def _anchors(window: int, gram: int):
                 seen = np.empty(len(key), np.int64)
                 seen[order], count[order] = np.repeat(before, times), np.repeat(before + times, times)
                 part = np.where((seen + rank < COMMON) | (rank == 0), 0, 1 + ((np.int64(task) << 24) + number) * 256 + rank // 1024)
-                ids, subs = (np.asarray(batch.column(c)) for c in ROW)
                 packed = ((first - begin) << 32) | ((last - first + window) << 1) | (count > COMMON)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(packed), pa.array(ids[doc]), pa.array(subs[doc])], ["anchor", "part", "place", *ROW])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(packed), *(pa.array(np.asarray(batch.column(c))[doc]) for c in row)], ["anchor", "part", "place", *row])
 
     return find
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _recurring(row: list[str]):
     """Of rows sorted by (anchor, part): those in groups of two or more, with a hash of anchor and part as their route to a shard.
 
     Groups at the edges of a batch are passed on as they may go on beyond it.
     """
-    task = TaskContext.get().partitionId()
-    for number, batch in enumerate(batches):
-        if not batch.num_rows:
-            continue
-        anchor, part, place = (np.asarray(batch.column(i)) for i in range(3))
-        hot = (place & 1).astype(bool)
-        head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))))
-        size = np.diff(np.concatenate((head, [len(anchor)])))
-        edge = np.zeros(len(head), bool)
-        edge[[0, -1]] = True
-        many = edge | (part[head] != 0) | np.logical_or.reduceat(hot, head)
-        keep = np.repeat((size > 1) | many, size)
-        group = ((np.int64(task) << 32) + number).repeat(len(anchor)) * 2 + 1
-        many = np.repeat(many, size)
-        part = np.where(many, np.where(part != 0, part * 2, group), 0)
-        route = mix(anchor.astype(np.uint64) ^ mix(part.astype(np.uint64)))
-        place = (place & ~np.int64(1)) | many
-        yield pa.RecordBatch.from_arrays([pa.array(route.astype(np.int64)), pa.array(place), *(batch.column(c) for c in ROW)], ["route", "place", *ROW]).filter(pa.array(keep))
+
+    def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
+            if not batch.num_rows:
+                continue
+            anchor, part, place = (np.asarray(batch.column(i)) for i in range(3))
+            hot = (place & 1).astype(bool)
+            head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))))
+            size = np.diff(np.concatenate((head, [len(anchor)])))
+            edge = np.zeros(len(head), bool)
+            edge[[0, -1]] = True
+            many = edge | (part[head] != 0) | np.logical_or.reduceat(hot, head)
+            keep = np.repeat((size > 1) | many, size)
+            group = ((np.int64(task) << 32) + number).repeat(len(anchor)) * 2 + 1
+            many = np.repeat(many, size)
+            part = np.where(many, np.where(part != 0, part * 2, group), 0)
+            route = mix(anchor.astype(np.uint64) ^ mix(part.astype(np.uint64)))
+            place = (place & ~np.int64(1)) | many
+            yield pa.RecordBatch.from_arrays([pa.array(route.astype(np.int64)), pa.array(place), *(batch.column(c) for c in row)], ["route", "place", *row]).filter(pa.array(keep))
+
+    return recurring
 
 
 def _letters(codes: np.ndarray) -> str:
@@ -114,7 +121,7 @@ def _letters(codes: np.ndarray) -> str:
     return np.where(codes + 1 < 0xD800, codes + 1, codes + 1 + 0x800).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _locate(window: int):
+def _locate(window: int, row: list[str]):
     def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
         import ahocorasick
 
@@ -123,7 +130,8 @@ def _locate(window: int):
         codes, owner = np.asarray(coded.indices).astype(np.int64), owners(offsets)
         hashes = rolling(hash_strings(coded.dictionary)[codes], window)
         starts = np.flatnonzero(owner[: len(codes) - window + 1] == owner[window - 1 :])
-        doc, sub, place = (np.asarray(batch.column(c)) for c in (*ROW, "place"))
+        doc, place = (np.asarray(batch.column(c)) for c in ("doc_id", "place"))
+        sub = np.asarray(batch.column("sub")) if "sub" in row else np.zeros(len(doc), np.int64)
         first, hot = place >> 32, (place & 1).astype(bool)
         letters, late, rows = _letters(codes), np.zeros(len(starts), bool), []
         # confirm: one window of each phrase that recurs here goes into the automaton
@@ -159,7 +167,8 @@ def _locate(window: int):
         phrases = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, window, dtype=np.int32)), words), " ")
         rows.append((where_doc[open_], where_sub[open_], where[open_], where[open_]))
         d, u, a, b = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(u), pa.array((a << 32) | b), pa.concat_arrays([pa.nulls(len(new), pa.string()), phrases])], [*ROW, "run", "phrase"])
+        told = dict(zip(ROW, (d, u), strict=True))
+        return pa.RecordBatch.from_arrays([*(pa.array(told[c]) for c in row), pa.array((a << 32) | b), pa.concat_arrays([pa.nulls(len(new), pa.string()), phrases])], [*row, "run", "phrase"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows are sorted by route: a group that a batch cuts off is carried into the next one."""
@@ -185,16 +194,21 @@ def _locate(window: int):
     return stream
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, sub, text): sub tells rows apart that share an id or have none, by a hash of their text; other rows have 0. All steps read one exchange of it, so texts are shuffled once."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(doc_id, sub, text) and what tells its rows: sub tells those apart that share an id or have none, by a hash of their text; other rows have 0. Where no row needs it, there is no sub.
+
+    All steps read one exchange of it, so texts are shuffled once.
+    """
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    shared = own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("shared"))
+    shared = own.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select(F.col("doc_id").alias("id"), F.lit(True).alias("shared"))
     shared = written(shared, "phrase-shared")
     n = shared.count()
-    if n:
-        own = own.join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, F.col("doc_id") == F.col("id"), "left")
-    told = F.col("doc_id").isNull() | F.col("shared") if n else F.col("doc_id").isNull()
-    return own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.when(told, F.xxhash64("text")).otherwise(0).alias("sub"), "text")
+    if not n:
+        return own, ROW[:1]
+    named = shared.where("id is not null")
+    own = own.join(F.broadcast(named) if n <= BROADCAST_ROWS else named, F.col("doc_id") == F.col("id"), "left")
+    told = F.col("doc_id").isNull() | F.coalesce("shared", F.lit(False))
+    return own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.when(told, F.xxhash64("text")).otherwise(0).alias("sub"), "text"), ROW
 
 
 def repeats(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
@@ -203,31 +217,34 @@ def repeats(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     Earlier: in a smaller doc_id, or in the same document before. Rows that share an id are documents of their own, in the order of `sub`, a hash
     of their texts; those that repeat the text as well are one. A null id, here the smallest long, comes first. A null or short text has no windows.
     """
-    found = _repeats(_keyed(docs), window, gram)
+    texts, row = _keyed(docs)
+    found = _repeats(texts, window, gram, row)
+    found = found if "sub" in row else found.withColumn("sub", F.lit(0).cast("long"))
     return found.select(*ROW, F.shiftright("run", 32).cast("int").alias("first"), F.col("run").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("last"))
 
 
-def _repeats(texts: DataFrame, window: int, gram: int) -> DataFrame:
+def _repeats(texts: DataFrame, window: int, gram: int, row: list[str]) -> DataFrame:
     n = partitions(texts.sparkSession)
-    anchors = texts.mapInArrow(_anchors(window, gram), ANCHOR)
-    anchors = anchors.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", *ROW, "place")
-    recurring = anchors.mapInArrow(_recurring, RECURRING)
+    anchors = texts.mapInArrow(_anchors(window, gram, row), ANCHOR + _longs(row))
+    anchors = anchors.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", *row, "place")
+    recurring = anchors.mapInArrow(_recurring(row), RECURRING + _longs(row))
     # rows that repeat id and text have the same places
-    wanted = recurring.groupBy(*ROW).agg(F.collect_set(F.struct("route", "place")).alias("places"))
-    split = texts.join(wanted, ROW).select(*ROW, "places", words_column(F.col("text")).alias("words"))
+    gathered = F.collect_set if "sub" in row else F.collect_list
+    wanted = recurring.groupBy(*row).agg(gathered(F.struct("route", "place")).alias("places"))
+    split = texts.join(wanted, row).select(*row, "places", words_column(F.col("text")).alias("words"))
     first = lambda p: F.shiftright(p["place"], 32).cast("int")
     n_words = lambda p: F.shiftright(p["place"], 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     passage = F.transform("places", lambda p: F.struct(p["route"], p["place"], F.array_join(F.slice("words", first(p) + 1, n_words(p)), " ").alias("passage")))
-    passages = split.select(*ROW, F.explode(passage).alias("p")).select(*ROW, "p.*")
-    shards = passages.repartition(n, "route").sortWithinPartitions("route", *ROW, "place")
-    located = shards.select("route", *ROW, "place", "passage").mapInArrow(_locate(window), RUNS)
+    passages = split.select(*row, F.explode(passage).alias("p")).select(*row, "p.*")
+    shards = passages.repartition(n, "route").sortWithinPartitions("route", *row, "place")
+    located = shards.select("route", *row, "place", "passage").mapInArrow(_locate(window, row), _longs(row)[2:] + ", " + RUNS)
     # a row without phrase is a run to remove; the others meet those of the same words
     run = F.col("phrase").isNull()
-    keyed = located.withColumn("key", F.when(run, F.xxhash64(*ROW)).otherwise(F.xxhash64("phrase")))
-    place = F.struct(*ROW, "run")
-    lead = F.first(place).over(Window.partitionBy("key", "phrase").orderBy(*ROW, "run"))
+    keyed = located.withColumn("key", F.when(run, F.xxhash64(*row) if "sub" in row else F.col("doc_id")).otherwise(F.xxhash64("phrase")))
+    place = F.struct(*row, "run")
+    lead = F.first(place).over(Window.partitionBy("key", "phrase").orderBy(*row, "run"))
     met = keyed.withColumn("late", run | (place != lead)).where("late")
-    return met.select(*ROW, "run")
+    return met.select(*row, "run")
 
 
 def _cut(window: int):
@@ -264,9 +281,9 @@ def dedup_passages(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFram
     A word goes if a window of `window` words over it also starts earlier; windows are those of the input. Rows that share an
     id are documents of their own, in the order of a hash of their texts, and only lose words of their own; those that also repeat the text are cut alike. A null id comes first.
     """
-    texts = _keyed(docs)
-    runs = _repeats(texts, window, gram).groupBy(*ROW).agg(F.collect_set("run").alias("runs"))
+    texts, row = _keyed(docs)
+    runs = _repeats(texts, window, gram, row).groupBy(*row).agg(F.collect_set("run").alias("runs"))
     none = F.array().cast("array<long>")
-    joined = texts.join(runs, ROW, "left")
+    joined = texts.join(runs, row, "left")
     joined = joined.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("runs", none).alias("runs"))
     return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
