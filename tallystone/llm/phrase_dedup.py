@@ -204,7 +204,8 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     shared = written(shared, "phrase-shared")
     n = shared.count()
     if not n:
-        return own, ROW[:1]
+        # never null, so that no join adds a filter of its own, which would need another exchange
+        return own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text"), ROW[:1]
     named = shared.where("id is not null")
     own = own.join(F.broadcast(named) if n <= BROADCAST_ROWS else named, F.col("doc_id") == F.col("id"), "left")
     told = F.col("doc_id").isNull() | F.coalesce("shared", F.lit(False))
