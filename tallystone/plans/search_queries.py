@@ -131,11 +131,13 @@ reached AS (SELECT near.a, min('n' || u) AS via, n, near.depth FROM near JOIN st
 
 
 def resolved(s, d):
+    """Symbols resolve by their numbers and are named at the end: names cut keys of more than six digits, so they neither tell all symbols apart nor keep their order."""
     k = F.col("p_partkey")
     p = table(s, d, "part")
-    sym = p.select(F.concat(F.lit("s"), F.lpad(k.cast("string"), 6, "0")).alias("symbol_id"), F.concat(F.lit("f"), k % 300).alias("name"))
-    men = p.select(F.concat(F.lit("s"), F.lpad(k.cast("string"), 6, "0")).alias("source_id"), F.concat(F.lit("f"), k * 7 % 400).alias("name"), (k % 3 == 0).alias("is_call")).union(p.select(F.concat(F.lit("s"), F.lpad(k.cast("string"), 6, "0")), F.concat(F.lit("f"), k % 300), F.lit(False)))
-    return K.resolve_edges(sym, men)
+    sym = p.select(k.alias("symbol_id"), F.concat(F.lit("f"), k % 300).alias("name"))
+    men = p.select(k.alias("source_id"), F.concat(F.lit("f"), k * 7 % 400).alias("name"), (k % 3 == 0).alias("is_call")).union(p.select(k, F.concat(F.lit("f"), k % 300), F.lit(False)))
+    name = lambda c: F.concat(F.lit("s"), F.lpad(F.col(c).cast("string"), 6, "0")).alias(c)
+    return K.resolve_edges(sym, men).select(name("source_id"), name("target_id"), "edge_kind")
 
 
 def requests(s, d):
