@@ -4,7 +4,8 @@ import os
 
 import duckdb
 
-from tallystone.plans import registry
+from tallystone.operators import claims
+from tallystone.plans import derive, registry
 
 
 def copies(spark, small, path, changed):
@@ -35,3 +36,11 @@ def test_symbols_of_seven_digits(spark, small, tmp_path):
     part = spark.read.parquet(f"{small}/part.parquet")
     path, duck = copies(spark, small, tmp_path, {"part": part.unionByName(part.withColumn("p_partkey", part.p_partkey + 999_900))})
     same(spark, path, duck, "k02_resolve_edges")
+
+
+def test_claims_are_not_dealt_by_predicate(spark, small):
+    """The registry's rows go to the claims: there are as many predicates as rows of it, so a task of such an exchange would get all claims."""
+    c, r = derive.claims(spark, small), derive.registry(spark)
+    for df in (claims.with_family_key(c, r), claims.conformance(c, r), claims.active_set_digest(c, r), claims.conflict_pairs(c, r)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(predicate" not in plan and "BroadcastHashJoin" in plan
