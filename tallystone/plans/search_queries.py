@@ -58,12 +58,13 @@ def vectors(s, d):
     return R.vector_search(e.where(ASKED).select(F.col("document_id").alias("query_id"), "embedding"), e, 10)
 
 
-def same_label(s, d):
-    """A second ranking: vectors of the query's label, by id."""
+def same_label(s, d, limit=50):
+    """A second ranking: the first vectors of the query's label, by id. They are among one more than so many of a label, as only the query itself is left out, so no label is joined whole."""
     e = table(s, d, "embeddings")
-    j = e.where(ASKED).select(F.col("vec_id").alias("q"), "label").join(e.select("vec_id", "label"), "label").where("q <> vec_id")
+    first = e.select("vec_id", "label").withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("at") <= limit + 1).drop("at")
+    j = e.where(ASKED).select(F.col("vec_id").alias("q"), "label").join(first, "label").where("q <> vec_id")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("vec_id"))
-    return j.select(F.concat(F.lit("v"), "q").alias("query_id"), F.concat(F.lit("v"), "vec_id").alias("document_id"), rank.alias("rank"))
+    return j.select(F.concat(F.lit("v"), "q").alias("query_id"), F.concat(F.lit("v"), "vec_id").alias("document_id"), rank.alias("rank")).where(F.col("rank") <= limit)
 
 
 def updated(s, d):

@@ -3,9 +3,10 @@
 import os
 
 import duckdb
+from pyspark.sql import functions as F
 
-from tallystone.operators import claims
-from tallystone.plans import derive, registry
+from tallystone.operators import claims, retrieval
+from tallystone.plans import derive, registry, search_queries
 
 
 def copies(spark, small, path, changed):
@@ -44,3 +45,19 @@ def test_claims_are_not_dealt_by_predicate(spark, small):
     for df in (claims.with_family_key(c, r), claims.conformance(c, r), claims.active_set_digest(c, r), claims.conflict_pairs(c, r)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(predicate" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_labels_of_many_vectors_are_not_joined_whole(spark, small, tmp_path):
+    """A second ranking has as many rows for each query however many vectors share its label."""
+    e = spark.read.parquet(f"{small}/embeddings.parquet").withColumn("label", F.lit(1))
+    path, _ = copies(spark, small, tmp_path, {"embeddings": e})
+    told = search_queries.same_label(spark, path)
+    assert told.count() == 50 * e.where("vec_id % 100 = 0").count()
+
+
+def test_postings_need_no_exchange(spark):
+    """Words of a text are counted where it is read."""
+    df = spark.createDataFrame([("a", "x", "b a B c a"), ("b", None, None), ("c", "", "é"), ("d", "t", "")], "document_id string, title string, body string")
+    told = retrieval.postings(df)
+    assert "Exchange" not in told._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["document_id"], r["term"], r["tf"], r["length"]) for r in told.collect()) == [("a", "a", 2, 6), ("a", "b", 2, 6), ("a", "c", 1, 6), ("a", "x", 1, 6), ("c", "é", 1, 1), ("d", "t", 1, 1)]
