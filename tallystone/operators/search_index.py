@@ -43,8 +43,10 @@ def _opened(index: DataFrame, asked: DataFrame, pairs: DataFrame, n_terms: DataF
     """(query_id, document_id, score), rounded so that ties don't depend on the order of the sums, of the documents with all terms of a query in the (query_id, block) pairs. asked: query_id, term, idf."""
     small = F.broadcast if near else lambda df: df
     wanted = written(pairs.join(asked, "query_id").select("query_id", "block", "term", "idf"), "index-wanted")
-    rows = index.join(small(wanted.select("term", "block").distinct()), ["term", "block"], "left_semi").select("term", "block", F.explode("entries").alias("e"))
-    met = rows.join(small(wanted), ["term", "block"]).groupBy("query_id", F.col("e.document_id").alias("document_id")).agg(F.count("*").alias("met"), F.round(F.sum(F.col("idf") * F.col("e.w")), 12).alias("score"))
+    # blocks of entries meet by query and block, and only there become rows: where the index is read a document's terms lie apart and nothing would be summed up
+    dealt = index.join(small(wanted), ["term", "block"]).select("query_id", "block", "idf", "entries").repartition("query_id", "block")
+    rows = dealt.select("query_id", "block", "idf", F.explode("entries").alias("e"))
+    met = rows.groupBy("query_id", "block", F.col("e.document_id").alias("document_id")).agg(F.count("*").alias("met"), F.round(F.sum(F.col("idf") * F.col("e.w")), 12).alias("score"))
     return met.join(small(n_terms), "query_id").where("met = n_terms").select("query_id", "document_id", "score")
 
 
