@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallystone.operators import context as X
 from tallystone.operators import graph as K
+from tallystone.operators import request_classes as RC
 from tallystone.operators import retrieval as R
 from tallystone.operators import search_index as SI
 from tallystone.plans import view_queries as VQ
@@ -179,7 +180,14 @@ _SKILLS = """sk AS (SELECT request_id, 'skill_' || p_partkey AS id, list_sum(lis
 st AS (SELECT * FROM sk WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) <= 5)"""
 
 
+def by_class(s, d):
+    """The candidates by classes of rows, None if there are too many classes."""
+    return RC.classes(written(X.normalize_requests(requests(s, d)), "requests"), continuity(s, d), view_rows(s, d), skill_rows(s, d))
+
+
 def ordered(s, d):
+    if (c := by_class(s, d)) is not None:
+        return RC.order_by_classes(c)
     r = X.normalize_requests(requests(s, d))
     return X.order_candidates(scored(s, d), X.score_views(r, view_rows(s, d)), X.score_skills(r, skill_rows(s, d)))
 
@@ -207,6 +215,12 @@ _SIZED = f"{_ORDERED}, sz AS (SELECT *, (length(id) * 17 % 300 + 20)::BIGINT + 3
 
 def packed(s, d, skip):
     """What packing includes, as a flag of every candidate of every request."""
+    if (c := by_class(s, d)) is not None:
+        included, told, _ = RC.pack_classes(c, _size(), skip)
+        flags = written(included.withColumn("included", F.lit(True)), "included")
+        flags, told = (F.broadcast(x) if x.count() <= RC.BROADCAST else x for x in (flags, written(told, "told")))
+        flagged = RC.every_candidate(c).join(flags, ["request_id", "kind", "id"], "left").join(told, "request_id")
+        return flagged.select("request_id", "id", F.coalesce("included", F.lit(False)).alias("included"), "code")
     r = written(X.normalize_requests(requests(s, d)), "requests")
     shared, own = (written(x, "candidates") for x in shared_sized(s, d))
     included, told = X.pack_shared(shared, own, r, skip)
@@ -216,6 +230,9 @@ def packed(s, d, skip):
 
 
 def report(s, d):
+    if (c := by_class(s, d)) is not None:
+        included, _, within = RC.pack_classes(c, _size(), False)
+        return RC.report_classes(c, included, within)
     r = written(X.normalize_requests(requests(s, d)), "requests")
     shared, own = (written(x, "candidates") for x in shared_sized(s, d))
     return X.report_shared(shared, own, X.pack_shared(shared, own, r, False)[0], r)

@@ -61,3 +61,14 @@ def test_postings_need_no_exchange(spark):
     told = retrieval.postings(df)
     assert "Exchange" not in told._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["document_id"], r["term"], r["tf"], r["length"]) for r in told.collect()) == [("a", "a", 2, 6), ("a", "b", 2, 6), ("a", "c", 1, 6), ("a", "x", 1, 6), ("c", "é", 1, 1), ("d", "t", 1, 1)]
+
+
+def test_classes_do_not_grow_with_rows_and_pack_alike(spark, small, tmp_path):
+    """Twenty times the customers and parts are no more classes, so no more scores of requests; positions and packing are those of the SQL."""
+    times = spark.range(20).withColumnRenamed("id", "t")
+    more = {t: spark.read.parquet(f"{small}/{t}.parquet").crossJoin(times).withColumn(k, F.expr(f"{k} + t * {n}")).drop("t") for t, k, n in (("customer", "c_custkey", 150), ("part", "p_partkey", 200))}
+    path, duck = copies(spark, small, tmp_path, more)
+    few, many = search_queries.by_class(spark, small), search_queries.by_class(spark, path)
+    assert many.rows.count() > 10 * few.rows.count() and many.scores.count() < 2 * few.scores.count()
+    for name in ("x05_order_candidates", "x06_pack_skip", "x07_pack_prefix", "x10_truncation_report"):
+        same(spark, path, duck, name)
