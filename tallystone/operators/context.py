@@ -93,6 +93,8 @@ def score_views(requests: DataFrame, views: DataFrame) -> DataFrame:
 def score_skills(requests: DataFrame, skills: DataFrame, limit: int = 5) -> DataFrame:
     """The best approved skills of each request: 3 for a term in the triggers, 1 for one only in purpose or preconditions; ties by id."""
     rows = skills.where("status = 'APPROVED'").select(F.col("skill_id").alias("id"), F.lower(F.array_join("triggers", " ")).alias("t"), F.lower(F.concat_ws(" ", F.col("purpose"), F.array_join("triggers", " "), F.array_join("preconditions", " "))).alias("hay"))
+    # skills of equal texts score alike for any request, so only the first of them can be among its best
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("t", "hay").orderBy("id"))).where(F.col("at") <= limit).drop("at")
     # what the triggers hold, the whole text holds as well
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), "id")
     return _points(requests, rows, ["t", "hay"], 2 * F.col("t") + F.col("hay")).where("score > 0").withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
