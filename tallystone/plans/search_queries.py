@@ -217,10 +217,7 @@ def packed(s, d, skip):
     """What packing includes, as a flag of every candidate of every request."""
     if (c := by_class(s, d)) is not None:
         included, told, _ = RC.pack_classes(c, _size(), skip)
-        flags = written(included.withColumn("included", F.lit(True)), "included")
-        flags, told = (F.broadcast(x) if x.count() <= RC.BROADCAST else x for x in (flags, written(told, "told")))
-        flagged = RC.every_candidate(c).join(flags, ["request_id", "kind", "id"], "left").join(told, "request_id")
-        return flagged.select("request_id", "id", F.coalesce("included", F.lit(False)).alias("included"), "code")
+        return RC.flagged(c, included, told)
     r = written(X.normalize_requests(requests(s, d)), "requests")
     shared, own = (written(x, "candidates") for x in shared_sized(s, d))
     included, told = X.pack_shared(shared, own, r, skip)

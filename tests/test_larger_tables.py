@@ -5,8 +5,9 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
-from tallystone.operators import claims, retrieval
+from tallystone.operators import claims, request_classes, retrieval
 from tallystone.plans import derive, registry, search_queries
+from tallystone.sources.scratch import written
 
 
 def copies(spark, small, path, changed):
@@ -72,3 +73,37 @@ def test_classes_do_not_grow_with_rows_and_pack_alike(spark, small, tmp_path):
     assert many.rows.count() > 10 * few.rows.count() and many.scores.count() < 2 * few.scores.count()
     for name in ("x05_order_candidates", "x06_pack_skip", "x07_pack_prefix", "x10_truncation_report"):
         same(spark, path, duck, name)
+
+
+def test_packing_looks_up_rows_and_not_what_they_are_listed_as(spark, small, monkeypatch, tmp_path):
+    """A row has as many flags as there are requests: none of them is joined by request, kind and id. Without broadcasts, and with blocks of few requests, the results are the same."""
+    for name in ("x06_pack_skip", "x07_pack_prefix"):
+        plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join " in line]
+        assert joins and not any("request_id#" in line and "kind#" in line for line in joins)
+    for of, most in (("FEW_TEXTS", 0), ("BROADCAST", 0), ("QUERY_BLOCK", 3)):
+        monkeypatch.setattr(request_classes, of, most)
+    path, duck = copies(spark, small, tmp_path, {})
+    for name in ("x06_pack_skip", "x07_pack_prefix"):
+        same(spark, path, duck, name)
+
+
+def test_equal_texts_meet_terms_once(spark, small, monkeypatch, tmp_path):
+    """Ten times the customers and parts have the same names."""
+    times = spark.range(10).withColumnRenamed("id", "t")
+    more = {t: spark.read.parquet(f"{small}/{t}.parquet").crossJoin(times).withColumn(k, F.expr(f"{k} + t * {n}")).drop("t") for t, k, n in (("customer", "c_custkey", 150), ("part", "p_partkey", 200))}
+    path, _ = copies(spark, small, tmp_path, more)
+    sizes = []
+    monkeypatch.setattr(request_classes, "written", lambda df, name: (sizes.append(df.count()) if name == "class-searched" else None) or written(df, name))
+    for at in (small, path):
+        search_queries.by_class(spark, at)
+    # the copies' statuses differ
+    assert sizes[0] <= sizes[1] <= 5 * sizes[0]
+
+
+def test_families_are_made_once(spark, small, monkeypatch):
+    """Who is in conflict reads the digests of families and doesn't make them again for each of its steps."""
+    plans = {}
+    monkeypatch.setattr(claims, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or written(df, name))
+    assert claims.conflict_members(derive.claims(spark, small), derive.registry(spark)).count()
+    assert "sha2(" in plans["active-claims"] and "sha2(" not in plans["contestable"]
