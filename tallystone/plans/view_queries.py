@@ -11,10 +11,12 @@ from tallystone.operators import query as Q
 from tallystone.operators import views as V
 from tallystone.plans import derive as D
 from tallystone.plans.derive import table
+from tallystone.sources.scratch import written
 
 
 def conflicts(s, d):
-    return C.conflict_episodes(D.claims(s, d), D.registry(s))
+    """The conflicts as a table, so that what reads them neither finds them again nor shares a task's memory with what does."""
+    return written(C.conflict_episodes(D.claims(s, d), D.registry(s)), "conflicts")
 
 
 def decisions(s, d):
@@ -38,11 +40,12 @@ def sources(s, d):
     return D.sources(s, d).select("revision_id", "source_id", F.col("source").alias("title"))
 
 
-def records(s, d):
+def records(s, d, found=None):
+    """Records of all kinds. found: the conflicts, where a query has made them."""
     parts = [
         sources(s, d).select(F.col("revision_id").alias("object_id"), F.lit("SOURCE_REVISION").alias("kind"), "title", F.lit(None).cast("string").alias("summary"), F.lit("IMMUTABLE").alias("status"), F.array().cast("array<string>").alias("related_ids"), F.lit(None).cast("string").alias("priority")),
         D.claims(s, d).select(F.col("claim_id").alias("object_id"), F.lit("CLAIM").alias("kind"), F.col("object_value").alias("title"), "status"),
-        conflicts(s, d).select(F.col("conflict_id").alias("object_id"), F.lit("CONFLICT").alias("kind"), F.col("kind").alias("title"), "status", F.col("members").alias("related_ids")),
+        (conflicts(s, d) if found is None else found).select(F.col("conflict_id").alias("object_id"), F.lit("CONFLICT").alias("kind"), F.col("kind").alias("title"), "status", F.col("members").alias("related_ids")),
         decisions(s, d).drop("replaced_by"), questions(s, d), work(s, d),
     ]
     return V.atomic_records(parts)
@@ -103,8 +106,9 @@ def listing(s, d):
 
 
 def links(s, d):
-    r = records(s, d).withColumn("revision_ids", F.filter("related_ids", lambda x: x.startswith("revision_")))
-    views = conflicts(s, d).select(F.concat(F.lit("view_"), "conflict_id").alias("artifact_id"), "members")
+    found = conflicts(s, d)
+    r = records(s, d, found).withColumn("revision_ids", F.filter("related_ids", lambda x: x.startswith("revision_")))
+    views = found.select(F.concat(F.lit("view_"), "conflict_id").alias("artifact_id"), "members")
     sk = table(s, d, "part").select(F.concat(F.lit("skill:"), F.col("p_partkey") % 20).alias("skill_id"), F.array("p_brand", "p_type").alias("resources"))
     return V.link_graph(r, views, sk)
 
@@ -115,9 +119,10 @@ LINKS = f"""{RECORDS}, links AS (SELECT DISTINCT * FROM (SELECT object_id AS sou
 
 
 def drill(s, d):
-    ids = records(s, d).where("kind = 'DECISION_RECORD'").select("object_id")
+    r = records(s, d)
+    ids = r.where("kind = 'DECISION_RECORD'").select("object_id")
     history = table(s, d, "events").select(F.concat(F.lit("decision_"), "user_id").alias("object_id"), F.col("event_id").alias("seq"))
-    out = V.drill_down(ids, records(s, d), history)
+    out = V.drill_down(ids, r, history)
     return out.select("object_id", F.array_join("found", ",").alias("found"), F.array_join("missing", ",").alias("missing"), F.size("sequences").alias("entries"))
 
 
@@ -127,8 +132,14 @@ def enriched(s, d):
 
 
 def candidates(s, d):
-    continuity = records(s, d).where("kind in ('DECISION_RECORD', 'OPEN_QUESTION', 'WORK_ITEM')")
-    return Q.query_candidates(sources(s, d), D.claims(s, d), D.evidence(s, d), conflicts(s, d), continuity)
+    found = conflicts(s, d)
+    continuity = records(s, d, found).where("kind in ('DECISION_RECORD', 'OPEN_QUESTION', 'WORK_ITEM')")
+    return Q.query_candidates(sources(s, d), D.claims(s, d), D.evidence(s, d), found, continuity)
+
+
+def core(s, d):
+    found = conflicts(s, d)
+    return V.core_context(records(s, d, found), found)
 
 
 def joined(df):
@@ -171,7 +182,7 @@ QUERIES = {
     "v10_dependency_digest": lambda s, d: view_digests(s, d, "true"),
     "v11_incremental_views": incremental,
     "v12_verify_views": verify,
-    "v13_core_context": lambda s, d: V.core_context(records(s, d), conflicts(s, d)),
+    "v13_core_context": core,
     "v14_unknown_status": lambda s, d: V.unknown_status(records(s, d)),
     "v15_catalog": lambda s, d: V.catalog(listing(s, d)),
     "v16_review_queue": lambda s, d: V.review_queue(V.catalog(listing(s, d))),

@@ -8,6 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a few ids that one task sorts or groups.
+TASK_ROWS = 250_000
+
+
+def task_parts(*tables: DataFrame) -> int:
+    """Parts of at most about TASK_ROWS rows for tables that meet by a key of few rows.
+
+    Left to itself Spark joins small parts until they have a number of bytes, as they are compressed, and short ids compress so well that such a part holds millions of rows;
+    and a grouping starts where rows are read, over all that one task reads. Rows dealt by this number keep a task's memory as it is, however many rows there are.
+    """
+    rows = max(t.count() for t in tables)
+    return max(-(-rows // TASK_ROWS), int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a folder of our own in local mode and an error on a cluster, whose executors couldn't see that folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

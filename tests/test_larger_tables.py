@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallystone.operators import claims, request_classes, retrieval
 from tallystone.plans import derive, registry, search_queries
+from tallystone.sources import scratch
 from tallystone.sources.scratch import written
 
 
@@ -107,3 +108,12 @@ def test_families_are_made_once(spark, small, monkeypatch):
     monkeypatch.setattr(claims, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or written(df, name))
     assert claims.conflict_members(derive.claims(spark, small), derive.registry(spark)).count()
     assert "sha2(" in plans["active-claims"] and "sha2(" not in plans["contestable"]
+
+
+def test_conflicts_are_made_once(spark, small, monkeypatch):
+    """A query that needs the conflicts twice finds them once, and what reads them reads a table."""
+    for name in ("q02_query", "v19_link_graph", "v20_neighbours", "v13_core_context", "c09_resolution_check", "c15_resolution_preservation", "v05_scenario_subject", "v18_next_actions", "r01_retrieval_documents", "c14_list_conflicts", "v08_scenario_work"):
+        made = []
+        monkeypatch.setattr(claims, "written", lambda df, of: made.append(of) or written(df, of))
+        plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert made.count("active-claims") == 1 and "opening" not in plan, name
