@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions.canon import digest, short_id
 from tallystone.functions.trees import tree_digest
+from tallystone.sources.scratch import task_parts
 
 # Lifecycles of statuses, closed statuses, kinds' and priorities' order.
 LIFECYCLES = {
@@ -176,7 +177,9 @@ def link_graph(records: DataFrame, views: DataFrame, skills: DataFrame) -> DataF
     """
     out = lambda df, key, column, relation: df.select(F.col(key).alias("source_id"), F.explode(column).alias("target_id"), F.lit(relation).alias("relation"))
     edges = [out(records, "object_id", "related_ids", "RELATED_TO"), out(records, "object_id", "revision_ids", "DERIVED_FROM"), out(views, "artifact_id", "members", "CONTAINS"), out(skills, "skill_id", "resources", "USES_RESOURCE")]
-    return reduce(DataFrame.unionByName, edges).dropDuplicates(["source_id", "target_id", "relation"])
+    whole = reduce(DataFrame.unionByName, edges)
+    columns = ["source_id", "target_id", "relation"]
+    return whole.repartition(task_parts(whole), *columns).dropDuplicates(columns)
 
 
 def neighbours(links: DataFrame, ids: DataFrame, relation: str | None = None) -> DataFrame:
