@@ -42,9 +42,10 @@ def atomic_records(parts: list[DataFrame]) -> DataFrame:
 
 def enrich_claims(claims: DataFrame, evidence: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Claims with sorted evidence_ids, revision_ids and open conflict_ids; the arrays are built before they are joined."""
-    e = evidence.groupBy("claim_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"), F.array_sort(F.collect_set("revision_id")).alias("revision_ids"))
-    c = conflicts.where("status = 'OPEN'").select("conflict_id", F.explode("members").alias("claim_id")).groupBy("claim_id").agg(F.array_sort(F.collect_set("conflict_id")).alias("conflict_ids"))
-    j = claims.join(e, "claim_id", "left").join(c, "claim_id", "left")
+    n = task_parts(claims, evidence)
+    e = evidence.repartition(n, "claim_id").groupBy("claim_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"), F.array_sort(F.collect_set("revision_id")).alias("revision_ids"))
+    c = conflicts.where("status = 'OPEN'").select("conflict_id", F.explode("members").alias("claim_id")).repartition(n, "claim_id").groupBy("claim_id").agg(F.array_sort(F.collect_set("conflict_id")).alias("conflict_ids"))
+    j = claims.repartition(n, "claim_id").join(e, "claim_id", "left").join(c, "claim_id", "left")
     return j.withColumns({x: F.coalesce(x, none()) for x in ("evidence_ids", "revision_ids", "conflict_ids")})
 
 
