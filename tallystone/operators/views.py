@@ -64,7 +64,8 @@ def scenario_subject(claims: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(scope, object_id, open_conflict): each subject's claims and the open conflicts that they are members of."""
     own = claims.where("subject_id is not null").select(F.col("subject_id").alias("scope"), F.col("claim_id").alias("object_id"))
     member = conflicts.where("status = 'OPEN'").select("conflict_id", F.explode("members").alias("object_id"))
-    touched = own.join(member, "object_id").select("scope", F.col("conflict_id").alias("object_id")).distinct()
+    n = task_parts(own, member)
+    touched = own.repartition(n, "object_id").join(member.repartition(n, "object_id"), "object_id").select("scope", F.col("conflict_id").alias("object_id")).distinct()
     return own.withColumn("open_conflict", F.lit(False)).unionByName(touched.withColumn("open_conflict", F.lit(True)))
 
 
