@@ -84,7 +84,9 @@ def scenario_incident(conflicts: DataFrame, evidence: DataFrame) -> DataFrame:
     live = conflicts.where("status = 'OPEN'")
     own = live.select(F.col("conflict_id").alias("scope"), F.col("conflict_id").alias("object_id"), F.lit("CONFLICT").alias("role"))
     member = live.select(F.col("conflict_id").alias("scope"), F.explode("members").alias("object_id"), F.lit("CLAIM").alias("role"))
-    sources = member.join(evidence.select(F.col("claim_id").alias("object_id"), "revision_id"), "object_id").select("scope", F.col("revision_id").alias("object_id"), F.lit("SOURCE").alias("role"))
+    cited = evidence.select(F.col("claim_id").alias("object_id"), "revision_id")
+    n = task_parts(member, cited)
+    sources = member.repartition(n, "object_id").join(cited.repartition(n, "object_id"), "object_id").select("scope", F.col("revision_id").alias("object_id"), F.lit("SOURCE").alias("role"))
     return own.unionByName(member).unionByName(sources).distinct()
 
 
