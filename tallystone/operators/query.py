@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.sources.scratch import task_parts
+
 # Fixed value: the order of kinds in a page.
 KINDS = ["SOURCE_REVISION", "CLAIM", "EVIDENCE_LINK", "CONFLICT", "DECISION_RECORD", "OPEN_QUESTION", "WORK_ITEM"]
 
@@ -18,22 +20,25 @@ def query_candidates(sources: DataFrame, claims: DataFrame, evidence: DataFrame,
     """
     none = F.array().cast("array<string>")
     rev = sources.select("revision_id", "source_id")
-    link = evidence.select("claim_id", "evidence_id", "revision_id").join(rev, "revision_id", "left")
+    n = task_parts(claims, evidence)
+    link = evidence.select("claim_id", "evidence_id", "revision_id").join(rev, "revision_id", "left").repartition(n, "claim_id")
     of_claim = link.groupBy("claim_id").agg(F.collect_set("source_id").alias("source_ids"), F.collect_set("revision_id").alias("revision_ids"))
-    c = claims.select("claim_id", "predicate", "status").join(of_claim, "claim_id", "left")
+    own = claims.select("claim_id", "predicate", "status").repartition(n, "claim_id")
+    c = own.join(of_claim, "claim_id", "left")
     facets = c.select(F.col("claim_id").alias("target"), F.array("predicate").alias("p"), F.coalesce("source_ids", none).alias("s"), F.coalesce("revision_ids", none).alias("r"))
     facets = facets.unionByName(rev.select(F.col("revision_id").alias("target"), none.alias("p"), F.array("source_id").alias("s"), F.array("revision_id").alias("r")))
 
     def followed(rows: DataFrame) -> DataFrame:
         """rows (kind, object_id, title, status, refs) with the facets of what they refer to."""
-        met = rows.select("object_id", F.explode("refs").alias("target")).join(facets, "target").groupBy("object_id")
+        # references of few bytes on disk are very many rows: no broadcast by their size
+        met = rows.select("object_id", F.explode("refs").alias("target")).hint("merge").join(facets, "target").groupBy("object_id")
         agg = met.agg(*[F.array_distinct(F.flatten(F.collect_list(x))).alias(y) for x, y in (("p", "predicates"), ("s", "source_ids"), ("r", "revision_ids"))])
-        return rows.drop("refs").join(agg, "object_id", "left")
+        return rows.drop("refs").hint("merge").join(agg, "object_id", "left")
 
     parts = [
         sources.select(F.lit("SOURCE_REVISION").alias("kind"), F.col("revision_id").alias("object_id"), "title", F.lit("IMMUTABLE").alias("status"), none.alias("predicates"), F.array("source_id").alias("source_ids"), F.array("revision_id").alias("revision_ids")),
         c.select(F.lit("CLAIM").alias("kind"), F.col("claim_id").alias("object_id"), F.lit(None).cast("string").alias("title"), "status", F.array("predicate").alias("predicates"), "source_ids", "revision_ids"),
-        link.join(claims.select("claim_id", "predicate"), "claim_id", "left").select(F.lit("EVIDENCE_LINK").alias("kind"), F.col("evidence_id").alias("object_id"), F.lit(None).cast("string").alias("title"), F.lit("IMMUTABLE").alias("status"), F.array_compact(F.array("predicate")).alias("predicates"), F.array_compact(F.array("source_id")).alias("source_ids"), F.array("revision_id").alias("revision_ids")),
+        link.join(own.select("claim_id", "predicate"), "claim_id", "left").select(F.lit("EVIDENCE_LINK").alias("kind"), F.col("evidence_id").alias("object_id"), F.lit(None).cast("string").alias("title"), F.lit("IMMUTABLE").alias("status"), F.array_compact(F.array("predicate")).alias("predicates"), F.array_compact(F.array("source_id")).alias("source_ids"), F.array("revision_id").alias("revision_ids")),
         followed(conflicts.select(F.lit("CONFLICT").alias("kind"), F.col("conflict_id").alias("object_id"), F.lit(None).cast("string").alias("title"), "status", F.col("members").alias("refs"))),
         followed(continuity.select("kind", "object_id", "title", "status", F.col("related_ids").alias("refs"))),
     ]

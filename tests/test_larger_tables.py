@@ -117,3 +117,18 @@ def test_conflicts_are_made_once(spark, small, monkeypatch):
         monkeypatch.setattr(claims, "written", lambda df, of: made.append(of) or written(df, of))
         plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
         assert made.count("active-claims") == 1 and "opening" not in plan, name
+
+
+def test_rows_of_ids_are_dealt_by_their_number(spark, small, monkeypatch, tmp_path):
+    """Rows that meet by short ids come in as many parts as their number asks for, which Spark doesn't join again; the results are the same."""
+    monkeypatch.setattr(scratch, "TASK_ROWS", 100)
+    path, duck = copies(spark, small, tmp_path, {})
+    n = -(-spark.read.parquet(f"{small}/orders.parquet").count() // 100)
+    for name in ("q02_query", "q04_matched_fields", "c12_epistemic_context", "v02_enrich_claims", "v05_scenario_subject", "v07_scenario_incident"):
+        plan = registry.QUERIES[name](spark, path)._jdf.queryExecution().executedPlan().toString()
+        assert f", {n}), REPARTITION_BY_NUM" in plan, name
+        same(spark, path, duck, name)
+    for name in ("v19_link_graph", "v20_neighbours"):
+        same(spark, path, duck, name)
+    dealt = registry.QUERIES["v19_link_graph"](spark, path)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
