@@ -103,7 +103,7 @@ def hash_strings(values: pa.Array) -> np.ndarray:
     """64-bit hashes, the same in every process."""
     from pandas.util import hash_array
 
-    return hash_array(np.asarray(values.to_pylist(), dtype=object), categorize=False) if len(values) else np.zeros(0, np.uint64)
+    return hash_array(values.to_numpy(zero_copy_only=False).astype(object, copy=False), categorize=False) if len(values) else np.zeros(0, np.uint64)
 
 
 def word_hashes(flat: pa.Array) -> np.ndarray:

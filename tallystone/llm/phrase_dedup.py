@@ -5,8 +5,8 @@
    Anchors meet by hash; those met once are dropped, as no window around them recurs.
 2. Automata. The words around the other anchors, of every document, are sharded by (anchor, part); a frequent anchor has
    many parts, so no common passage lands in one task. A shard confirms which window phrases recur in it, compiles them into
-   an Aho-Corasick automaton over words, and streams its passages through it. Every occurrence comes from the automaton, and so is
-   exact in words; all but the first of a phrase are to be removed.
+   an Aho-Corasick automaton over words, and streams its passages through it; those of the same words pass once, for all that hold
+   them. Every occurrence comes from the automaton, and so is exact in words; all but the first of a phrase are to be removed.
 3. Parts of one frequent anchor meet once more by the words of each distinct phrase's first occurrence.
 
 Each window of each document that may recur reaches exactly one shard: nothing is sampled or cut.
@@ -15,6 +15,7 @@ Each window of each document that may recur reaches exactly one shard: nothing i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -121,54 +122,82 @@ def _letters(codes: np.ndarray) -> str:
     return np.where(codes + 1 < 0xD800, codes + 1, codes + 1 + 0x800).astype("<u4").tobytes().decode("utf-32-le")
 
 
+def _members(kinds: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (index in kinds, index in of) of equal values; of is sorted."""
+    low, high = np.searchsorted(of, kinds), np.searchsorted(of, kinds, side="right")
+    n = high - low
+    return np.repeat(np.arange(len(kinds)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
 def _locate(window: int, row: list[str]):
     def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
         import ahocorasick
 
-        flat, offsets = split_words(batch.column("passage"))
+        # passages of the same words go through the automaton once, and what it finds holds for each of them
+        texts = batch.column("passage").dictionary_encode()
+        text, n_texts = np.asarray(texts.indices).astype(np.int64), len(texts.dictionary)
+        flat, offsets = split_words(texts.dictionary)
         coded = flat.dictionary_encode()
         codes, owner = np.asarray(coded.indices).astype(np.int64), owners(offsets)
         hashes = rolling(hash_strings(coded.dictionary)[codes], window)
         starts = np.flatnonzero(owner[: len(codes) - window + 1] == owner[window - 1 :])
+        own = owner[starts]
         doc, place = (np.asarray(batch.column(c)) for c in ("doc_id", "place"))
         sub = np.asarray(batch.column("sub")) if "sub" in row else np.zeros(len(doc), np.int64)
         first, hot = place >> 32, (place & 1).astype(bool)
-        letters, late, rows = _letters(codes), np.zeros(len(starts), bool), []
+        # the passages' order in the corpus (equal for rows that repeat id and text), and each text's first holder in it
+        order = np.lexsort((first, sub, doc))
+        step = np.concatenate(([0], (np.diff(doc[order]) != 0) | (np.diff(sub[order]) != 0) | (np.diff(first[order]) != 0)))
+        rank = np.empty(len(doc), np.int64)
+        rank[order] = np.cumsum(step)
+        holder = np.full(n_texts, len(doc), np.int64)
+        np.minimum.at(holder, text, rank)
         # confirm: one window of each phrase that recurs here goes into the automaton
-        _, lead, count = np.unique(hashes[starts], return_index=True, return_counts=True)
+        _, lead, phrase = np.unique(hashes[starts], return_index=True, return_inverse=True)
+        count = np.bincount(phrase, weights=np.bincount(text, minlength=n_texts)[own], minlength=len(lead))
         phrases = starts[lead[count > 1]].tolist()
+        recurs, leads = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
         if phrases:
+            letters = _letters(codes)
             automaton = ahocorasick.Automaton()
             for number, at in enumerate(phrases):
                 automaton.add_word(letters[at : at + window], number)
             automaton.make_automaton()
-            # passages follow each other; matches across two of them are no windows
-            found = np.array(list(automaton.iter(letters)), np.int64).reshape(-1, 2)
-            place, phrase = found[:, 0] - window + 1, found[:, 1]
-            inside = owner[place] == owner[place + window - 1]
-            place, phrase = place[inside], phrase[inside]
-            of_doc, of_sub, of = doc[owner[place]], sub[owner[place]], first[owner[place]] + place - offsets[owner[place]]
-            order = np.lexsort((of, of_sub, of_doc, phrase))
-            head = np.flatnonzero(np.concatenate(([True], phrase[order][1:] != phrase[order][:-1])))
-            earliest = np.repeat(order[head], np.diff(np.concatenate((head, [len(order)]))))
-            later = (of_doc[order] != of_doc[earliest]) | (of_sub[order] != of_sub[earliest]) | (of[order] != of[earliest])
-            late[np.searchsorted(starts, place[order[later]])] = True
-        own = owner[starts]
-        where_doc, where_sub, where = doc[own], sub[own], first[own] + starts - offsets[own]
-        gone = np.flatnonzero(late)
+            # texts follow each other; matches across two of them are no windows
+            found = np.fromiter(chain.from_iterable(automaton.iter(letters)), np.int64).reshape(-1, 2)
+            at, phrase = found[:, 0] - window + 1, found[:, 1]
+            inside = owner[at] == owner[at + window - 1]
+            at, phrase = at[inside], phrase[inside]
+            # a phrase begins first in the first holder of one of its texts; the windows of a document's passages don't overlap
+            when = (holder[owner[at]] << 32) | (at - offsets[owner[at]])
+            earliest = np.full(len(phrases), np.iinfo(np.int64).max)
+            np.minimum.at(earliest, phrase, when)
+            window_of = np.searchsorted(starts, at)
+            recurs[window_of], leads[window_of] = True, when == earliest[phrase]
+        # a text's first holder keeps the windows that lead their phrase, its other holders none that recur
+        kind = 2 * text + (rank > holder[text])
+        late, of = np.concatenate((recurs & ~leads, recurs)), np.concatenate((2 * own, 2 * own + 1))
+        where = np.tile(starts - offsets[own], 2)
         # a run of windows to remove has no phrase
-        d, u, p = where_doc[gone], where_sub[gone], where[gone]
-        new = np.flatnonzero(np.concatenate(([True] * bool(len(gone)), (own[gone][1:] != own[gone][:-1]) | (p[1:] != p[:-1] + 1))))
-        end = np.concatenate((new[1:], [len(d)] * bool(len(d)))).astype(np.int64) - 1
-        rows.append((d[new], u[new], p[new], p[end]))
+        gone = np.flatnonzero(late)
+        gone = gone[np.argsort(of[gone], kind="stable")]
+        g, p = of[gone], where[gone]
+        new = np.flatnonzero(np.concatenate(([True] * bool(len(gone)), (g[1:] != g[:-1]) | (p[1:] != p[:-1] + 1))))
+        end = np.concatenate((new[1:], [len(g)] * bool(len(g)))).astype(np.int64) - 1
+        r, k = _members(kind, g[new])
+        rows = [(doc[r], sub[r], first[r] + p[new][k], first[r] + p[end][k])]
         # first occurrences in a part that has others elsewhere, with their words
-        open_ = np.flatnonzero(~late & hot[own])
-        words = flat.take(pa.array((starts[open_][:, None] + np.arange(window)).ravel()))
+        left = np.flatnonzero(~late)
+        left = left[np.argsort(of[left], kind="stable")]
+        holders = np.flatnonzero(hot)
+        r, k = _members(kind[holders], of[left])
+        r, left = holders[r], left[k]
+        words = flat.take(pa.array((np.tile(starts, 2)[left][:, None] + np.arange(window)).ravel()))
         phrases = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, window, dtype=np.int32)), words), " ")
-        rows.append((where_doc[open_], where_sub[open_], where[open_], where[open_]))
-        d, u, a, b = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        rows.append((doc[r], sub[r], first[r] + where[left], first[r] + where[left]))
+        d, u, a, b = (np.concatenate([x[i] for x in rows]) for i in range(4))
         told = dict(zip(ROW, (d, u), strict=True))
-        return pa.RecordBatch.from_arrays([*(pa.array(told[c]) for c in row), pa.array((a << 32) | b), pa.concat_arrays([pa.nulls(len(new), pa.string()), phrases])], [*row, "run", "phrase"])
+        return pa.RecordBatch.from_arrays([*(pa.array(told[c]) for c in row), pa.array((a << 32) | b), pa.concat_arrays([pa.nulls(len(rows[0][0]), pa.string()), phrases])], [*row, "run", "phrase"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows are sorted by route: a group that a batch cuts off is carried into the next one."""
@@ -268,10 +297,9 @@ def _cut(window: int):
                 np.add.at(edge, (begin + last + window)[real], -1)
                 keep = np.cumsum(edge)[:-1] == 0
                 kept = np.concatenate(([0], np.cumsum(keep)))[offsets]
-                left = flat.filter(pa.array(keep)).to_pylist()
-                texts = [" ".join(left[a:b]) for a, b in zip(kept[:-1], kept[1:], strict=True)]
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), flat.filter(pa.array(keep))), " ")
                 n = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(n - np.diff(kept)), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(n - np.diff(kept)), texts], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     return cut
 
