@@ -47,14 +47,19 @@ def _next_event(state: tuple, sequence: int | None, kind: str | None) -> tuple:
 _ARRIVAL = ["arrival", "event_id", "sequence"]
 
 
+def _typed(events: DataFrame) -> DataFrame:
+    """Events that have no event_type get a null one: none of them is FINAL."""
+    return events if "event_type" in map(str.lower, events.columns) else events.withColumn("event_type", F.lit(None).cast("string"))
+
+
 def ordered_append(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """A stream of (session_id, arrival, event_id, sequence, event_type) with code: null if accepted, SEQUENCE_MISMATCH unless the sequence is the next one, SESSION_CLOSED after a FINAL event.
+    """A stream of (session_id, arrival, event_id, sequence, event_type) with code: null if accepted, SEQUENCE_MISMATCH unless the sequence is the next one, SESSION_CLOSED after a FINAL event. Without the column event_type no event is FINAL.
 
     Each event is judged when it arrives: one that is early is rejected, like one that is late. State is a count and a flag per session; with ttl_ms it goes
     after so much time without events.
     """
     columns = ["session_id", "event_id", "sequence", "event_type"]
-    return fold_stream(stream, "session_id", _ARRIVAL, ["sequence", "event_type"], columns, "code string", (0, False), "count long, closed boolean", _next_event, ttl_ms)
+    return fold_stream(_typed(stream), "session_id", _ARRIVAL, ["sequence", "event_type"], columns, "code string", (0, False), "count long, closed boolean", _next_event, ttl_ms)
 
 
 def ordered_append_batch(events: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ def ordered_append_batch(events: DataFrame) -> DataFrame:
 
     The accepted sequence numbers are 1, 2, 3...: the first arrival of n after that of n - 1, up to a FINAL event. A session's events stream through one task.
     """
-    rows = events.select("session_id", *_ARRIVAL, "event_type")
+    rows = _typed(events).select("session_id", *_ARRIVAL, "event_type")
     told = fold_rows(rows, "session_id", _ARRIVAL, ["sequence", "event_type"], "code string", (0, False), _next_event)
     return told.select("session_id", "event_id", "sequence", "event_type", "code", F.col("code").isNull().alias("accepted"))
 

@@ -85,6 +85,19 @@ def test_ordered_append_judges_each_arrival_at_once(spark, tmp_path):
     assert got == {"two": "SEQUENCE_MISMATCH", "one": None, "three": "SEQUENCE_MISMATCH", "end": None, "late": "SESSION_CLOSED"}
 
 
+def test_ordered_append_without_types_closes_no_session(spark, tmp_path):
+    untyped = EVENTS.removesuffix(", event_type string")
+    rows = [("s", i, f"e{i}", q) for i, q in enumerate([2, 1, 1, 2, None, 3])]
+    add(spark, rows, untyped, tmp_path / "in")
+    got = run(spark, traces.ordered_append, untyped, tmp_path)
+    assert sorted(r[1] for r in got if r[4] is None) == ["e1", "e3", "e5"]
+    batch = traces.ordered_append_batch(spark.createDataFrame(rows, untyped)).drop("accepted")
+    assert sorted(got, key=str) == sorted((tuple(r) for r in batch.collect()), key=str)
+    # a name in other letters is the column
+    named = spark.createDataFrame([("s", 1, "a", 1, "FINAL"), ("s", 2, "b", 2, "TOOL")], EVENTS.replace("event_type", "Event_Type"))
+    assert {r["event_id"]: r["code"] for r in traces.ordered_append_batch(named).collect()} == {"a": None, "b": "SESSION_CLOSED"}
+
+
 def test_ordered_append_of_a_long_session_survives_a_restart(spark, tmp_path):
     n = 6_000
     add(spark, [("s", i, f"e{i}", i, "TOOL") for i in range(1, n + 1)], EVENTS, tmp_path / "in")
