@@ -159,7 +159,9 @@ def continuity(s, d):
 
 
 def scored(s, d):
-    return X.score_records(X.normalize_requests(requests(s, d)), continuity(s, d))
+    r, records = written(X.normalize_requests(requests(s, d)), "requests"), continuity(s, d)
+    c = RC.record_classes(r, records)
+    return X.score_records(r, records) if c is None else RC.list_scores(c)
 
 
 _SCORE = f"""{VQ.RECORDS}, {REQ}, sc AS (SELECT request_id, object_id AS id, (CASE WHEN list_contains(refs, object_id) THEN 10000 ELSE 0 END + 20 * len(list_filter(terms, lambda t: contains(lower(concat_ws(' ', title, status)), t))) + CASE priority WHEN 'P0' THEN 15 WHEN 'P1' THEN 8 ELSE 0 END
@@ -189,7 +191,7 @@ def ordered(s, d):
     if (c := by_class(s, d)) is not None:
         return RC.order_by_classes(c)
     r = X.normalize_requests(requests(s, d))
-    return X.order_candidates(scored(s, d), X.score_views(r, view_rows(s, d)), X.score_skills(r, skill_rows(s, d)))
+    return X.order_candidates(X.score_records(r, continuity(s, d)), X.score_views(r, view_rows(s, d)), X.score_skills(r, skill_rows(s, d)))
 
 
 _ORDERED = f"{_SCORE}, {_VIEWS.replace(REQ + ', ', '')}, {_SKILLS}, un AS (SELECT *, 'record' AS kind FROM sc WHERE score > 0 UNION ALL SELECT *, 'scenario' FROM vw WHERE score > 0 UNION ALL SELECT *, 'skill' FROM st), od AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, kind, id)::INTEGER AS position, kind, id, score FROM un)"

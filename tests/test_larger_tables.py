@@ -132,3 +132,19 @@ def test_rows_of_ids_are_dealt_by_their_number(spark, small, monkeypatch, tmp_pa
         same(spark, path, duck, name)
     dealt = registry.QUERIES["v19_link_graph"](spark, path)
     assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_of_records_are_listed_and_not_grouped(spark, small, monkeypatch, tmp_path):
+    """No row for a request and a record is shuffled (X02); without broadcasts, in blocks of few requests, by rows where there are too many classes, and with rows that repeat an id the scores are those of the SQL."""
+    plan = search_queries.scored(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and not any("Aggregate [" in line and "request_id#" in line and ", id#" in line for line in plan.splitlines())
+    customer = spark.read.parquet(f"{small}/customer.parquet")
+    (tmp_path / "again").mkdir()
+    path, duck = copies(spark, small, tmp_path / "again", {"customer": customer.unionByName(customer.where("c_custkey < 9"))})
+    same(spark, path, duck, "x02_score_records")
+    for of, most in (("FEW_TEXTS", 0), ("BROADCAST", 0), ("QUERY_BLOCK", 3)):
+        monkeypatch.setattr(request_classes, of, most)
+    same(spark, path, duck, "x02_score_records")
+    monkeypatch.setattr(request_classes, "MATRIX", 0)
+    (tmp_path / "rows").mkdir()
+    same(spark, *copies(spark, small, tmp_path / "rows", {}), "x02_score_records")
