@@ -41,6 +41,9 @@ vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 
 
 def bm25(s, d, limit=60):
+    """An index is made only for more queries than are sent to every task."""
+    if (found := R.bm25_once(queries(s, d), documents(s, d), limit)) is not None:
+        return found
     path = new_path(s, "index")
     SI.build_index(documents(s, d), path)
     return SI.search(s, path, queries(s, d), limit)

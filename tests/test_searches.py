@@ -1,11 +1,15 @@
 """Searches of a set of queries over all texts, against brute force."""
 
 import collections
+import math
 import random
+import re
 
 import pytest
 
-from tallystone.operators import retrieval
+from tallystone.operators import retrieval, search_index
+from tallystone.plans import search_queries
+from tallystone.sources.scratch import written
 
 SCHEMA = "document_id string, title string, body string, kind string"
 
@@ -59,3 +63,51 @@ def test_more_queries_than_are_sent_to_every_task(spark, monkeypatch):
     few = found(retrieval.term_count_search(queries, docs, 5))
     monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 2)
     assert found(retrieval.term_count_search(queries, docs, 5)) == few and few
+
+
+def words(row):
+    return re.findall(r"[^\W_]+", hay(row))
+
+
+@pytest.mark.parametrize(("seed", "k"), [(7, 20), (8, 3), (9, 1)])
+def test_documents_with_all_terms_rank_as_among_all(spark, seed, k):
+    """Few words, so that scores tie; terms in all documents, in none, and a query of more terms than any document has."""
+    draw = random.Random(seed)
+    rows = [(f"d{k}", draw.choice(["", "Der Titel"]), " ".join(draw.choices("a b c d e é Ñ zz".split(), [40, 20, 9, 5, 3, 2, 2, 1], k=draw.choice([0, 1, 2, 5, 30]))) or None, "SOURCE_TEXT") for k in range(400)]
+    queries = [("q0", "a"), ("q1", "B, a!"), ("q2", "é ñ"), ("q3", "zz titel der"), ("q4", "nothing a"), ("q5", ""), ("q6", None), ("q7", "a b c d e é ñ zz titel"), ("q8", "a_a")]
+    docs, asked = spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(queries, "query_id string, query string")
+    every = [words(r) for r in rows]
+    mean = sum(map(len, every)) / len(rows)
+    want = []
+    for q, query in queries:
+        terms = list(dict.fromkeys(re.findall(r"[^\W_]+", (query or "").lower())))
+        for r, ws in zip(rows, every, strict=True):
+            if terms and all(t in ws for t in terms):
+                idf = {t: max(math.log((len(rows) - n + 0.5) / (n + 0.5)), 1e-6) for t in terms for n in [sum(t in x for x in every)]}
+                want.append((q, sum(idf[t] * ws.count(t) * 2.2 / (ws.count(t) + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for t in terms), r[0]))
+    near = lambda rows: [(*r[:3], float(f"{r[3]:.9g}")) for r in rows]
+    got = found(retrieval.bm25_once(asked, docs, k))
+    assert near(got) == near(ranked(want, k)) and want
+    told = retrieval.bm25_search(asked, retrieval.postings(docs), docs, k)
+    assert [(*r[:2], round(r[3], 9)) for r in found(told)] == [(*r[:2], round(r[3], 9)) for r in got]
+
+
+def test_documents_of_one_id_and_none(spark):
+    """Each row is a document of its own; nothing is found among none."""
+    asked = spark.createDataFrame([("q", "a")], "query_id string, query string")
+    docs = spark.createDataFrame([("d", "", "a b", "x"), ("d", "", "a", "x"), ("e", "", "b", "x")], SCHEMA)
+    assert [r[:3] for r in found(retrieval.bm25_once(asked, docs))] == [("q", 1, "d"), ("q", 2, "d")]
+    assert retrieval.bm25_once(asked, docs.where("false")).count() == 0
+    assert retrieval.bm25_once(asked.where("false"), docs).count() == 0
+
+
+def test_one_search_keeps_no_postings(spark, small, monkeypatch):
+    """What is kept for one set of queries has a row for each document; an index is made for more queries than are sent to every task, and finds the same."""
+    kept = {}
+    for module in (retrieval, search_index):
+        monkeypatch.setattr(module, "written", lambda df, name: kept.update({name: written(df, name)}) or kept[name])
+    few = found(search_queries.bm25(spark, small, 20))
+    assert list(kept) == ["term-counts"] and kept["term-counts"].count() == search_queries.documents(spark, small).count()
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 2)
+    many = found(search_queries.bm25(spark, small, 20))
+    assert "index-postings" in kept and [(*r[:3], round(r[3], 9)) for r in many] == [(*r[:3], round(r[3], 9)) for r in few] and few
